@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajspark.llm import simhash_dedup
+from trajspark.llm import bpe, simhash_dedup
 from trajspark.llm.common import table
 
 
@@ -12,5 +12,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op8_bpe_encode_decode": op8_bpe_encode_decode,
+}
 ORACLES: dict[str, str] = {}
