@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trajspark.llm import bpe, simhash_dedup
+from trajspark.llm import bpe, decontaminate, shard_mixture, simhash_dedup, token_files
 from trajspark.llm.common import table
 
 
@@ -12,12 +13,63 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_shard_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    slim = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    return shard_mixture.shard_documents(slim).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
+    )
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_shard_mixture": op2_shard_mixture,
+    "op4_decontamination": op4_decontamination,
+    "op5_token_id_output": op5_token_id_output,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
 }
-ORACLES: dict[str, str] = {}
+
+_WORDS = """list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
+
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, len, array_to_string(w[i:i + len - 1], ' ') AS win FROM (
+    SELECT item_id, w, least(len(w), 10) AS len, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len FROM bw),
+dw AS (SELECT row_id, i, len, array_to_string(w[i:i + len - 1], ' ') AS win FROM (
+    SELECT row_id, w, lens.len AS len, unnest(range(1, len(w) - lens.len + 2)) AS i FROM d, lens WHERE len(w) >= lens.len)),
+hits AS (SELECT dw.row_id, dw.i, dw.len, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.len = bw.len),
+hw AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(i, i + len)) AS p FROM hits) GROUP BY row_id),
+it AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM hits) GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (row_id) LEFT JOIN it USING (row_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
