@@ -1,0 +1,74 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from trajspark.llm import pii_surrogates as p
+
+KEY = b"k"
+TEXT = (
+    'Write to Zoë.Öl.34@Mail7.Example.com or zoë.öl.34@mail7.example.com. Call +1 (974) 555-3436, +1-974-555-3436!! From 97.51.17.173. '
+    'pay 4111111111111111 or 4111 1111 1111 1111, token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" SSN 123-45-6789, IBAN DE44 5001 0517 5407 3249 31. '
+    "Mrs. Anna Maria Keller met Mr. Keller and Госпожа Иванова; version 3.0, 2.0. in 1999 and a@b."
+)
+
+
+def forms(text):
+    return [(k, p.canonical(k, text[b:e])) for b, e, k in p.entities(text)]
+
+
+def test_detection():
+    assert [k for k, _ in forms(TEXT)] == ["email", "email", "phone", "phone", "ip", "card", "card", "secret", "ssn", "iban", "name:f", "name:f", "name:surname", "name:surname", "name:surname"]
+    found = forms(TEXT)
+    assert found[0] == found[1] and found[2] == found[3] and found[5] == found[6] and found[12] == found[13]
+
+
+@pytest.mark.parametrize("text", ["", "plain words", "1.2.3", "12345", "a@b", "9999999.1.2.3", "x1.2.3.4y", "256.1.1.1", "1234567890123456789012", "Mr", "token of love"])
+def test_what_is_left_alone(text):
+    assert p.rewrite(text, KEY, {}) == (text, [])
+
+
+def test_surrogates_keep_type_and_format():
+    new, kinds = p.rewrite(TEXT, KEY, {})
+    assert kinds == ["email"] * 2 + ["phone"] * 2 + ["ip", "card", "card", "secret", "ssn", "iban"] + ["name"] * 5
+    again = forms(new)
+    assert [k for k, _ in again] == [k for k, _ in forms(TEXT)]
+    assert all(a != b for a, b in zip(again, forms(TEXT), strict=True))
+    assert again[0] == again[1] and again[2] == again[3] and again[5] == again[6] and again[12] == again[13]
+    assert re.search(r"@Mail7\.Example\.com or .*@mail7\.example\.com\. Call \+1 \(\d{3}\) 555-\d{4}, \+1-\d{3}-555-\d{4}!!", new)
+    assert all(p._luhn(f) for k, f in again if k == "card")
+    assert all("Ѐ" <= c.lower() <= "ӿ" for c in new[new.index("Госпожа ") + 8 :].split(";")[0])
+    assert p.rewrite(TEXT, b"other", {})[0] != new
+
+
+@pytest.mark.parametrize("size", [1, 2, 10, 100, 1000])
+def test_permutation(size):
+    assert sorted(p._permuted(KEY, "t", i, size) for i in range(size)) == list(range(size))
+
+
+def test_collisions_are_settled(spark):
+    # 90 of the 100 values of one format, and names that share their surrogates by chance.
+    rows = [("email", f"{i:02}@x.example.com") for i in range(45)] + [("name:surname", f"name{i}") for i in range(300)]
+    got = p.settled_attempts(spark.createDataFrame(rows, "kind string, form string"), KEY).collect()
+    made = [(r.kind, r.surrogate) for r in got]
+    assert len(got) == len(rows) and len(set(made)) == len(made) and not set(made) & set(rows)
+    assert any(r.attempt for r in got) and all(r.surrogate == p.surrogate(KEY, r.kind, r.form, r.attempt) for r in got)
+
+
+def test_a_full_format_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(p, "MAX_ROUNDS", 2)
+    rows = [("email", f"{i}@x.example.com") for i in range(10)]
+    with pytest.raises(ValueError):
+        p.settled_attempts(spark.createDataFrame(rows, "kind string, form string"), KEY)
+
+
+def test_tables(spark):
+    rows = [(1, TEXT, len(TEXT), "a"), (2, None, None, "b"), (3, "", 0, "c"), (4, "clean", 5, "d"), (1, TEXT, len(TEXT), "a"), (None, "mail of.55@mail9.example.com", 27, "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, kind string")
+    out = p.replace_pii(docs, key=KEY, kinds_col="kinds")
+    assert out.columns == [*docs.columns, "kinds"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.count() == 6 and got[2].text is None and got[2].kinds == [] and got[3].text == "" and got[4].text == "clean"
+    assert got[1].n_chars == len(got[1].text) and "974" not in got[1].text and "of.55" not in got[None].text
+    assert out.where("doc_id = 1").select("text").distinct().count() == 1
+    assert p.replace_pii(docs.limit(0)).collect() == [] and p.replace_pii(docs.where("doc_id = 4")).drop("n_chars").where(F.col("text") == "clean").count() == 1

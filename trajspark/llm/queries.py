@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import bpe, decontaminate, shard_mixture, simhash_dedup, token_files
+from trajspark.llm import bpe, decontaminate, pii_surrogates, quality_rules, shard_mixture, simhash_dedup, token_files
 from trajspark.llm.common import table
 
 
@@ -43,12 +43,24 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_surrogates.replace_pii(docs, kinds_col="kinds")
+    return found.select("doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_shard_mixture": op2_shard_mixture,
     "op4_decontamination": op4_decontamination,
     "op5_token_id_output": op5_token_id_output,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 _WORDS = """list_filter(regexp_split_to_array(
