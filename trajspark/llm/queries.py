@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import bpe, decontaminate, pii_surrogates, quality_rules, shard_mixture, simhash_dedup, token_files
+from trajspark.llm import bpe, decontaminate, pii_surrogates, quality_classifier, quality_rules, shard_mixture, simhash_dedup, token_files
 from trajspark.llm.common import table
 
 
@@ -39,6 +39,12 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_classifier.score_documents(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op2_shard_mixture": op2_shard_mixture,
     "op4_decontamination": op4_decontamination,
     "op5_token_id_output": op5_token_id_output,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
