@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small_batches(docs.sparkSession)
     usable = labels.where(~held_out(id_col, folds) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("label"))
     usable = usable.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(max_rows)
-    rows = docs.join(F.broadcast(usable), F.col(id_col) == F.col("__id")).select(F.col("label"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(usable), F.col("__doc") == F.col("__id")).select("label", "text")
 
     def run(batches):
         features = Features()
