@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import bpe, decontaminate, pii_surrogates, quality_classifier, quality_rules, shard_mixture, simhash_dedup, token_files
+from trajspark.llm import bpe, decontaminate, html_extract, pii_surrogates, quality_classifier, quality_rules, shard_mixture, simhash_dedup, token_files
 from trajspark.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_shard_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -62,6 +66,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_shard_mixture": op2_shard_mixture,
+    "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_token_id_output": op5_token_id_output,
     "op7_quality_classifier": op7_quality_classifier,
