@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import bpe, decontaminate, html_extract, pii_surrogates, quality_classifier, quality_rules, shard_mixture, simhash_dedup, token_files
+from trajspark.llm import bpe, decontaminate, html_extract, lm_scoring, pii_surrogates, quality_classifier, quality_rules, shard_mixture, simhash_dedup, token_files
 from trajspark.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score_documents(docs, lm_scoring.train(docs))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_classifier.score_documents(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +74,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_token_id_output": op5_token_id_output,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_quality_rules": op9_quality_rules,
