@@ -1,4 +1,462 @@
-"""Queries by name, with the SQL that gives the same rows."""
+"""Queries by name over the given tables; the SQL that gives the same rows is in ``oracles``.
+
+Floating-point results are rounded, since engines differ in the last bits of logarithms and sums.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from trajspark.functions import names, scalars, transforms
+from trajspark.functions.hashing import derived_seed_column, trajectory_hash
+from trajspark.operators import chemistry, evaluate, pairs, reports, runlog, schema_diff as diff, score, stats, validate
+from trajspark.operators.normalize import normalized, quantized
+from trajspark.plans import fixtures as fx
+from trajspark.plans.oracles import ORACLES
+from trajspark.sources import shards
+from trajspark.sources.trajectories import KEY, long_form, unpack
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+V, O4 = fx.V_SPEC, fx.O4_SPEC
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _r(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# -- prepare --------------------------------------------------------------------------------------
+
+
+@query
+def norm_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(fx.v_manifest(spark, sf), 9, "value")
+
+
+@query
+def scan_report(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.scan_report(validate.classify(fx.o(spark, sf), fx.O_SPEC))
+
+
+@query
+def scan_overall(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.scan_overall(validate.classify(fx.o(spark, sf), fx.O_SPEC))
+
+
+@query
+def scan_skip_first(spark: SparkSession, sf: str) -> DataFrame:
+    spec = type(fx.O_SPEC)(**{**fx.O_SPEC.__dict__, "skip_first_step": True})
+    return reports.scan_report(validate.classify(fx.o(spark, sf), spec))
+
+
+@query
+def packed_points(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.o(spark, sf).where("t is not null")
+    total = F.aggregate("l_extendedprice", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(*KEY, F.size("t").cast("long").alias("n"), F.get("t", F.lit(0)).alias("first_t"), F.element_at("l_quantity", -1).alias("last_quantity"), F.round(total, 2).alias("total_price"))
+
+
+@query
+def forward_dt(spark: SparkSession, sf: str) -> DataFrame:
+    dt = F.lead("t").over(Window.partitionBy(*KEY).orderBy("t")) - F.col("t")
+    rows = fx.e_points(spark, sf).withColumn("dt", dt)
+    return _r(rows.groupBy(*KEY).agg(F.count("dt").alias("n"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"), F.avg("dt").alias("mean_dt")), 3, "min_dt", "max_dt", "mean_dt")
+
+
+@query
+def grid_census(spark: SparkSession, sf: str) -> DataFrame:
+    valid = validate.classify(fx.o(spark, sf), fx.O_SPEC).where("reason = 'valid'")
+    return validate.grid_census(valid, fx.O_SPEC).select(F.concat_ws(",", F.transform("grid", lambda x: x.cast("int").cast("string"))).alias("grid"), "n")
+
+
+@query
+def dt_spec(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(stats.dt_spec(fx.v(spark, sf).agg(F.min("time").alias("time")), V), 10, "log_min", "log_max")
+
+
+@query
+def dt_norm_table(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs.all_pairs(fx.v_kept(spark, sf), V).select("i", "j", "dt").groupBy("i", "j", "dt").agg(F.count(F.lit(1)).alias("n"))
+    manifest = fx.v_collected(spark, sf)
+    z = manifest.normalize_dt(F.col("dt"))
+    return rows.select("i", "j", "dt", "n", F.round(z, 10).alias("dt_norm"), F.round(manifest.denormalize_dt(z), 6).alias("dt_back"))
+
+
+@query
+def dt_norm_range(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs.all_pairs(fx.v_kept(spark, sf), V).withColumn("dt_norm", fx.v_collected(spark, sf).normalize_dt(F.col("dt")))
+    return validate.dt_norm_report(rows)
+
+
+@query
+def split_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.v_kept(spark, sf).select(*KEY, "split", F.round(trajectory_hash(V.seed, "split"), 12).alias("u"), derived_seed_column(V.seed, F.col("group_id")).alias("seed"))
+
+
+@query
+def split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.split_counts(fx.v_kept(spark, sf))
+
+
+@query
+def split_counts_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.split_counts(fx.kept(fx.o4(spark, sf), O4))
+
+
+def _drops(traj: DataFrame, spec) -> DataFrame:
+    classified = validate.classify(traj, spec)
+    return reports.drop_report(classified, validate.with_fate(classified.where("reason = 'valid'"), spec))
+
+
+@query
+def drop_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _drops(fx.v(spark, sf), V)
+
+
+@query
+def drop_report_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return _drops(fx.o4(spark, sf), O4)
+
+
+@query
+def size_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.size_estimate(fx.v_kept(spark, sf), V)
+
+
+@query
+def shard_index(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.shard_index(shards.numbered(fx.kept(fx.o4(spark, sf), O4), O4))
+
+
+@query
+def shard_members(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.numbered(fx.kept(fx.o4(spark, sf), O4), O4).select(*KEY, "split", "shard")
+
+
+@query
+def dense_shards(spark: SparkSession, sf: str) -> DataFrame:
+    rows = shards.dense(fx.v_kept(spark, sf), V)
+    return rows.select(*KEY, F.size("y").cast("long").alias("n_steps"), F.round(F.get(F.get("y", F.lit(3)), F.lit(2)).cast("double"), 7).alias("y_3_2"), F.get("g", F.lit(1)).cast("double").alias("g_1"))
+
+
+@query
+def quantization(spark: SparkSession, sf: str) -> DataFrame:
+    rows = quantized(fx.v_kept(spark, sf), "float", "double", V)
+    exact, kept = fx.v_kept(spark, sf).select(*KEY, "CH4_evolution"), rows.select(*KEY, F.col("CH4_evolution").alias("q"))
+    gap = F.zip_with("CH4_evolution", "q", lambda a, b: F.abs(a - b.cast("double")))
+    return exact.join(kept, KEY).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.array_max(gap)), 9).alias("largest_gap"))
+
+
+@query
+def partial_stats_merge(spark: SparkSession, sf: str) -> DataFrame:
+    train = fx.v_kept(spark, sf).where("split = 'train'")
+    merged = stats.merge_statistics(stats.partial_statistics(train, V))
+    return _r(merged, 9, "mean", "m2", "min", "max", "std")
+
+
+@query
+def positive_report(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.positive_report(unpack(fx.o(spark, sf).where("t is not null"), fx.O_SPEC), list(fx.O_SPEC.species))
+
+
+# -- normalize and pair ---------------------------------------------------------------------------
+
+
+@query
+def normalize_species(spark: SparkSession, sf: str) -> DataFrame:
+    rows = normalized(fx.v_kept(spark, sf), V, fx.v_collected(spark, sf))
+    return _r(long_form(unpack(rows, V), V), 8, "value").select(*KEY, "step", "species", "value")
+
+
+@query
+def denormalize_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = fx.v_collected(spark, sf)
+    steps = unpack(fx.v_kept(spark, sf), V)
+    close = [
+        F.struct(F.lit(k).alias("key"), F.count_if(F.abs(manifest.denormalize(manifest.normalize(F.col(k), k), k) - F.col(k)) <= 1e-9 * F.abs(k)).alias("n_close"), F.count(k).alias("n"))
+        for k in (*V.species, *V.globals)
+    ]
+    return steps.agg(F.array(*close).alias("x")).select(F.inline("x"))
+
+
+@query
+def normalize_globals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = normalized(fx.v_kept(spark, sf), V, fx.v_collected(spark, sf))
+    return _r(rows.select(*KEY, "P", "T"), 8, "P", "T").select(*KEY, F.col("P").alias("p_norm"), F.col("T").alias("t_norm"))
+
+
+@query
+def normalize_by_join(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = fx.v_manifest(spark, sf).groupBy("key", "method").agg(F.map_from_entries(F.collect_list(F.struct("stat", "value"))).alias("s"))
+    rows = long_form(unpack(fx.v_kept(spark, sf), V), V).join(F.broadcast(manifest), F.col("species") == F.col("key"))  # a row a variable
+    log = F.log10("value")
+    z = (
+        F.when(F.col("method") == "standard", (F.col("value") - F.col("s")["mean"]) / F.col("s")["std"])
+        .when(F.col("method") == "min-max", (F.col("value") - F.col("s")["min"]) / (F.col("s")["max"] - F.col("s")["min"]))
+        .when(F.col("method") == "log-standard", (log - F.col("s")["log_mean"]) / F.col("s")["log_std"])
+        .otherwise((log - F.col("s")["log_min"]) / (F.col("s")["log_max"] - F.col("s")["log_min"]))
+    )
+    out = rows.groupBy("species", "step").agg(F.count(F.lit(1)).alias("n"), F.avg(z).alias("mean_z"), F.min(z).alias("min_z"), F.max(z).alias("max_z"))
+    return _r(out, 8, "mean_z", "min_z", "max_z")
+
+
+@query
+def z_to_log10(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = fx.v_collected(spark, sf)
+    steps = unpack(fx.v_kept(spark, sf), V)
+    both = []
+    for s in V.species:
+        log = manifest.z_to_log10(manifest.normalize(F.col(s), s), s)
+        both.append(F.struct(F.lit(s).alias("species"), log.alias("log10_value"), F.abs(manifest.log10_to_z(log, s) - manifest.normalize(F.col(s), s)).alias("gap")))
+    rows = steps.select(F.inline(F.array(*both)))
+    out = rows.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.avg("log10_value").alias("mean_log10"), F.count_if(F.col("gap") < 1e-9).alias("n_inverse"))
+    return _r(out, 8, "mean_log10")
+
+
+@query
+def head_residual_log(spark: SparkSession, sf: str) -> DataFrame:
+    rows, manifest = fx.r_normalized(spark, sf)
+    out = []
+    for k, s in enumerate(V.species):
+        moved = manifest.z_to_log10(F.get("z_true", F.lit(k)), s) + F.lit(0.05)
+        out.append(F.struct(F.lit(s).alias("species"), manifest.log10_to_z(moved, s).alias("z")))
+    return _r(rows.select(F.inline(F.array(*out))).groupBy("species").agg(F.avg("z").alias("mean_z"), F.min("z").alias("min_z"), F.max("z").alias("max_z")), 8, "mean_z", "min_z", "max_z")
+
+
+@query
+def head_residual(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = fx.r_normalized(spark, sf)
+    moved = transforms.residual_head(F.col("z_true"), F.transform("z_pred", lambda z: 0.1 * z))
+    return rows.select(F.posexplode(moved).alias("k", "z")).groupBy("k").agg(F.round(F.avg("z"), 8).alias("mean_z"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def head_simplex(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = fx.r_normalized(spark, sf)
+    logs = transforms.log10_softmax(F.col("z_pred"))
+    return rows.select(F.posexplode(logs).alias("k", "l")).groupBy("k").agg(F.round(F.avg("l"), 8).alias("mean_log10"), F.round(F.avg(F.pow(F.lit(10.0), F.col("l"))), 8).alias("mean_share"))
+
+
+@query
+def species_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(stats.species_weights(fx.v_manifest(spark, sf, weighted=True), V, power=0.5), 9, "weight")
+
+
+@query
+def representative_values(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(stats.representative_values(fx.v_manifest(spark, sf)), 8, "value")
+
+
+@query
+def pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs.all_pairs(fx.v_kept(spark, sf), V)
+    return rows.select(*KEY, "i", "j", "dt", F.round(F.get("y_i", F.lit(0)), 8).alias("ch4_i"), F.round(F.get("y_j", F.lit(3)), 8).alias("hcn_j"), F.get("g", F.lit(0)).alias("p"))
+
+
+@query
+def pairs_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs.sample_pairs(fx.v_kept(spark, sf), V, draws=4, targets=2, epoch=3)
+    return rows.select(*KEY, "draw", "target", "i", "j", "dt", F.round(F.get("y_j", F.lit(1)), 8).alias("co_j"))
+
+
+@query
+def query_points(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs.query_points(fx.v_kept(spark, sf), V, 6)
+    return rows.select(*KEY, "q", "j", "dt")
+
+
+# -- score and evaluate ---------------------------------------------------------------------------
+
+
+@query
+def score_persistence(spark: SparkSession, sf: str) -> DataFrame:
+    scored = score.score(pairs.all_pairs(fx.v_kept(spark, sf).where("split = 'test'"), V), score.persistence)
+    out = evaluate.error_points(scored, V).groupBy("species", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"))
+    return _r(out, 9, "mae")
+
+
+@query
+def alignment(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.r(spark, sf)
+    return evaluate.alignment_report(rows.where("i < 6").select(*evaluate.PAIR, "y_pred"), rows.where("j > 2").select(*evaluate.PAIR, "y_j"))
+
+
+@query
+def error_summary(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluate.error_summary(evaluate.error_points(fx.r(spark, sf), V), bucket_floor=0.5)
+    return _r(out, 7, *[c for c in out.columns if c not in ("bucket", "n")])
+
+
+@query
+def error_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    points = evaluate.error_points(fx.r(spark, sf), V, ["CO", "HCN"])
+    out = evaluate.error_summary(points, bucket_floor=0.1, quantiles=(0.25, 0.5, 0.75))
+    return _r(out.select("bucket", "n", "p25", "p50", "p75"), 7, "p25", "p50", "p75")
+
+
+@query
+def relative_error(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(evaluate.relative_error(evaluate.error_points(fx.r(spark, sf), V)), 7, "mean_relative", "max_relative")
+
+
+@query
+def loss_components(spark: SparkSession, sf: str) -> DataFrame:
+    rows, manifest = fx.r_normalized(spark, sf)
+    weights = {r["key"]: r["weight"] for r in stats.species_weights(fx.v_manifest(spark, sf, weighted=True), V).collect()}
+    out = evaluate.loss_components(rows, V, manifest, weights)
+    return _r(out, 8, *out.columns)
+
+
+@query
+def loss_by_step(spark: SparkSession, sf: str) -> DataFrame:
+    rows, manifest = fx.r_normalized(spark, sf)
+    out = evaluate.loss_components(rows.withColumn("steps", F.col("j") - F.col("i")), V, manifest, by=["steps"])
+    return _r(out.select("steps", "total", "mult_err_proxy"), 8, "total", "mult_err_proxy")
+
+
+@query
+def epoch_means(spark: SparkSession, sf: str) -> DataFrame:
+    rows, manifest = fx.r_normalized(spark, sf)
+    batches = evaluate.loss_components(rows, V, manifest, by=["file_id"]).join(rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("w")), "file_id")
+    return _r(evaluate.weighted_means(batches, ["total", "z"], "w"), 8, "total", "z")
+
+
+@query
+def trajectory_peak_error(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(evaluate.peak_errors(evaluate.error_points(fx.r(spark, sf), V)), 8, "peak")
+
+
+@query
+def worst_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(evaluate.worst(evaluate.peak_errors(evaluate.error_points(fx.r(spark, sf), V))), 8, "peak")
+
+
+@query
+def peak_error_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluate.peak_distribution(evaluate.peak_errors(evaluate.error_points(fx.r(spark, sf), V)))
+    return _r(out, 8, *out.columns)
+
+
+@query
+def sampled_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.sampled_trajectories(fx.v_kept(spark, sf).select(*KEY), 84, V.seed)
+
+
+@query
+def quadrant_picks(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.quadrant_picks(fx.v_kept(spark, sf), "P", "T", V.seed)
+
+
+@query
+def species_peak_order(spark: SparkSession, sf: str) -> DataFrame:
+    long = long_form(unpack(fx.v_kept(spark, sf), V), V).withColumn("species", names.label(F.col("species")))
+    return _r(evaluate.species_by_peak(long, "time", high=4096.0), 8, "peak")
+
+
+@query
+def count_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.count_breakdown(fx.r(spark, sf), V)
+
+
+@query
+def strided_sample(spark: SparkSession, sf: str) -> DataFrame:
+    points = evaluate.error_points(fx.r(spark, sf), V).withColumns({"i": F.col("i").cast("string"), "j": F.col("j").cast("string")})
+    return evaluate.strided_sample(points, F.col("y_true") > 0.2, [*KEY, "i", "j", "species"], 500, V.seed).select(*KEY, "i", "j", "species")
+
+
+# -- chemistry ------------------------------------------------------------------------------------
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.table(spark, sf, "documents").select(F.explode(F.split("text", r"[\s]+")).alias("species")).distinct()
+
+
+@query
+def element_composition(spark: SparkSession, sf: str) -> DataFrame:
+    rows = chemistry.element_composition(_words(spark, sf))
+    return rows.groupBy("element").agg(F.count(F.lit(1)).alias("n_names"), F.sum("n_atoms").alias("n_atoms"))
+
+
+@query
+def solar_reference(spark: SparkSession, sf: str) -> DataFrame:
+    rows = chemistry.solar_references(chemistry.element_composition(_words(spark, sf)))
+    return rows.select(F.round("c_to_o", 9).alias("c_to_o"), F.round("m_to_h", 12).alias("m_to_h"), F.concat_ws(",", "elements").alias("elements"), F.concat_ws(",", "missing").alias("missing"))
+
+
+@query
+def global_scale(spark: SparkSession, sf: str) -> DataFrame:
+    rows = chemistry.global_scales(_words(spark, sf), "species")
+    kinds = ["is_metallicity", "metallicity_scale", "is_c_to_o", "c_to_o_scale"]
+    return rows.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("canonical").alias("n_canonical"))
+
+
+def _atoms(spark: SparkSession) -> dict[str, list[float]]:
+    return chemistry.coefficients(spark, V.species)
+
+
+@query
+def species_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.r(spark, sf)
+    co, mh = chemistry.element_ratios(F.col("y_j"), _atoms(spark))
+    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(co), 8).alias("c_to_o"), F.round(F.avg(mh), 8).alias("m_to_h"), F.round(F.max(scalars.safe_log10(co)), 8).alias("max_log_c_to_o"))
+
+
+@query
+def chemistry_report(spark: SparkSession, sf: str) -> DataFrame:
+    c, o = (10.0 ** (names.SOLAR[e] - 12.0) for e in ("C", "O"))
+    metals = sum(10.0 ** (names.SOLAR[e] - 12.0) for e in ("C", "O", "N"))
+    scale = "linear_ratio_like"
+    rows = chemistry.chemistry_quantities(fx.r(spark, sf), _atoms(spark), c / o, metals, metallicity=(F.get("g", F.lit(0)), scale), c_to_o=(F.get("g", F.lit(1)), "linear_ratio"))
+    return _r(chemistry.chemistry_report(rows), 6, "mean", "std", "min", "max")
+
+
+# -- names and run logs ---------------------------------------------------------------------------
+
+
+@query
+def schema_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Names here are event types, listed by how often even and odd users have them."""
+    rows = fx.table(spark, sf, "events").groupBy((F.col("user_id") % 2).alias("side"), F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    listed = rows.withColumn("position", F.row_number().over(Window.partitionBy("side").orderBy(F.desc("n"), "name")))
+    return diff.schema_diff(listed.where("side = 0"), listed.where("side = 1"))
+
+
+@query
+def name_sets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.table(spark, sf, "events")
+    users = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("all"))
+    known = rows.where("user_id % 5 = 0").agg(F.collect_set("event_type").alias("known"))
+    both = users.crossJoin(F.broadcast(known))  # one row
+    return both.select("user_id", F.concat_ws(",", diff.ordered_union("all", F.array().cast("array<string>"))).alias("union"), F.concat_ws(",", diff.unknown_names("all", "known")).alias("unknown"))
+
+
+@query
+def metrics_last_per_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    return runlog.last_per_epoch(fx.run_log(spark, sf))
+
+
+@query
+def metrics_best_so_far(spark: SparkSession, sf: str) -> DataFrame:
+    return runlog.best_so_far(runlog.last_per_epoch(fx.run_log(spark, sf)))
+
+
+@query
+def metrics_curve(spark: SparkSession, sf: str) -> DataFrame:
+    out = runlog.curve(runlog.last_per_epoch(fx.run_log(spark, sf)))
+    return out.withColumn("val_loss", F.when(~F.isnan("val_loss"), F.col("val_loss")))
+
+
+@query
+def probe_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Random inputs, ten for each trajectory of the training split."""
+    typical = {r["key"]: r["value"] for r in stats.representative_values(fx.v_manifest(spark, sf)).collect()}
+    dt = stats.dt_spec(fx.v(spark, sf).agg(F.min("time").alias("time")), V).first()
+    n = 10 * fx.v_kept(spark, sf).where("split = 'train'").count()
+    return score.probe_inputs(spark, n, V, typical, (10.0 ** dt["log_min"], 10.0 ** dt["log_max"]))
+
+
