@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.operators.validate import REASONS
+from trajspark.operators.validate import REASONS, fate
 from trajspark.spec import DTYPES, TrajectorySpec
 
 
@@ -24,30 +24,22 @@ def scan_overall(classified: DataFrame) -> DataFrame:
     return classified.rollup("file_id").agg(*_scan_columns())
 
 
-def drop_report(classified: DataFrame, fated: DataFrame) -> DataFrame:
-    """One row: what was read, why trajectories were dropped, and what is left.
+def drop_report(classified: DataFrame, spec: TrajectorySpec) -> DataFrame:
+    """One row, in one pass: what was read, why trajectories were dropped, and what is left."""
+    fated = classified.select("reason", F.when(F.col("reason") == "valid", fate(spec)).alias("fate"))
 
-    ``fated`` holds the valid rows of ``classified`` with their fate.
-    """
-    scan = classified.agg(
+    def count(*fates: str):
+        return F.count_if(F.col("fate").isin(*fates))
+
+    valid = F.count_if(F.col("reason") == "valid")
+    dropped = count("unused", "nonfinite", "below_threshold", "nonfinite_global")
+    return fated.agg(
         F.count(F.lit(1)).alias("n_total"),
-        F.count_if(F.col("reason") == "valid").alias("v"),
-        F.count_if(F.col("reason") == "nan_time").alias("nan_time"),
-    )
-    later = fated.agg(
-        F.count_if(F.col("fate").isin("nonfinite", "nonfinite_global")).alias("bad"),
-        F.count_if(F.col("fate") == "below_threshold").alias("n_below_threshold"),
-        F.count_if(F.col("fate") == "unused").alias("n_unused"),
-    )
-    both = scan.crossJoin(later)  # one row each
-    dropped = F.col("bad") + F.col("n_below_threshold") + F.col("n_unused")
-    return both.select(
-        "n_total",
-        F.greatest(F.col("v") - dropped, F.lit(0)).alias("n_valid"),
-        (F.col("n_total") - F.col("v") + dropped).alias("n_dropped"),
-        (F.col("nan_time") + F.col("bad")).alias("n_nan"),
-        "n_below_threshold",
-        "n_unused",
+        (valid - dropped).alias("n_valid"),
+        (F.count(F.lit(1)) - valid + dropped).alias("n_dropped"),
+        (F.count_if(F.col("reason") == "nan_time") + count("nonfinite", "nonfinite_global")).alias("n_nan"),
+        count("below_threshold").alias("n_below_threshold"),
+        count("unused").alias("n_unused"),
     )
 
 

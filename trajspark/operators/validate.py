@@ -56,16 +56,20 @@ def checked_lengths(traj: DataFrame, spec: TrajectorySpec) -> DataFrame:
     return traj.withColumn(spec.time, F.when(bad, F.raise_error(message).cast("array<double>")).otherwise(F.col(spec.time)))
 
 
-def with_fate(valid: DataFrame, spec: TrajectorySpec) -> DataFrame:
-    """Adds ``fate``: ``unused``, ``nonfinite``, ``below_threshold``, ``nonfinite_global`` or ``kept``, in this order."""
+def fate(spec: TrajectorySpec) -> Column:
+    """``unused``, ``nonfinite``, ``below_threshold``, ``nonfinite_global`` or ``kept``: the first that holds, in this order."""
     finite = reduce(lambda a, b: a & b, [F.forall(s, lambda v: F.coalesce(is_finite(v), F.lit(False))) for s in spec.species])
     least = [F.array_min(s) for s in spec.species]
     least = F.least(*least) if len(least) > 1 else least[0]
-    fate = F.when(F.lit(spec.use_fraction < 1) & (trajectory_hash(spec.seed, "use") >= spec.use_fraction), "unused").when(~finite, "nonfinite")
+    out = F.when(F.lit(spec.use_fraction < 1) & (trajectory_hash(spec.seed, "use") >= spec.use_fraction), "unused").when(~finite, "nonfinite")
     if spec.min_value_threshold > 0:
-        fate = fate.when(least < spec.min_value_threshold, "below_threshold")
-    fate = fate.when(_any([~is_finite(F.col(g)) for g in spec.globals]), "nonfinite_global").otherwise("kept")
-    return valid.withColumn("fate", fate)
+        out = out.when(least < spec.min_value_threshold, "below_threshold")
+    return out.when(_any([~is_finite(F.col(g)) for g in spec.globals]), "nonfinite_global").otherwise("kept")
+
+
+def with_fate(valid: DataFrame, spec: TrajectorySpec) -> DataFrame:
+    """Adds ``fate`` to valid trajectories."""
+    return valid.withColumn("fate", fate(spec))
 
 
 def grid_census(valid: DataFrame, spec: TrajectorySpec) -> DataFrame:

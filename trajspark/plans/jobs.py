@@ -29,8 +29,8 @@ def prepare(traj: DataFrame, spec: TrajectorySpec, out: str) -> dict:
 
     ``out`` gets ``kept`` (trajectories that pass, in full precision, by split), ``shards``, ``manifest``
     and ``report``. It must not exist. Wrong grids, empty splits and values that a log method cannot take
-    are errors before any shard is written. The raw rows are read twice: once for the reports and the grid,
-    once to write ``kept``, from which all else follows.
+    are errors before any shard is written. Raw rows are read for the grid, for ``kept``, from which all else
+    follows, and for the counts of dropped ones.
     """
     spark = traj.sparkSession
     classified = validate.classify(traj, spec)
@@ -50,7 +50,7 @@ def prepare(traj: DataFrame, spec: TrajectorySpec, out: str) -> dict:
     index = shards.file_index(spark, f"{out}/shards").orderBy("split", "file").collect()  # a row a file
     report = {
         "splits": counts,
-        "drops": reports.drop_report(classified, fated).first().asDict(),
+        "drops": reports.drop_report(classified, spec).first().asDict(),
         "size": reports.size_estimate(kept, spec).first().asDict(),
         "shards": [r.asDict() for r in index],
         "M_per_sample": len(grid),

@@ -109,8 +109,7 @@ def split_counts_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _drops(traj: DataFrame, spec) -> DataFrame:
-    classified = validate.classify(traj, spec)
-    return reports.drop_report(classified, validate.with_fate(classified.where("reason = 'valid'"), spec))
+    return reports.drop_report(validate.classify(traj, spec), spec)
 
 
 @query
