@@ -113,7 +113,7 @@ def write_token_ids(
     small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(n_parts, "id", "text").sortWithinPartitions("id", "text")
+    rows = rows.repartitionByRange(n_parts, "id").sortWithinPartitions("id", "text")
     names = [field.split()[0] for field in SCHEMA.split(", ")]
 
     def run(batches):
