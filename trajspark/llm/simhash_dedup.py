@@ -165,7 +165,8 @@ def simhash_groups(
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
     linked = linked.join(names, "root").select(F.col("node").alias("fp"), "name")
     nodes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
-    return fps.join(nodes, "fp").select(
+    # Written, both sides of the last join are read and dealt anew, so Spark can split a hot fingerprint.
+    return fps.join(written(nodes, "groups"), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
