@@ -41,13 +41,14 @@ def test_fingerprint_of_a_long_text_in_chunks():
     assert s.fingerprint(text.encode()) == brute_fingerprint(text)
 
 
-def test_blocks_find_all_near_pairs(spark):
+@pytest.mark.parametrize("parts", [2, 4, 8])
+def test_blocks_find_all_near_pairs(spark, parts):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     near = [x ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), False))) for x in base for _ in range(4)]
     fps = np.unique(np.array([*base, *near, 0, 2**64 - 1], np.uint64))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
-    roots = {r.node: r.root for r in connected_components(s.fingerprint_links(df)).collect()}
+    roots = {r.node: r.root for r in connected_components(s.fingerprint_links(df, parts=parts)).collect()}
     want = brute_groups([(int(np.int64(x.view(np.int64))), int(x)) for x in np.sort(fps)])
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
     full = {int(x): roots.get(int(x), int(x)) for x in fps.view(np.int64)}

@@ -22,7 +22,9 @@ from trajspark.llm.common import small_batches, texts_of, word_chunks, written
 from trajspark.llm.components import connected_components
 
 SEED = 42
-QUARTERS = 4
+#: Parts of a fingerprint whose population counts make a tile. More parts skip more tile pairs, and put each
+#: fingerprint into more tiles: 65 with four parts, 417 with eight (radius 3).
+PARTS = 4
 #: Rows of a compared block on each side.
 BLOCK = 2048
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -73,9 +75,11 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def _steps(radius: int) -> list[int]:
+def _steps(radius: int, parts: int) -> list[int]:
     """Differences of tile keys within the radius: zero, and one of each pair of opposites."""
-    ball = [d for d in itertools.product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, d)) <= radius]
+    ball = [()]
+    for _ in range(parts):
+        ball = [(*d, x) for d in ball for x in range(-radius, radius + 1) if sum(map(abs, d)) + abs(x) <= radius]
     keys = [sum(x << (6 * i) for i, x in enumerate(d)) for d in ball]
     return sorted(k for k in keys if k >= 0)
 
@@ -102,13 +106,15 @@ def _block_links(home: np.ndarray, guest: np.ndarray, radius: int, same: bool) -
     return items[moved], items[root[moved]]
 
 
-def fingerprint_links(distinct_fps: DataFrame, radius: int = 3) -> DataFrame:
+def fingerprint_links(distinct_fps: DataFrame, radius: int = 3, parts: int = PARTS) -> DataFrame:
     """Links ``a``, ``b`` that join all fingerprints (column ``fp``, distinct) reachable within ``radius`` bits."""
     import pyarrow as pa
 
-    small = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("long") for i in range(QUARTERS)]
+    width = 64 // parts
+    mask = F.lit((1 << width) - 1)
+    small = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(mask)).cast("long") for i in range(parts)]
     key = sum((p * F.lit(1 << (6 * i)) for i, p in enumerate(small)), F.lit(0).cast("long"))
-    steps = F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(radius)]))
+    steps = F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(radius, parts)]))
     tiles = distinct_fps.select("fp", key.alias("own"), steps.alias("step"))
     tiles = (
         tiles.select((F.col("own") + F.col("step")).alias("tile"), (F.col("step") != 0).alias("guest"), "fp")
@@ -149,7 +155,7 @@ def fingerprint_links(distinct_fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, parts: int = PARTS
 ) -> DataFrame:
     """Fingerprint and near-duplicate group of every row.
 
@@ -160,7 +166,7 @@ def simhash_groups(
     """
     fps = written(with_fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
+    roots = connected_components(fingerprint_links(nodes.select("fp"), radius, parts))
     linked = roots.join(nodes, roots["node"] == nodes["fp"])
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
     linked = linked.join(names, "root").select(F.col("node").alias("fp"), "name")
