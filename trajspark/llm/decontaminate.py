@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import ascii_lower
+from trajspark.llm.common import ascii_lower, written
 
 WINDOW = 10
 #: Most distinct window hashes (8 bytes each) that are broadcast.
@@ -96,7 +96,8 @@ def contamination_report(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW
 ) -> DataFrame:
     """Per row of ``docs``: its id, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings), ``contaminated``."""
-    found = contamination(docs, benchmark, text_col, item_col, window)
+    # Written, both sides of the join are read and dealt anew, so Spark can split a text with very many copies.
+    found = written(contamination(docs, benchmark, text_col, item_col, window), "contamination")
     rows = docs.select(
         F.col(id_col),
         F.sha2(F.col(text_col).cast("string"), 256).alias("text_sha"),
@@ -123,7 +124,8 @@ def decontaminate(
 
     Cutting takes each hit word with the characters before it that are in no word. Null texts stay.
     """
-    found = contamination(docs, benchmark, text_col, item_col, window).select(F.col("text_sha").alias("__sha"), F.col("spans").alias("__spans"))
+    found = written(contamination(docs, benchmark, text_col, item_col, window), "contamination")
+    found = found.select(F.col("text_sha").alias("__sha"), F.col("spans").alias("__spans"))
     keyed = docs.withColumn("__key", F.sha2(F.col(text_col).cast("string"), 256))
     if remove == "documents":
         return keyed.join(found, keyed["__key"] == found["__sha"], "left_anti").drop("__key")
