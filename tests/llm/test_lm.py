@@ -35,7 +35,7 @@ def test_filter_levels(size):
     segment = (keys >> np.uint64(64 - (size - 20))).astype(int) if size > 20 else np.zeros(len(keys), int)
     for s in set(segment.tolist()):
         own = segment == s
-        bits[s << 17 : s + 1 << 17] = np.frombuffer(m.segment_bits([(keys[own], counts[own])], s, size), np.uint8)
+        bits[s << 17 : s + 1 << 17] = np.frombuffer(m.segment_bits([(keys[own], counts[own])]), np.uint8)
     found, want = m.probe(bits, keys, size), np.floor(np.log2(counts)).astype(int) + 1
     assert (found >= want).all() and (found == want).mean() > 0.9
     other = rng.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2)
@@ -67,7 +67,8 @@ def test_probabilities_nearly_sum_to_one(spark):
     words = ["a", "b", "c", "d", "aa", "aaa", "zz"]
     t = model.tables.value
     x = [np.array([m.token_hashes(b"b")[0], h]) for h in [m.token_hashes(w.encode())[0] for w in words] + [m.END]]
-    word, history, pair = t.levels(x)
+    _, at, word, history, pair = t.levels(x)
+    word = word[at]
     both = np.minimum(m.COUNT_OF[pair], m.COUNT_OF[history]) / m.COUNT_OF[history]
     single = 10.0 ** m._word_log10(model.n, model.v)(m.COUNT_OF[word])
     p = ((1 - model.novelty[history]) * both + model.novelty[history] * single)[1::2].sum()

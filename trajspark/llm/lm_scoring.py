@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,13 @@ MIN_BITS, MAX_BITS = 20, 31
 PROBES, MAX_LEVEL = 4, 40
 MAX_VOCAB = 8_000_000
 #: Tokens that a task counts before it sends what it has.
-FLUSH = 4_000_000
+FLUSH = 1_500_000
+#: Texts whose tokens are looked up together.
+TOGETHER = 100
 #: Hashes of the end and the start of a text, and what tells pairs from words.
 END, START = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 _PAIR, _LEVEL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
+_MASK, _BIT = np.uint64((1 << SEGMENT_BITS) - 1), np.array([1, 2, 4, 8, 16, 32, 64, 128], np.uint8)
 #: What stands for the counts of a level: the middle of 2**(q-1) ... 2**q - 1.
 COUNT_OF = np.array([0.0, *((2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range(1, MAX_LEVEL + 1))])
 
@@ -65,34 +69,43 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(MAX_LEVEL, 1 + np.floor(np.log2(counts)).astype(np.int64))
 
 
-def _places(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
-    """Bit places of (key, level), a row for each probe; all levels of a key are in its segment."""
-    segment = (keys >> np.uint64(64 - (bits - SEGMENT_BITS))) << np.uint64(SEGMENT_BITS) if bits > SEGMENT_BITS else np.zeros(len(keys), np.uint64)
-    x = _mix(keys + np.uint64(level) * _LEVEL)
-    step = (x >> np.uint64(32)) | np.uint64(1)
-    mask = np.uint64((1 << SEGMENT_BITS) - 1)
-    return np.stack([segment | (x + np.uint64(i) * step & mask) for i in range(PROBES)])
+def _segment(keys: np.ndarray, size: int) -> np.ndarray:
+    """First bit of each key's segment; all levels of a key are in one."""
+    if size == SEGMENT_BITS:
+        return np.zeros(len(keys), np.uint64)
+    return (keys >> np.uint64(64 - (size - SEGMENT_BITS))) << np.uint64(SEGMENT_BITS)
 
 
-def segment_bits(grams: list[tuple[np.ndarray, np.ndarray]], segment: int, size: int) -> bytes:
+def _walk(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of (key, level) begin, and their step."""
+    x = _mix(keys + np.uint64(level * int(_LEVEL) % 2**64))
+    return x, (x >> np.uint64(32)) | np.uint64(1)
+
+
+def segment_bits(grams: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
     """Bits of one segment that holds the counted keys."""
     bits = np.zeros(1 << SEGMENT_BITS, bool)
     for keys, counts in grams:
         levels = levels_of(counts)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            bits[(_places(keys[levels >= level], level, size) - np.uint64(segment << SEGMENT_BITS)).ravel().astype(np.int64)] = True
+            x, step = _walk(keys[levels >= level], level)
+            for i in range(PROBES):
+                bits[(x + np.uint64(i) * step & _MASK).view(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def probe(bits: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
-    """Level of each key: the number of probes in a row that succeed."""
-    level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    """Level of each key: the number of probes in a row that succeed. A key leaves at its first missing bit."""
+    level, alive, segment = np.zeros(len(keys), np.int64), np.arange(len(keys)), _segment(keys, size)
     for q in range(1, MAX_LEVEL + 1):
+        x, step = _walk(keys, q)
+        for i in range(PROBES):
+            at = segment | (x + np.uint64(i) * step & _MASK)
+            found = np.flatnonzero(bits.take((at >> np.uint64(3)).view(np.int64)) & _BIT.take((at & np.uint64(7)).view(np.int64)))
+            if len(found) < len(at):
+                x, step, segment, keys, alive = x[found], step[found], segment[found], keys[found], alive[found]
         if not len(alive):
             break
-        at = _places(keys[alive], q, size)
-        found = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(0)
-        alive = alive[found]
         level[alive] = q
     return level
 
@@ -145,7 +158,7 @@ def gram_counts(texts: DataFrame, size: int, subs: int) -> DataFrame:
     return texts.mapInArrow(run, "segment int, sub int, kind int, keys binary, counts binary")
 
 
-def built(grams: DataFrame, size: int) -> DataFrame:
+def built(grams: DataFrame) -> DataFrame:
     """For each group of a segment: its words with exact counts, and its bits of the filter."""
     import pyarrow as pa
 
@@ -158,7 +171,7 @@ def built(grams: DataFrame, size: int) -> DataFrame:
             every, at = np.unique(np.frombuffer(b"".join(keys[i] for i in own), "<u8"), return_inverse=True)
             grams.append((every, np.bincount(at, np.frombuffer(b"".join(counts[i] for i in own), "<u4"), len(every)).astype("<i8")))
         words = grams[0][0] != START
-        row = [segment, grams[0][0][words].tobytes(), grams[0][1][words].tobytes(), segment_bits(grams, segment, size)]
+        row = [segment, grams[0][0][words].tobytes(), grams[0][1][words].tobytes(), segment_bits(grams)]
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["segment", "words", "counts", "bits"])
 
@@ -174,14 +187,16 @@ class Tables:
     words: np.ndarray | None
     counts: np.ndarray | None
 
-    def levels(self, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Levels of each token, of the one before it, and of the pair, over all texts in a row."""
+    def levels(self, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct tokens, where each one of all texts in a row is among them, their levels, and by token the
+        levels of the one before it and of the pair."""
         flat, before = np.concatenate(tokens), np.concatenate([with_history(t) for t in tokens])
-        word, pair = probe(self.bits, flat, self.size), probe(self.bits, pair_keys(before, flat), self.size)
-        history = np.concatenate([[0], word[:-1]])
+        at, every = pd.factorize(flat)
+        word, pair = probe(self.bits, every, self.size), probe(self.bits, pair_keys(before, flat), self.size)
+        history = np.concatenate([[0], word[at[:-1]]])
         starts = np.cumsum([0, *(len(t) for t in tokens[:-1])])
         history[starts] = probe(self.bits, np.array([START]), self.size)[0]
-        return word, history, pair
+        return every, at, word, history, pair
 
 
 @dataclass
@@ -193,16 +208,22 @@ class Model:
     novelty: np.ndarray
 
 
+def _slices(batch):
+    """Token hashes of some texts of a batch after the others."""
+    texts = texts_of(batch)
+    for k in range(0, len(texts), TOGETHER):
+        yield [token_hashes(x) for x in texts[k : k + TOGETHER]]
+
+
 def _novelty(texts: DataFrame, tables) -> np.ndarray:
     """By level of the first word: the share of training tokens whose pair occurs once."""
     import pyarrow as pa
 
     def run(batches):
         total, once = np.zeros(MAX_LEVEL + 1, np.int64), np.zeros(MAX_LEVEL + 1, np.int64)
-        for batch in batches:
-            tokens = [token_hashes(x) for x in texts_of(batch)]
+        for tokens in (t for batch in batches for t in _slices(batch)):
             if tokens:
-                _, history, pair = tables.value.levels(tokens)
+                *_, history, pair = tables.value.levels(tokens)
                 total += np.bincount(history, minlength=MAX_LEVEL + 1)
                 once += np.bincount(history[pair <= 1], minlength=MAX_LEVEL + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(MAX_LEVEL + 1)), pa.array(total), pa.array(once)], ["level", "total", "once"])
@@ -223,7 +244,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     wanted = max(0, total // 2 - 1).bit_length()
     size = min(MAX_BITS, max(MIN_BITS, wanted))
     texts = docs.where(~held_out(id_col, folds)).select(F.col(text_col).cast("string").alias("text"))
-    rows = written(built(gram_counts(texts, size, 1 << max(0, wanted - size)), size), "lm-counts")
+    rows = written(built(gram_counts(texts, size, 1 << max(0, wanted - size))), "lm-counts")
     v = (rows.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 8
     bits = np.zeros((1 << size) // 8, np.uint8)
     per = 1 << (SEGMENT_BITS - 3)
@@ -236,8 +257,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         words = words.astype(np.uint64)
         order = np.argsort(words)
         words, counts = words[order], counts[order]
+        counts = counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts
     tables = spark.sparkContext.broadcast(Tables(size, bits, words, counts))
-    n = int(counts.sum()) if counts is not None else _exact_total(rows)
+    n = int(counts.sum(dtype=np.int64)) if counts is not None else _exact_total(rows)
     return Model(tables, rows, n, int(v), _novelty(texts, tables))
 
 
@@ -297,23 +319,25 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches):
         for batch in batches:
-            tokens = [token_hashes(x) for x in texts_of(batch)]
-            if not tokens:
-                continue
-            t, lengths = tables.value, np.array([len(x) for x in tokens])
-            at = np.repeat(np.arange(len(tokens)), lengths)
-            word, history, pair = t.levels(tokens)
-            single = 10.0 ** model_log(COUNT_OF[word])
-            both = np.minimum(COUNT_OF[pair], COUNT_OF[history]) / np.maximum(COUNT_OF[history], 1.0)
-            scores = np.bincount(at, np.log10((1 - novelty[history]) * both + novelty[history] * single))
-            base, known = np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
-            if few:
-                every, back = np.unique(np.concatenate(tokens), return_inverse=True)
-                place = np.minimum(np.searchsorted(t.words, every), max(0, len(t.words) - 1))
-                c = np.where(t.words[place] == every, t.counts[place], 0)[back] if len(t.words) else np.zeros(len(back), np.int64)
-                base, known = np.bincount(at, model_log(c)), np.bincount(at, c > 0).astype(np.int64)
-            columns = [pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(base), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "key", "n_tokens", "n_known", "base_score", "score"])
+            for k, tokens in enumerate(_slices(batch)):
+                yield score(batch.slice(k * TOGETHER, TOGETHER), tokens)
+
+    def score(batch, tokens):
+        t, lengths = tables.value, np.array([len(x) for x in tokens])
+        text = np.repeat(np.arange(len(tokens)), lengths)
+        every, at, word, history, pair = t.levels(tokens)
+        single = (10.0 ** model_log(COUNT_OF[word]))[at]
+        both = np.minimum(COUNT_OF[pair], COUNT_OF[history]) / np.maximum(COUNT_OF[history], 1.0)
+        scores = np.bincount(text, np.log10((1 - novelty[history]) * both + novelty[history] * single))
+        base, known = np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
+        if few:
+            c = np.zeros(len(every), np.int64)
+            if len(t.words):
+                place = np.minimum(np.searchsorted(t.words, every), len(t.words) - 1)
+                c = np.where(t.words[place] == every, t.counts[place], 0)
+            base, known = np.bincount(text, model_log(c)[at]), np.bincount(text, (c > 0)[at]).astype(np.int64)
+        columns = [pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(base), pa.array(scores)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "key", "n_tokens", "n_known", "base_score", "score"])
 
     model_log = _word_log10(model.n, model.v)
     kind = docs.schema[id_col].dataType.simpleString()
