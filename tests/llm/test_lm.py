@@ -82,3 +82,33 @@ def test_no_rows_and_no_training_rows(spark):
     only = spark.createDataFrame([(held, "one two")], "doc_id bigint, text string")
     (r,) = m.score_documents(only, m.train(only)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and abs(r.base_score) < 1e-12
+
+
+@pytest.mark.parametrize("skip", [0, 3])
+def test_the_filter_grows_with_what_is_inserted(skip):
+    rng = np.random.default_rng(7)
+    keys = np.unique(rng.integers(0, 2**64 - 1, 600_000, dtype=np.uint64)) >> np.uint64(skip)
+    bits = np.frombuffer(m.group_bits([(keys, np.ones(len(keys), np.int64))], skip), np.uint8)
+    size = (len(bits) * 8 - 1).bit_length()
+    other = np.setdiff1d(rng.integers(0, 2**64 - 1, 100_000, dtype=np.uint64) >> np.uint64(skip), keys)
+    assert len(bits) * 8 >= 10 * len(keys) and np.unpackbits(bits).mean() < 0.34
+    assert (m.probe(bits, keys, size, skip) >= 1).all() and (m.probe(bits, other, size, skip) > 0).mean() < 0.02
+
+
+def test_scores_do_not_depend_on_the_way_to_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(m, "CHUNK_BYTES", 200_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(docs.limit(3)).union(docs.limit(2).withColumn("text", docs["text"].substr(1, 0)))
+    near, far = m.train(docs, max_broadcast=1 << 40), m.train(docs, max_broadcast=0)
+    assert near.tables is not None and far.tables is None and np.array_equal(near.novelty, far.novelty)
+    other = docs.where("doc_id % 3 = 0")
+    for d in (docs, other):
+        a, b = (sorted((tuple(r) for r in m.score_documents(d, x).collect()), key=str) for x in (near, far))
+        assert [r[:5] for r in a] == [r[:5] for r in b] and np.allclose([r[5:] for r in a], [r[5:] for r in b], rtol=1e-9)
+
+
+def test_unseen_pairs_are_not_taken_for_known(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    t = m.train(docs, max_broadcast=1 << 40).tables.value
+    keys = np.random.default_rng(1).integers(0, 2**63, 50_000, dtype=np.uint64) * np.uint64(2)
+    assert (m.probe(t.bits, keys, t.size) > 0).mean() < 0.02
