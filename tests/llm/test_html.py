@@ -50,6 +50,23 @@ def test_parsing():
     assert h.text_of(h.parse("<script>never closed <p>x"), np.ones(9, bool)) == ""
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++){}</script>", "<script>if(a<b)x=\"it's</script>", "<script>s='<!--'</script >", "<SCRIPT>a<b</Script\n>", "<style>a:after{content:'<b'}</style>",
+        "<textarea>a<b \"</textarea>", "<title>x<y '</title>", "<script>'</scripts>'<x</script>", "<script src='x'/>", "<svg/>", "<template><p>x<b>y</template>", "<svg><path d='M0'/>",
+    ],
+)
+def test_raw_elements_end_at_their_own_tag(raw):
+    d = h.parse(f"<p>before</p>{raw}<p>after it</p><p>end</p>")
+    assert h.text_of(d, np.ones(len(d.tags), bool)) == "before\nafter it\nend"
+
+
+def test_formulas_and_objects_are_elements():
+    d = h.parse("<p>so <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> holds</p><object><p>shown</p></object><svg><title>t</title><text>axis</text></svg>")
+    assert h.text_of(d, np.ones(len(d.tags), bool)) == "so x<2 holds\nshown\naxis" and {"math", "mi", "object", "svg"} <= set(d.tags)
+
+
 def test_unseen_layouts():
     model = hand_model()
     p = "Here is a sentence that somebody wrote for readers, with a comma, and then it goes on for a while."

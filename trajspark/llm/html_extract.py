@@ -33,7 +33,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|data-main|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea iframe object svg math title".split())
+#: Elements whose inside is no markup, up to their own end tag.
+RAW = frozenset("script style title textarea iframe noscript".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
+#: Elements that a slash at the end of their start tag may close.
+CLOSED_BY_SLASH = frozenset("svg math object template".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -64,25 +68,22 @@ class Dom:
 
 
 def parse(page: str | None) -> Dom:
-    """Elements and text of a page, whole or broken off; markup, comments and raw elements leave no text."""
+    """Elements and text of a page, whole or broken off; markup, comments, templates and raw elements leave no text."""
     dom = Dom(["#root"], [[]], [-1], [0], [False], [])
     tags, parents, levels, links, runs = dom.tags, dom.parents, dom.levels, dom.links, dom.runs
-    stack, block, last, skip = [0], 0, 0, ""
+    stack, block, last, at = [0], 0, 0, 0
+    inert = [False]  # whether elements are in a template, which is not shown
     page = page or ""
 
     def text(begin: int, end: int) -> None:
         raw = page[begin:end]
-        if raw:
+        if raw and not inert[stack[-1]]:
             runs.append((stack[-1], block, html.unescape(raw) if "&" in raw else raw))
 
-    for m in _TOKEN.finditer(page):
-        if skip:
-            if m[1] and m[2].lower() == skip:
-                skip, last = "", m.end()
-            continue
+    while m := _TOKEN.search(page, at):
         if m.start() > last:
             text(last, m.start())
-        last = m.end()
+        last = at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
@@ -109,7 +110,8 @@ def parse(page: str | None) -> Dom:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                skip = tag
+                end = _RAW_END[tag].search(page, at)
+                last = at = end.end() if end else len(page)
             continue
         words = []
         if m[3] and not m[3].isspace():
@@ -126,7 +128,10 @@ def parse(page: str | None) -> Dom:
         parents.append(parent)
         levels.append(levels[parent] + 1)
         links.append(links[parent] or tag == "a")
-    if not skip and last < len(page):
+        inert.append(inert[parent] or tag == "template")
+        if tag in CLOSED_BY_SLASH and m[3].endswith("/"):
+            stack.pop()
+    if last < len(page):
         text(last, len(page))
     return dom
 
