@@ -72,3 +72,13 @@ def test_tables(spark):
     assert got[1].n_chars == len(got[1].text) and "974" not in got[1].text and "of.55" not in got[None].text
     assert out.where("doc_id = 1").select("text").distinct().count() == 1
     assert p.replace_pii(docs.limit(0)).collect() == [] and p.replace_pii(docs.where("doc_id = 4")).drop("n_chars").where(F.col("text") == "clean").count() == 1
+
+
+@pytest.mark.parametrize(
+    "text", ["pwd = correcthorsebattery", "api_key: abcdefghijkl", "API-KEY=abcdefghijkl", "aPiKeY : abcdefghijkl", "access-key=abcdefghijkl", "ToKEn: abcdefghijkl", "pAsSwOrD=abcdefghijkl", "call +٤٤ ٢٠ ٧٩٤٦ now", "no key here"]
+)
+def test_texts_without_digits_are_searched_whole(text):
+    whole = [(*m.span("value" if m.lastgroup == "secret" else m.lastgroup), m.lastgroup) for m in p._PATTERN.finditer(text)]
+    new, kinds = p.rewrite(text, KEY, {})
+    assert p.entities(text) == whole and kinds == [k for *_, k in whole] and all(new[b:e] != text[b:e] for b, e, _ in whole)
+    assert bool(whole) == (text != "no key here")

@@ -18,6 +18,7 @@ import functools
 import hashlib
 import hmac
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +60,8 @@ ENDINGS = {
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "".join(c for c in map(chr, range(0xDF, 0x100)) if c != "÷"), "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA)))]
 HEX = "0123456789abcdef"
 RESERVED_DOMAIN = re.compile(r"(?:^|\.)example\.(?:com|net|org)$|\.(?:example|test|invalid)$")
-_MARK = re.compile(r"[@0-9]")
-_KEY_WORDS = ("oken", "ecret", "assw", "OKEN", "ECRET", "ASSW")
+#: What every match of the pattern has at least.
+_MARK = re.compile(r"[@\d]|(?i:token|secret|key|passw|pwd)")
 
 
 @functools.lru_cache(1)
@@ -78,7 +79,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     """Places and kinds of the entities, in order and without overlap. A name's kind has its role: its
     gender for given names, ``surname`` for the last name."""
     found = []
-    if _MARK.search(text) or any(k in text for k in _KEY_WORDS):
+    if _MARK.search(text):
         for m in _PATTERN.finditer(text):
             kind = m.lastgroup  # the outermost group
             found.append((*m.span("value" if kind == "secret" else kind), kind))
@@ -126,6 +127,9 @@ def _permuted(key: bytes, tweak: str, value: int, size: int) -> int:
 
 
 def _alphabet(c: str) -> str:
+    if c.isdecimal() and c not in ALPHABETS[0]:
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
     return next((a for a in ALPHABETS if c in a), "")
 
 
