@@ -82,3 +82,21 @@ def test_texts_without_digits_are_searched_whole(text):
     new, kinds = p.rewrite(text, KEY, {})
     assert p.entities(text) == whole and kinds == [k for *_, k in whole] and all(new[b:e] != text[b:e] for b, e, _ in whole)
     assert bool(whole) == (text != "no key here")
+
+
+def test_full_formats_get_longer(spark):
+    rows = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrst"] + [("email", f"{i}@x.example.com") for i in range(10)] + [("phone", f"+12{i:03}") for i in range(1000)]
+    got = p.settled_attempts(spark.createDataFrame(rows, "kind string, form string"), KEY).collect()
+    made = {(r.kind, r.surrogate) for r in got}
+    assert len(got) == len(made) == len(rows) and not made & set(rows)
+    assert len(p.surrogate(KEY, "name:m", "x", 9)) == len(p.surrogate(KEY, "name:m", "x", 0)) + 16
+
+
+def test_many_attempts_are_joined(spark, monkeypatch):
+    texts = [f"to {i % 10}@x.example.com and {c}@example.com" for i, c in enumerate("abcdefghijklmnopqrst")]
+    docs = spark.createDataFrame([*enumerate(texts), (98, None), (99, "clean"), (0, texts[0])], "doc_id bigint, text string")
+    near = sorted(map(tuple, p.replace_pii(docs, key=KEY, kinds_col="kinds").collect()), key=str)
+    monkeypatch.setattr(p, "MAX_EXCEPTIONS", 0)
+    far = p.replace_pii(docs, key=KEY, kinds_col="kinds")
+    assert far.columns == [*docs.columns, "kinds"] and sorted(map(tuple, far.collect()), key=str) == near
+    assert len({r[1] for r in near}) == 22

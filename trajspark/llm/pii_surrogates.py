@@ -9,7 +9,9 @@ script, with an ending of the title's gender.
 
 A permutation keeps different entities of one shape apart. Names, and surrogates that happen to equal some
 entity of the corpus, are settled by a check over all distinct entities: those that collide get a further
-attempt until none does. The attempts above zero are few and go to the tasks that rewrite the texts.
+attempt until none does. From the second further attempt on, names get a further syllable each time, and e-mail
+addresses, secrets and international phone numbers a further character, so that a full format has room. The
+attempts above zero go to the tasks that rewrite the texts, or come to the texts by a join where they are many.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import cut, small_batches
+from trajspark.llm.common import cut, small_batches, written
 
 DEFAULT_KEY = b"surrogates-1"
-#: Entities with attempts above zero that are sent to the tasks; more is an error that names the cause.
+#: Entities with attempts above zero that are sent to the tasks; more are joined with the texts.
 MAX_EXCEPTIONS, MAX_ROUNDS = 500_000, 30
+#: Columns that rows have while attempts are joined with them.
+ROW, ATTEMPTS = "_pii_row", "_pii_attempts"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERN = re.compile(
@@ -147,6 +151,12 @@ def _in_alphabets(key: bytes, tweak: str, text: str, alphabets: list[str]) -> st
     return "".join(out)
 
 
+def _longer(text: str, more: int) -> str:
+    """The text with further characters of its last alphabet."""
+    last = next((a for a in map(_alphabet, reversed(text)) if a), ALPHABETS[1])
+    return text + last[0] * more
+
+
 def _luhn(digits: str) -> bool:
     doubled = (int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits)))
     return sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
@@ -159,7 +169,7 @@ def _script(word: str) -> str:
 
 def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical form."""
-    tweak = f"{kind}|{attempt}"
+    tweak, more = f"{kind}|{attempt}", max(0, attempt - 1)
     if kind == "ip":
         value = 0
         for x in form.split("."):
@@ -169,7 +179,7 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
     if kind.startswith("name"):
         script, role = _script(form), kind.partition(":")[2]
         x = int.from_bytes(hmac.digest(key, f"{tweak}|{form}".encode(), hashlib.sha256), "big")
-        part = [SYLLABLES[script][x >> 5 * k & 31] for k in range(4 if role == "surname" else 3)]
+        part = [SYLLABLES[script][x >> 5 * k & 31] for k in range((4 if role == "surname" else 3) + more)]
         return "".join(part) + ENDINGS[script][role]
     if kind == "email":
         local, _, domain = form.rpartition("@")
@@ -179,7 +189,10 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
             tweak = f"{tweak}|{form.rpartition('@')[2]}"
         else:
             tweak = f"{tweak}|{domain}"
+        local = _longer(local, more)
         return _in_alphabets(key, tweak, local, [_alphabet(c) for c in local]) + "@" + domain
+    if kind == "secret" or kind == "phone" and form.startswith("+"):
+        form = _longer(form, more)
     alphabets = [_alphabet(c) for c in form]
     if kind == "secret" and all(c in HEX for c in form):
         alphabets = [HEX] * len(form)
@@ -203,13 +216,15 @@ def in_format(kind: str, mention: str, form: str) -> str:
     """A canonical surrogate in the punctuation and case of a mention."""
     if kind in ("phone", "card", "ssn", "iban"):
         letters = iter(form.lstrip("+") if kind == "phone" else form)
-        out = "".join(next(letters) if c.isalnum() else c for c in mention)
+        out = "".join([next(letters) if c.isalnum() else c for c in mention]) + "".join(letters)
         return out.upper() if kind == "iban" else out
     if kind.startswith("name"):
         return form.upper() if len(mention) > 1 and mention.isupper() else form[0].upper() + form[1:]
-    if len(form) == len(mention):
+    if len(form) >= len(mention):
         if kind == "secret" and mention.upper() == mention:
             return form.upper()
+        at = mention.rindex("@") if kind == "email" else len(mention)  # further characters are in lower case
+        mention = mention[:at] + "a" * (len(form) - len(mention)) + mention[at:]
         return "".join(f.upper() if m.isupper() and len(f.upper()) == 1 else f for f, m in zip(form, mention, strict=True))
     return form
 
@@ -259,16 +274,30 @@ def settled_attempts(found: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
             return rows
         moved = rows.join(again, ["kind", "form"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         rows = cut(rows.join(again, ["kind", "form"], "left_anti").select("kind", "form", "attempt", "surrogate").union(_with_surrogates(moved, key)))
-    raise ValueError("some format has nearly as many entities as values: surrogates cannot be kept apart")
+    raise ValueError("some format of fixed length has nearly as many entities as values: surrogates cannot be kept apart")
 
 
-def _exceptions(docs: DataFrame, text_col: str, key: bytes) -> dict[tuple[str, str], int]:
+def _attempts(docs: DataFrame, text_col: str, key: bytes) -> DataFrame:
+    """``kind``, ``form``, ``attempt`` of the entities with attempts above zero."""
     found = cut(corpus_entities(docs, text_col))
-    over = settled_attempts(found, key).where("attempt > 0").select("kind", "form", "attempt")
-    rows = over.limit(MAX_EXCEPTIONS + 1).collect()
-    if len(rows) > MAX_EXCEPTIONS:
-        raise ValueError(f"more than {MAX_EXCEPTIONS} surrogates collide: a format has too few values for this corpus")
-    return {(r["kind"], r["form"]): r["attempt"] for r in rows}
+    return settled_attempts(found, key).where("attempt > 0").select("kind", "form", "attempt")
+
+
+def _with_attempts(docs: DataFrame, text_col: str, over: DataFrame) -> DataFrame:
+    """``docs`` with the attempts above zero of each row's entities as an array in a last column."""
+    import pyarrow as pa
+
+    rows = written(docs.withColumn(ROW, F.expr("uuid()")), "pii-rows")
+
+    def run(batches):
+        for batch in batches:
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                kinds, forms = zip(*seen, strict=True) if (seen := {(k, canonical(k, t[b:e])) for b, e, k in entities(t or "")}) else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(kinds), pa.string()), pa.array(kinds, pa.string()), pa.array(forms, pa.string())], [ROW, "kind", "form"])
+
+    theirs = rows.select(ROW, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{ROW} string, kind string, form string")
+    lists = theirs.join(over, ["kind", "form"]).groupBy(ROW).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(ATTEMPTS))
+    return rows.join(lists, ROW, "left").select(*docs.columns, ATTEMPTS)
 
 
 def rewrite(text: str, key: bytes, exceptions: dict[tuple[str, str], int], memo: dict | None = None) -> tuple[str, list[str]]:
@@ -298,10 +327,13 @@ def replace_pii(
     """
     import pyarrow as pa
 
-    exceptions = _exceptions(docs, text_col, key)
+    over = _attempts(docs, text_col, key)
+    few = over.limit(MAX_EXCEPTIONS + 1).collect()
+    joined = len(few) > MAX_EXCEPTIONS
+    exceptions = {} if joined else {(r["kind"], r["form"]): r["attempt"] for r in few}
     at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
-    schema = docs.schema
+    schema, docs_columns = docs.schema, docs.columns
     if kinds_col:
         from pyspark.sql import types as T
 
@@ -311,16 +343,20 @@ def replace_pii(
         memo: dict = {}
         for batch in batches:
             columns, texts = list(batch.columns), batch.column(at).to_pylist()
-            done = [rewrite(t, key, exceptions, memo) if t else (t, []) for t in texts]
+            if joined:
+                own = [{(a["kind"], a["form"]): a["attempt"] for a in x or []} for x in columns.pop().to_pylist()]
+                done = [rewrite(t, key, x) if t else (t, []) for t, x in zip(texts, own, strict=True)]
+            else:
+                done = [rewrite(t, key, exceptions, memo) if t else (t, []) for t in texts]
             columns[at] = pa.array([t for t, _ in done], pa.string())
             if length_at is not None:
                 lengths = batch.column(length_at).to_pylist()
                 changed = [len(t) if k and n is not None else n for (t, k), n in zip(done, lengths, strict=True)]
                 columns[length_at] = pa.array(changed, batch.column(length_at).type)
-            names = list(batch.schema.names)
+            names = list(docs_columns)
             if kinds_col:
                 columns.append(pa.array([k for _, k in done], pa.list_(pa.string())))
                 names.append(kinds_col)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, schema)
+    return (_with_attempts(docs, text_col, over) if joined else docs).mapInArrow(run, schema)
