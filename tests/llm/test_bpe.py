@@ -39,6 +39,33 @@ def test_tree_concatenation_is_exact(kind):
             assert c.encode_batch([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_words_and_punctuation_as_the_library():
+    rng, c, t = random.Random(5), bpe.Codec(PATH), library()
+    words = ["the", "Élan", "Straße", "слово", "λόγος", "don't", "it's", "'s", "x1", "12", "ªº", "ſ", "日本", "ԱԲ", "e\u0301", "<|endoftext|>", "_", "a_b", "", "naïve"]
+    tails = ["", ".", ",", "...", "'", "')", '"', "!?", "_", "***", "…", "\n", ".\n", "\n\n", "\t", "'ll", "\r\n"]
+    texts = ["".join(rng.choice(words) + rng.choice(tails) + rng.choice(["", " ", " ", "\n", "  "]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    got = [x.tolist() for k in range(0, 3000, 500) for x in c.encode_batch(texts[k : k + 500])]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_documents_as_the_library(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    c, t = bpe.Codec(PATH), library()
+    assert [x.tolist() for x in c.encode_batch(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_long_runs_on_spark_go_through_the_tree(spark):
+    rng, t = random.Random(8), library()
+    runs = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (513, 3000, 20_000)] + ["-" * 2000, "日本語の文" * 400, "7" * 1500]
+    rows = [(i, x, None) for i, x in enumerate([*runs, *(f"before {r} after it" for r in runs), " ".join(runs)])]
+    c, calls = bpe.Codec(PATH), []
+    tree, c.tree = c.tree, lambda x: calls.append(len(x)) or tree(x)
+    c.encode_batch([x for _, x, _ in rows])
+    assert sum(n > bpe.LONG for n in calls) >= 12
+    got = {r.doc_id: r.ids_sha256 for r in bpe.encode_digests(spark.createDataFrame(rows, "doc_id bigint, text string, id string")).collect()}
+    assert got == {i: hashlib.sha256(",".join(map(str, t.encode(x, add_special_tokens=False).ids)).encode()).hexdigest() for i, x, _ in rows}
+
+
 def test_bytes_that_are_no_text():
     c, t = bpe.Codec(PATH), library()
     ids = t.encode("日本語🙂", add_special_tokens=False).ids

@@ -2,8 +2,9 @@
 
 Most of a text consists of short stretches between single spaces. A single space between two characters
 that are not white space always begins a new pre-token, so these stretches encode independently of each
-other; a bounded memo holds their ids and the tokenizers library encodes the ones not seen yet, in batches.
-A text in which a space meets other white space goes to the library whole.
+other; a bounded memo holds their ids, and those not seen yet are encoded by the library: a plain word with
+punctuation after it as its two pre-tokens, all others in batches. A text in which a space meets other white
+space goes to the library whole.
 
 A stretch that the pre-tokenizer leaves unsplit and that is long (a hex run, a text in a script without
 spaces) is encoded by tree concatenation: halves are cut down to leaves, all leaves are encoded in one
@@ -21,13 +22,15 @@ import hashlib
 import itertools
 import json
 import re
+import string
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import small_batches
+from trajspark.llm.common import bounded
 
 #: Characters above which an unsplit stretch is encoded as a tree, and of a leaf.
 LONG, LEAF = 512, 256
@@ -37,6 +40,8 @@ WINDOW, AGREE = 8, 2
 MEMO, MEMO_CHARS = 800_000, 48
 #: Stretches that the library encodes as one text.
 JOINED = 2000
+#: What may follow a plain word as one pre-token, and what joins two lines.
+_AFTER, _LINE = string.punctuation, "\n"
 
 
 def default_path() -> str:
@@ -89,6 +94,14 @@ class Codec:
             self.chars[i] = len(token)
         self.spaced = np.array([p.startswith(b" ") for p in self.pieces])
         self.memo: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.letters = {b: ch for ch, b in letters.items()}
+        self.tokenize = self.library.model.tokenize
+        # Ids of a line feed; None where plain words with punctuation may hold an added token.
+        apart = self.by_stretch and all(re.search(r"[^\w\n]\w", c) for c in contents)
+        self.feed = array("I", [t.id for t in self.tokenize(self.letters[10])]).tobytes() if apart else None
+        self.names = list(map(str, range(self.size)))
 
     # -- unsplit text ----------------------------------------------------------------------------
 
@@ -150,14 +163,52 @@ class Codec:
 
     # -- whole texts -----------------------------------------------------------------------------
 
+    def _word(self, word: str, space: bool) -> bytes | None:
+        """Ids of a plain word after a space or at the beginning of a line; None for other texts."""
+        # Letters up to the Cyrillic ones, on which all versions of Unicode agree.
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0500"):
+            return None
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(self.letters[32] + letters if space else letters)]).tobytes()
+
+    def _after(self, tail: str) -> bytes:
+        """Ids of punctuation behind a word."""
+        if tail not in self.tails:
+            self.tails[tail] = array("I", [t.id for t in self.tokenize(tail)]).tobytes()
+        return self.tails[tail]
+
+    def _lines(self, text: str) -> bytes | None:
+        """Ids after a space of plain words in lines that are not empty; None for others."""
+        parts = []
+        for x in text.split(_LINE):
+            word = x.rstrip(_AFTER)
+            ids = self._word(word, not parts)
+            if ids is None:
+                return None
+            parts.append(ids + self._after(x[len(word) :]))
+        return self.feed.join(parts)
+
     def _learn(self, stretches: set[str]) -> None:
         """Put stretches into the memo; None for one that does not encode by itself."""
-        short = []
+        short, memo, words = [], self.memo, self.words
+        if len(words) > MEMO or len(self.tails) > MEMO:
+            words.clear()
+            self.tails.clear()
         for s in stretches:
+            if self.feed is not None:
+                word = s.rstrip(_AFTER)
+                ids = words.get(word)
+                if ids is None and (ids := self._word(word, True)) is not None:
+                    words[word] = ids
+                if ids is not None:
+                    memo[s] = ids if len(word) == len(s) else ids + self._after(s[len(word) :])
+                    continue
             if not s or s[0].isspace() or s[-1].isspace():
-                self.memo[s] = None
+                memo[s] = None
             elif len(s) > LONG or self.special and self.special.search(s):
-                self.memo[s] = self._encode_long(" " + s).astype("<u4").tobytes()
+                memo[s] = self._encode_long(" " + s).astype("<u4").tobytes()
+            elif self.feed is not None and (ids := self._lines(s)) is not None:
+                memo[s] = ids
             else:
                 short.append(s)
         # Joined by single spaces they encode as one text, in which only their first tokens begin with a space.
@@ -197,6 +248,10 @@ class Codec:
             del self.memo[s]
         return out
 
+    def as_text(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids.tolist())).encode()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         raw = b"".join(map(self.pieces.__getitem__, ids.tolist()))
@@ -219,11 +274,10 @@ def encode_decode(
     import pyarrow as pa
 
     path = path or default_path()
-    small_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             ids = c.encode_batch(batch.column(1).to_pylist())
             flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -242,17 +296,16 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     import pyarrow as pa
 
     path = path or default_path()
-    small_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             ids = c.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(c.as_text(x)).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()),
                 ],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -7,11 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch, so that long texts do not pile up in a Python worker.
-BATCH_ROWS = 1000
+#: Rows, and bytes of texts, that a task works on together. Spark itself bounds the bytes of an Arrow batch.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -19,11 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch; a smaller bound that the session has stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def bounded(batches, at: int, most: int = SLICE_BYTES) -> Iterator:
+    """Slices of Arrow batches with at most ``SLICE_ROWS`` rows and ``most`` bytes of the texts in column ``at``,
+    or one row. Empty batches are left out."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        ends, begin = np.cumsum(lengths), 0
+        while begin < len(ends):
+            before = int(ends[begin - 1]) if begin else 0
+            end = min(int(np.searchsorted(ends, before + most, "right")), begin + SLICE_ROWS)
+            end = max(end, begin + 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +71,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_hash(df: DataFrame, *seeds):
+    """A 64-bit hash of all columns; equal rows have equal hashes. Maps are hashed as JSON."""
+    plain = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in ((f"`{n}`", t) for n, t in df.dtypes)]
+    return F.xxhash64(*map(F.lit, seeds), *plain)
+
+
 def ascii_lower(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import small_batches
+from trajspark.llm.common import bounded
 from trajspark.llm.labelled_pages import PAGES
 
 MAX_PAGES = 400
@@ -278,7 +278,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_p
     chosen = sample.select("a", "b").orderBy("a", "b").limit(max_pages).distinct()
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 0):
             counts = Counter()
             for page in batch.column(0).to_pylist():
                 dom = parse(page)
@@ -309,10 +309,9 @@ def extract_pages(pages: DataFrame, model: Model | None = None, id_col: str = "p
     import pyarrow as pa
 
     model = model or fit(pages, id_col, html_col)
-    small_batches(pages.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 2):
             texts = extract(batch.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"]

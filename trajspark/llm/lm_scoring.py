@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import small_batches, texts_of, written
+from trajspark.llm.common import bounded, texts_of, written
 
 SEGMENT_BITS = 20
 #: Least bits of the filter for each gram and level; a group's bits are a power of two.
@@ -162,7 +162,7 @@ def gram_counts(texts: DataFrame, skip: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["segment", "kind", "keys", "counts"])
 
         size_held = 0
-        for batch in batches:
+        for batch in bounded(batches, 0):
             for x in texts_of(batch):
                 tokens = token_hashes(x)
                 # A text's start is counted once, as the history of its first token.
@@ -283,7 +283,6 @@ def _gathered(rows: DataFrame, skip: int, few: bool) -> Tables:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, max_vocab: int = MAX_VOCAB, max_broadcast: int = MAX_BROADCAST) -> Model:
     """Learn from all texts outside the held-out fold; null texts are empty ones."""
     spark = docs.sparkSession
-    small_batches(spark)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("bigint"))).first()[0] or 0
     # A group has 2 to 4 MB of text.
     skip = max(0, max(0, total // 2 - 1).bit_length() - SEGMENT_BITS)

@@ -25,7 +25,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import cut, small_batches, written
+from trajspark.llm.common import bounded, cut, written
 
 DEFAULT_KEY = b"surrogates-1"
 #: Entities with attempts above zero that are sent to the tasks; more are joined with the texts.
@@ -236,10 +236,9 @@ def corpus_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct ``kind`` and ``form`` over all texts."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 0):
             seen = {(k, canonical(k, t[b:e])) for t in batch.column(0).to_pylist() if t for b, e, k in entities(t)}
             kinds, forms = zip(*seen, strict=True) if seen else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(forms, pa.string())], ["kind", "form"])
@@ -341,7 +340,7 @@ def replace_pii(
 
     def run(batches):
         memo: dict = {}
-        for batch in batches:
+        for batch in bounded(batches, at):
             columns, texts = list(batch.columns), batch.column(at).to_pylist()
             if joined:
                 own = [{(a["kind"], a["form"]): a["attempt"] for a in x or []} for x in columns.pop().to_pylist()]

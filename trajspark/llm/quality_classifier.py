@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import small_batches, texts_of
+from trajspark.llm.common import bounded, texts_of
 
 BITS = 18
 MAX_ROWS = 8000
@@ -176,7 +176,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on labelled rows outside the held-out fold. Of several labels of an id the lowest counts."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     usable = labels.where(~held_out(id_col, folds) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("label"))
     usable = usable.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
@@ -184,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         features = Features()
-        for batch in batches:
+        for batch in bounded(batches, 1):
             found = [features(x).astype("<i4").tobytes() for x in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["label", "places"])
 
@@ -197,11 +196,10 @@ def score_documents(docs: DataFrame, model: Classifier, id_col: str = "doc_id",
     """``id_col``, ``score`` (higher: label 1 likelier) and ``predicted`` of every row, repeats included."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
 
     def run(batches):
         features = Features()
-        for batch in batches:
+        for batch in bounded(batches, 1):
             scores = np.array([model.score(features(x)) for x in texts_of(batch)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 

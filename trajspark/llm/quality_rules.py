@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import small_batches, texts_of, written
+from trajspark.llm.common import bounded, texts_of, written
 
 TREES, ROWS_PER_TREE, DEPTH = 128, 256, 8
 #: Share of good labelled documents that may be rejected.
@@ -140,10 +140,9 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, the counts and the shares of every row; a null text has no words."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 1):
             found = [statistics(x) for x in texts_of(batch)]
             counts = [pa.array([c[k] for c, _ in found], pa.int64()) for k in range(len(COUNTS))]
             shares = [pa.array([s[k] for _, s in found], pa.float64()) for k in range(len(SHARES))]

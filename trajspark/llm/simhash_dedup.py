@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import small_batches, texts_of, word_chunks, written
+from trajspark.llm.common import bounded, texts_of, word_chunks, written
 from trajspark.llm.components import connected_components
 
 SEED = 42
@@ -62,10 +62,9 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``id`` and ``fp`` (the fingerprint's bits as a signed long) of every row."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 1):
             fps = np.array([fingerprint(x, size) for x in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 

@@ -13,7 +13,8 @@ executors are covered. A segment holds consecutive documents:
     samples       32-bit places of every 256th set bit of ``high``
 
 The boundaries (ends of the documents) of ``n`` documents and ``u`` ids take about 2 + log2(u / n) bits
-each. ``select`` finds one boundary from the nearest sample and a scan of at most 256 set bits.
+each. ``select`` finds a boundary from the sample before it and a scan of at most 256 set bits; documents are
+read through it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm import bpe
-from trajspark.llm.common import new_path, small_batches
+from trajspark.llm.common import bounded, new_path
 
 END_ID = 0
 SEGMENT_IDS = 1 << 20
@@ -61,34 +62,31 @@ class EliasFano:
         pack = lambda bits: np.packbits(bits, bitorder="little").tobytes()
         return cls(n, low_bits, pack(lows.ravel()), pack(high), at[::SAMPLE].astype("<u4").tobytes())
 
-    def _lows(self, begin: int, end: int) -> np.ndarray:
-        first, last = begin * self.low_bits, end * self.low_bits
-        raw = np.frombuffer(self.low, np.uint8)[first // 8 : (last + 7) // 8]
-        bits = np.unpackbits(raw, bitorder="little")[first % 8 : first % 8 + last - first]
-        return bits.reshape(end - begin, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+    def _lows(self, at: np.ndarray) -> np.ndarray:
+        places = at[:, None] * self.low_bits + np.arange(self.low_bits)
+        raw = np.frombuffer(self.low, np.uint8)
+        return (raw[places >> 3] >> (places & 7) & 1).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
     def select(self, i: int) -> int:
         """Value number ``i``, from 0."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        place = int(np.frombuffer(self.samples, "<u4")[i // SAMPLE])
-        left, byte, raw = i % SAMPLE, place // 8, np.frombuffer(self.high, np.uint8)
-        while True:
-            # Set bits from the sampled one on, 64 bytes at a time.
-            bits = np.unpackbits(raw[byte : byte + 64], bitorder="little")
-            bits[: max(0, place - 8 * byte)] = 0
-            ones = np.flatnonzero(bits)
-            if left < len(ones):
-                place = 8 * byte + int(ones[left])
-                break
-            left, byte = left - len(ones), byte + 64
-        return (place - i) << self.low_bits | int(self._lows(i, i + 1)[0])
-
-    def all(self) -> np.ndarray:
-        if not self.n:
+        return int(self.select_many(np.array([i]))[0])
+
+    def select_many(self, at: np.ndarray) -> np.ndarray:
+        """Values with the ascending numbers ``at``: from the sample before each one, set bits are counted on."""
+        if not len(at):
             return np.zeros(0, np.int64)
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return (at - np.arange(self.n)) << self.low_bits | self._lows(0, self.n)
+        if at[0] < 0 or at[-1] >= self.n:
+            raise IndexError(at)
+        samples, raw = np.frombuffer(self.samples, "<u4"), np.frombuffer(self.high, np.uint8)
+        block, out = at // SAMPLE, []
+        for own in np.split(at, np.flatnonzero(np.diff(block)) + 1):
+            k = int(own[0]) // SAMPLE
+            place, after = int(samples[k]), k + 1 < len(samples)
+            bits = np.unpackbits(raw[place // 8 : int(samples[k + 1]) // 8 + 1 if after else len(raw)], bitorder="little")
+            bits[: place % 8] = 0
+            ones = np.flatnonzero(bits)[own - k * SAMPLE] + place // 8 * 8
+            out.append((ones - own) << self.low_bits)
+        return np.concatenate(out) | self._lows(at)
 
 
 def write_token_ids(
@@ -102,31 +100,41 @@ def write_token_ids(
 ) -> None:
     """Encode every whole text, add ``end_id`` to each and write them in ascending order of ids.
 
-    Null ids come first, repeated ids in the order of their texts; a null or empty text gives the end id
-    alone. An empty table gives a folder without segments.
+    Texts are encoded where they lie, and only ids are shuffled. Null ids come first, repeated ids in the order
+    of a hash of their token ids; a null or empty text gives the end id alone. An empty table gives a folder
+    without segments.
     """
     import pyarrow as pa
     from pyspark import TaskContext
 
-    spark = docs.sparkSession
     path = path or bpe.default_path()
-    small_batches(spark)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(n_parts, "id").sortWithinPartitions("id", "text")
+    bounds = _bounds(rows, n_parts)
     names = [field.split()[0] for field in SCHEMA.split(", ")]
 
-    def run(batches):
-        c, part, seg = bpe.codec(path), TaskContext.get().partitionId(), 0
-        width = 2 if c.size <= 1 << 16 else 4
+    def encode(batches):
+        from xxhash import xxh64_intdigest
+
+        c = bpe.codec(path)
+        kind = f"<u{_width(c)}"
+        for batch in bounded(batches, 1):
+            ids = batch.column(0)
+            found = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in c.encode_batch(batch.column(1).to_pylist())]
+            mixed = np.array([xxh64_intdigest(x) for x in found], np.uint64) >> np.uint64(1)
+            parts = _part_of(ids.fill_null(_NULL).to_numpy(), mixed, bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), ids, pa.array(mixed.astype(np.int64)), pa.array(found, pa.binary())], ["part", "id", "mixed", "ids"])
+
+    def write(batches):
+        part, seg = TaskContext.get().partitionId(), 0
+        width = _width(bpe.codec(path))
         held: list = []
 
         def segment():
             nonlocal seg
-            ends = np.cumsum([len(x) for _, x in held])
+            ends = np.cumsum([len(x) // width for _, x in held])
             bounds = EliasFano.of(ends)
-            flat = np.concatenate([x for _, x in held]).astype(f"<u{width}").tobytes()
-            row = [part, seg, [i for i, _ in held], int(ends[-1]), width, flat, bounds.low_bits, bounds.low, bounds.high, bounds.samples]
+            row = [part, seg, [i for i, _ in held], int(ends[-1]), width, b"".join(x for _, x in held), bounds.low_bits, bounds.low, bounds.high, bounds.samples]
             seg += 1
             held.clear()
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -134,10 +142,8 @@ def write_token_ids(
 
         size = 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, x in zip(ids, c.encode_batch(batch.column(1).to_pylist()), strict=True):
-                x = np.append(x, np.uint32(end_id))
-                if held and size + len(x) > segment_ids:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and size + len(x) > segment_ids * width:
                     yield segment()
                     size = 0
                 held.append((i, x))
@@ -145,7 +151,32 @@ def write_token_ids(
         if held:
             yield segment()
 
-    rows.mapInArrow(run, SCHEMA).write.parquet(out)
+    encoded = rows.mapInArrow(encode, "part int, id bigint, mixed bigint, ids binary")
+    dealt = encoded.repartitionById(n_parts, "part").sortWithinPartitions("id", "mixed", "ids").select("id", "ids")
+    dealt.mapInArrow(write, SCHEMA).write.parquet(out)
+
+
+#: Stands for a null id, which comes first, in comparisons.
+_NULL = -(2**63)
+
+
+def _width(c: bpe.Codec) -> int:
+    return 2 if c.size <= 1 << 16 else 4
+
+
+def _bounds(rows: DataFrame, n_parts: int) -> np.ndarray:
+    """About equally many ids lie between each two bounds; an id with very many rows is several bounds."""
+    shares = [k / n_parts for k in range(1, n_parts)]
+    if not shares:
+        return np.zeros(0, np.int64)
+    found = rows.agg(F.percentile_approx(F.coalesce("id", F.lit(_NULL)), shares, max(10_000, 20 * n_parts)).alias("b")).first()["b"]
+    return np.array(found or [], np.int64)
+
+
+def _part_of(ids: np.ndarray, mixed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The part of each row, rising with (id, mixed): an id that is several bounds is dealt by the hash."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    return low + (mixed.astype(np.float64) / 2.0**63 * (high - low + 1)).astype(np.int64).clip(0, high - low)
 
 
 def read_token_ids(spark: SparkSession, out: str) -> DataFrame:
@@ -165,7 +196,7 @@ def read_token_ids(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 n = len(r["doc_ids"])
-                ends = EliasFano(n, r["low_bits"], r["low"], r["high"], r["samples"]).all()
+                ends = EliasFano(n, r["low_bits"], r["low"], r["high"], r["samples"]).select_many(np.arange(n))
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
                 sums = [zlib.crc32(ids[b:e].tobytes()) for b, e in zip(starts.tolist(), ends.tolist(), strict=True)]
