@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -54,6 +56,42 @@ def test_removal(spark):
     assert not any(r.contaminated for r in d.contamination_report(spark.createDataFrame(list(spans.items()), "doc_id bigint, text string"), bench).collect())
 
 
+def test_names_that_clash(spark):
+    names = ["text_sha", "spans", "items", "row", "__key", "__spans", "words", "h", "pos"]
+    docs = spark.createDataFrame([(*r, *names) for r in DOCS], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(*r, "x") for r in ITEMS], "item_id bigint, text string, words string")
+    for how in ("documents", "spans"):
+        out = d.decontaminate(docs, bench, remove=how)
+        assert out.columns == docs.columns and all(list(r)[2:] == names for r in out.collect())
+    assert sorted((tuple(r) for r in d.contamination_report(docs, bench).collect()), key=str) == brute(DOCS, ITEMS)
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_random_texts(spark, bound, monkeypatch):
+    monkeypatch.setattr(d.contamination, "__defaults__", (*d.contamination.__defaults__[:-1], bound))
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choice(["a", "B", "b", "É", "é", "x-y"]) for _ in range(n))
+    items = [(k, some(rng.randint(1, 16))) for k in range(12)]
+    docs = [(k, some(rng.randint(0, 200)) + " " + rng.choice(items)[1]) for k in range(60)]
+    got = d.contamination_report(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
+
+
+def test_a_document_of_a_million_words(spark):
+    rng = random.Random(4)
+    text = [f"w{rng.randint(0, 10**6)}" for _ in range(1_000_000)]
+    item = " ".join(BASE[:12])
+    for at in range(0, 1_000_000, 1000):
+        text[at : at + 12] = BASE[:12]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, "clean")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (2, "a b c")], "item_id bigint, text string")
+    start = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in d.contamination_report(docs, bench).collect()}
+    assert got == {1: (1_000_000, 12_000, ["1"]), 2: (1, 0, [])}
+    assert d.decontaminate(docs.where("doc_id = 1"), bench, remove="spans").first().text.count("w0 ") < 10
+    assert time.time() - start < 90
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
