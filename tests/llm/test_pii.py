@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,11 +56,10 @@ def test_collisions_are_settled(spark):
     assert any(r.attempt for r in got) and all(r.surrogate == p.surrogate(KEY, r.kind, r.form, r.attempt) for r in got)
 
 
-def test_a_full_format_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(p, "MAX_ROUNDS", 2)
-    rows = [("email", f"{i}@x.example.com") for i in range(10)]
-    with pytest.raises(ValueError):
-        p.settled_attempts(spark.createDataFrame(rows, "kind string, form string"), KEY)
+def test_full_formats_of_fixed_length_grow(spark):
+    rows = [("card", f"{i:013}"[:9] + f"{i:04}") for i in range(50)] + [("ip", f"169.254.1.{i}") for i in range(50)]
+    assert all(len(p.surrogate(KEY, k, f, p.LAST_FIXED + 1)) > len(p.surrogate(KEY, k, f, 1)) for k, f in rows if k == "card")
+    assert all(p.surrogate(KEY, "ip", f, p.LAST_FIXED).count(".") == 4 for k, f in rows if k == "ip")
 
 
 def test_tables(spark):
@@ -71,7 +71,7 @@ def test_tables(spark):
     assert out.count() == 6 and got[2].text is None and got[2].kinds == [] and got[3].text == "" and got[4].text == "clean"
     assert got[1].n_chars == len(got[1].text) and "974" not in got[1].text and "of.55" not in got[None].text
     assert out.where("doc_id = 1").select("text").distinct().count() == 1
-    assert p.replace_pii(docs.limit(0)).collect() == [] and p.replace_pii(docs.where("doc_id = 4")).drop("n_chars").where(F.col("text") == "clean").count() == 1
+    assert p.replace_pii(docs.limit(0), KEY).collect() == [] and p.replace_pii(docs.where("doc_id = 4"), KEY).drop("n_chars").where(F.col("text") == "clean").count() == 1
 
 
 @pytest.mark.parametrize(
@@ -100,3 +100,82 @@ def test_many_attempts_are_joined(spark, monkeypatch):
     far = p.replace_pii(docs, key=KEY, kinds_col="kinds")
     assert far.columns == [*docs.columns, "kinds"] and sorted(map(tuple, far.collect()), key=str) == near
     assert len({r[1] for r in near}) == 22
+
+
+def brute(rows, key=KEY):
+    """Surrogates settled in one loop over all entities; texts rewritten one by one."""
+    found = {(k, p.canonical(k, t[b:e])) for _, t in rows for b, e, k in p.entities(t or "")}
+    alias = {("name:n", f): min(k for k, g in found if g == f and k in ("name:f", "name:m")) for k, f in found if k == "name:n" and {("name:f", f), ("name:m", f)} & found}
+    attempt = {x: 0 for x in found if x not in alias}
+    while True:
+        made = {x: p.surrogate(key, *x, attempt[x]) for x in attempt}
+        first = {}
+        for (k, f), m in made.items():
+            first[k, m] = min(first.get((k, m), (99, "")), (attempt[k, f], f))
+        again = [(k, f) for (k, f), m in made.items() if (k, m) in attempt or first[k, m][1] != f]
+        if not again:
+            break
+        for x in again:
+            attempt[x] += 1
+    made.update({x: made[k, x[1]] for x, k in alias.items()})
+    out = []
+    for i, t in rows:
+        new, last = "", 0
+        for b, e, k in p.entities(t or ""):
+            new += t[last:b] + p.in_format(k, t[b:e], made[k, p.canonical(k, t[b:e])])
+            last = e
+        out.append((i, None if t is None else new + t[last:]))
+    return sorted(out, key=str)
+
+
+HARD = [
+    "Reset form. Password: -------- (fill in), secret = ........", "mail 山田@例え.jp and 田中@例え.jp", "اتصل +٩٦٦ ٥٠ ١٢٣ ٤٥٦٧ الآن", "Dr. Anna Berg spoke. Mrs Anna Berg left. Later Berg and Anna said so; BERG's too.",
+    "Dr. Anna Kern and Prof. Dr. Jean-Luc O'Neil, Herr J. van der Meer", "pwd: abcdefghijkl", '{"api_key": "abcdefghijkl"}', "10.0.0.7 and 192.168.1.20 and 8.8.8.8", "IBAN DE89 3704 0044 0532 0130 00", "a@example.com b@example.com c@example.com", None, "",
+]
+
+
+def test_a_hard_corpus_against_brute_force(spark, monkeypatch):
+    rows = [*enumerate(HARD), (3, HARD[3]), (50, TEXT)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    assert sorted(map(tuple, p.replace_pii(docs, KEY).collect()), key=str) == want
+    monkeypatch.setattr(p, "MAX_EXCEPTIONS", 0)
+    assert sorted(map(tuple, p.replace_pii(docs, KEY).collect()), key=str) == want
+    new = dict(want)
+    assert new[0] == HARD[0] and "山" not in new[1] and "田" not in new[1] and not set("٩٦٥١٢٣٤٧") >= set(new[2][6:]) and "Berg" not in new[3] and "Anna" not in new[3] and "BERG" not in new[3]
+    assert all(x not in new[4] for x in ("Anna", "Kern", "Jean", "Neil", "Meer")) and "abcdefghijkl" not in new[5] + new[6]
+    assert new[7].split()[0].startswith("10.") and new[7].split()[2].startswith("192.168.") and p._iban_rest(p.canonical("iban", new[8][5:])) == 1
+    anna = p.surrogate(KEY, "name:f", "anna")
+    assert anna.capitalize() in new[3] and anna.capitalize() in new[4]
+
+
+def test_later_mentions_and_one_gender():
+    text = "Dr. Anna Berg came. Mr Paul Berg and Mrs. Anna Berg, said Anna. anna stays; Annabel and Mr stay."
+    assert [(text[b:e], k) for b, e, k in p.entities(text)] == [
+        ("Anna", "name:f"), ("Berg", "name:surname"), ("Paul", "name:m"), ("Berg", "name:surname"), ("Anna", "name:f"), ("Berg", "name:surname"), ("Anna", "name:f"),
+    ]
+
+
+@pytest.mark.parametrize("run", ["a1" * 500_000, "x" * 1_000_000, "a.b-" * 250_000, "9" * 1_000_000, "a@" * 400_000, "A" * 1_000_000, "token=" + "-" * 1_000_000, "ab12 " * 200_000, "Mr " * 300_000])
+def test_long_runs_take_linear_time(run):
+    start = time.time()
+    p.rewrite("Mr. Kern wrote to a1@b.example: " + run, KEY, {})
+    assert time.time() - start < 12
+
+
+def test_long_values_have_surrogates():
+    text = f"token={'aB3' * 40_000} mail {'x' * 3000}@example.com"
+    start = time.time()
+    new, kinds = p.rewrite(text, KEY, {})
+    assert kinds == ["secret", "email"] and len(new) == len(text) and "aB3aB3aB3" not in new and time.time() - start < 12
+
+
+def test_more_names_than_short_names(spark):
+    rows = [("name:f", f"n{i}") for i in range(40_000)]
+    got = p.settled_attempts(spark.createDataFrame(rows, "kind string, form string"), KEY)
+    assert got.count() == got.select("surrogate").distinct().count() == 40_000
+
+
+def test_no_key_is_an_error(spark):
+    with pytest.raises(ValueError):
+        p.replace_pii(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), b"")

@@ -1,17 +1,24 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, card and account numbers, social security
-numbers, IBANs, secrets after a key word, and names after a title. Each entity has a canonical form without
-case and punctuation, so that mentions of one entity agree everywhere (coreference); its surrogate is a
-keyed permutation of the canonical form within its alphabet (digits stay digits, Cyrillic letters stay
-Cyrillic), put back into the mention's own punctuation and case. Names are built from syllables of their
-script, with an ending of the title's gender.
+numbers, IBANs, secrets after a key word, and names: those after a title, and every later or earlier capitalised
+mention of their words in the same text. A secret has a letter or digit; a value of punctuation alone stays.
+
+Each entity has a canonical form without case and punctuation, so that mentions of one entity agree everywhere
+(coreference); its surrogate is a keyed permutation of the canonical form within its alphabets (digits stay
+digits, letters stay in their block of letters), put back into the mention's own punctuation and case. Card
+numbers and IBANs with right check digits keep them right; addresses of private networks stay in their network.
+Names are built from syllables of their script, with an ending of their gender. A given name known only with
+titles of no gender takes the gender that it has elsewhere in the corpus.
 
 A permutation keeps different entities of one shape apart. Names, and surrogates that happen to equal some
 entity of the corpus, are settled by a check over all distinct entities: those that collide get a further
-attempt until none does. From the second further attempt on, names get a further syllable each time, and e-mail
-addresses, secrets and international phone numbers a further character, so that a full format has room. The
-attempts above zero go to the tasks that rewrite the texts, or come to the texts by a join where they are many.
+attempt until none does. From the second further attempt on, names get a further syllable each time, e-mail
+addresses, secrets and international phone numbers a further character; from ``LAST_FIXED`` on, formats of fixed
+length get further digits. So a full format has room, and no corpus is an error. Surrogates that differ from
+those of attempt zero go to the tasks that rewrite the texts, or come to the texts by a join where they are many.
+
+The key is the caller's secret: who has it can undo the permutations.
 """
 
 from __future__ import annotations
@@ -27,16 +34,18 @@ from pyspark.sql import functions as F
 
 from trajspark.llm.common import bounded, cut, written
 
-DEFAULT_KEY = b"surrogates-1"
-#: Entities with attempts above zero that are sent to the tasks; more are joined with the texts.
-MAX_EXCEPTIONS, MAX_ROUNDS = 500_000, 30
-#: Columns that rows have while attempts are joined with them.
-ROW, ATTEMPTS = "_pii_row", "_pii_attempts"
+#: Surrogates other than those of attempt zero that are sent to the tasks; more are joined with the texts.
+MAX_EXCEPTIONS = 100_000
+#: The attempt from which on formats of fixed length grow.
+LAST_FIXED = 8
+#: Columns that rows have while surrogates are joined with them.
+ROW, OTHERS = "_pii_row", "_pii_others"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Each alternative begins where a run of its characters begins, so that the time is linear in the text.
 _PATTERN = re.compile(
-    r"(?P<email>[^\W_][\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})"
-    r"|(?P<secret>(?i:\b(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d|pwd)\b)[ \t]*[:=][ \t]*(?P<quote>[\"']?)(?P<value>[\w+/.=~-]{8,})(?P=quote))"
+    r"(?<![\w.+-])[.+_-]*+(?P<email>[^\W_][\w.+-]*+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})"
+    r"|(?P<secret>(?i:(?<![^\W_])(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d|pwd)(?:[_-]?key)?(?![^\W_]))[\"']?[ \t]*[:=][ \t]*(?P<quote>[\"']?)(?P<value>(?=[+/.=~_-]*+[^\W_])[\w+/.=~-]{8,})(?P=quote))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\w))"
     r"|(?P<card>(?<![\w+.-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7})(?![\w-]))"
@@ -45,10 +54,12 @@ _PATTERN = re.compile(
 )
 #: Titles and their gender.
 TITLES = {
-    "Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Signor": "m", "Господин": "m",
-    "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Signora": "f", "Госпожа": "f",
-    "Dr": "n", "Prof": "n",
+    "Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Signor": "m", "Господин": "m", "Κύριος": "m",
+    "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Signora": "f", "Госпожа": "f", "Κυρία": "f",
+    "Dr": "n", "Prof": "n", "Doctor": "n", "Professor": "n", "Доктор": "n",
 }
+#: Small words inside names.
+PARTICLES = ["van", "von", "der", "den", "de", "del", "della", "di", "da", "du", "dos", "la", "le", "bin", "al", "el"]
 #: Syllables and gendered endings by script, upper case first where a name begins.
 SYLLABLES = {
     "latin": ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "la", "le", "lo", "ma", "me", "mi", "na", "ne", "no", "ra", "re", "ro", "sa", "se", "ta", "te", "to", "va", "ve", "vi"],
@@ -60,9 +71,9 @@ ENDINGS = {
     "cyrillic": {"m": "н", "f": "лия", "n": "с", "surname": "нд"},
     "greek": {"m": "ς", "f": "λια", "n": "ξ", "surname": "νδης"},
 }
-#: Alphabets within which letters are permuted.
-ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "".join(c for c in map(chr, range(0xDF, 0x100)) if c != "÷"), "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA)))]
 HEX = "0123456789abcdef"
+#: Networks whose addresses stay in them: private, shared, loopback and link-local ones.
+NETWORKS = [(0x0A000000, 24), (0xAC100000, 20), (0xC0A80000, 16), (0x64400000, 22), (0x7F000000, 24), (0xA9FE0000, 16)]
 RESERVED_DOMAIN = re.compile(r"(?:^|\.)example\.(?:com|net|org)$|\.(?:example|test|invalid)$")
 #: What every match of the pattern has at least.
 _MARK = re.compile(r"[@\d]|(?i:token|secret|key|passw|pwd)")
@@ -70,10 +81,15 @@ _MARK = re.compile(r"[@\d]|(?i:token|secret|key|passw|pwd)")
 
 @functools.lru_cache(1)
 def _names():
+    """A pattern of titles in a row with the words after them, and one of capitalised words."""
     import regex
 
     titles = "|".join(sorted(TITLES, key=len, reverse=True))
-    return regex.compile(rf"\b({titles})\.?[ ](\p{{Lu}}[\p{{Ll}}'’-]+(?:[ ]\p{{Lu}}[\p{{Ll}}'’-]+){{0,2}})")
+    word = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-](?!s\b)[\p{L}\p{M}]++)*+"
+    small = "|".join(PARTICLES)
+    one = rf"(?:\p{{Lu}}\.[ ]?)*(?:(?:{small})[ ])*{word}"
+    titled = rf"\b((?:(?:{titles})\b\.?[ ])+)({one}(?:[ ]{one}){{0,2}})"
+    return regex.compile(titled), regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){word}")
 
 
 # -- detection -----------------------------------------------------------------------------------
@@ -81,25 +97,48 @@ def _names():
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Places and kinds of the entities, in order and without overlap. A name's kind has its role: its
-    gender for given names, ``surname`` for the last name."""
+    gender (``n`` where only titles of no gender come with it) for given names, ``surname`` for the last name."""
     found = []
     if _MARK.search(text):
         for m in _PATTERN.finditer(text):
             kind = m.lastgroup  # the outermost group
             found.append((*m.span("value" if kind == "secret" else kind), kind))
     if any(t in text for t in TITLES):
-        taken = [(b, e) for b, e, _ in found]
-        for m in _names().finditer(text):
-            at, words = m.start(2), m.group(2).split(" ")
-            for k, w in enumerate(words):
-                role = "surname" if k == len(words) - 1 else TITLES[m.group(1)]
-                if not any(b < at + len(w) and at < e for b, e in taken):
-                    found.append((at, at + len(w), f"name:{role}"))
-                at += len(w) + 1
-        found.sort()
+        roles = _roles(text)
+        if roles:
+            found += [(b, e, f"name:{roles[w]}") for b, e, w in _mentions(text, roles, found)]
+            found.sort()
     return found
 
 
+def _roles(text: str) -> dict[str, str]:
+    """Role of every word of a titled name in a text: a gendered title wins, then the first role."""
+    titled, word = _names()
+    roles: dict[str, str] = {}
+    for m in titled.finditer(text):
+        genders = [TITLES[t.strip(". ")] for t in m.group(1).split(" ") if t]
+        gender = next((g for g in genders if g != "n"), "n")
+        *given, last = [w for w in word.findall(m.group(2)) if len(w) > 1] or [""]
+        for w in map(_lower, given):
+            roles[w] = gender if roles.get(w, "n") == "n" else roles[w]
+        if last:
+            roles.setdefault(_lower(last), "surname")
+    return roles
+
+
+def _mentions(text: str, roles: dict[str, str], found: list) -> list[tuple[int, int, str]]:
+    """Capitalised words that are in the text's names and lie in no other entity; titles are none."""
+    out, k = [], 0
+    for m in _names()[1].finditer(text):
+        b, e = m.span()
+        while k < len(found) and found[k][1] <= b:
+            k += 1
+        w = _lower(m.group())
+        if w in roles and m.group() not in TITLES and not (k < len(found) and found[k][0] < e):
+            out.append((b, e, w))
+    return out
+
+
 def canonical(kind: str, mention: str) -> str:
     """What all mentions of one entity share."""
     if kind in ("phone", "card", "ssn"):
@@ -123,18 +162,26 @@ def _permuted(key: bytes, tweak: str, value: int, size: int) -> int:
     while True:
         left, right = value >> half, value & mask
         for r in range(8):
-            digest = hmac.digest(key, f"{tweak}|{r}|{right}".encode(), hashlib.sha256)
-            left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
+            drawn = b"".join(hmac.digest(key, f"{tweak}|{r}|{right}|{k}".encode(), hashlib.sha256) for k in range(half // 256 + 1))
+            left, right = right, left ^ (int.from_bytes(drawn, "big") & mask)
         value = left << half | right
         if value < size:
             return value
 
 
+@functools.lru_cache(4096)
 def _alphabet(c: str) -> str:
-    if c.isdecimal() and c not in ALPHABETS[0]:
+    """Characters among which one is permuted: the digits of its script, or the letters of its kind and block."""
+    if c.isdecimal():
         zero = ord(c) - unicodedata.decimal(c)
         return "".join(map(chr, range(zero, zero + 10)))
-    return next((a for a in ALPHABETS if c in a), "")
+    if "a" <= c <= "z":
+        return "abcdefghijklmnopqrstuvwxyz"
+    kind = unicodedata.category(c)
+    if kind not in ("Ll", "Lo", "Lu", "Lt"):
+        return ""
+    block = map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))
+    return "".join(x for x in block if unicodedata.category(x) == kind and _lower(x) == x and not x.isascii()) if _lower(c) == c else ""
 
 
 def _in_alphabets(key: bytes, tweak: str, text: str, alphabets: list[str]) -> str:
@@ -151,9 +198,19 @@ def _in_alphabets(key: bytes, tweak: str, text: str, alphabets: list[str]) -> st
     return "".join(out)
 
 
+#: Characters of a form that are permuted as one number; of longer ones, each such part by itself.
+PART = 400
+
+
+def _permuted_text(key: bytes, tweak: str, text: str, alphabets: list[str] | None = None) -> str:
+    alphabets = alphabets or [_alphabet(c) for c in text]
+    parts = range(0, len(text), PART)
+    return "".join(_in_alphabets(key, f"{tweak}|{k}" if k else tweak, text[k : k + PART], alphabets[k : k + PART]) for k in parts)
+
+
 def _longer(text: str, more: int) -> str:
     """The text with further characters of its last alphabet."""
-    last = next((a for a in map(_alphabet, reversed(text)) if a), ALPHABETS[1])
+    last = next((a for a in map(_alphabet, reversed(text)) if a), "abcdefghijklmnopqrstuvwxyz")
     return text + last[0] * more
 
 
@@ -162,42 +219,64 @@ def _luhn(digits: str) -> bool:
     return sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
 
 
+def _iban_rest(form: str) -> int:
+    """Remainder by 97 of an account number with its country and check digits at the end; 1 is right."""
+    return int("".join(str(int(c, 36)) for c in form[4:] + form[:4])) % 97
+
+
 def _script(word: str) -> str:
     c = word[0].lower()
     return "cyrillic" if "\u0400" <= c <= "\u04ff" else "greek" if "\u0370" <= c <= "\u03ff" else "latin"
 
 
+def _network(value: int) -> tuple[int, int]:
+    return next(((base, bits) for base, bits in NETWORKS if value >> bits == base >> bits), (0, 32))
+
+
+def _ip(key: bytes, tweak: str, form: str, more: int) -> str:
+    value = 0
+    for x in form.split("."):
+        value = value << 8 | int(x)
+    base, bits = _network(value)
+    while True:  # walking on keeps it a permutation of the addresses in no network
+        value = base | _permuted(key, f"{tweak}|{base}", value & ((1 << bits) - 1), 1 << bits)
+        if _network(value) == (base, bits):
+            break
+    further = [_permuted(key, f"{tweak}|{form}|{k}", 0, 256) for k in range(more)]
+    return ".".join(map(str, [*(value >> s & 255 for s in (24, 16, 8, 0)), *further]))
+
+
 def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical form."""
-    tweak, more = f"{kind}|{attempt}", max(0, attempt - 1)
+    tweak, more, late = f"{kind}|{attempt}", max(0, attempt - 1), max(0, attempt - LAST_FIXED + 1)
     if kind == "ip":
-        value = 0
-        for x in form.split("."):
-            value = value << 8 | int(x)
-        value = _permuted(key, tweak, value, 1 << 32)
-        return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+        return _ip(key, tweak, form, late)
     if kind.startswith("name"):
         script, role = _script(form), kind.partition(":")[2]
-        x = int.from_bytes(hmac.digest(key, f"{tweak}|{form}".encode(), hashlib.sha256), "big")
-        part = [SYLLABLES[script][x >> 5 * k & 31] for k in range((4 if role == "surname" else 3) + more)]
-        return "".join(part) + ENDINGS[script][role]
+        n = (4 if role == "surname" else 3) + more
+        drawn = b"".join(hmac.digest(key, f"{tweak}|{form}|{k}".encode(), hashlib.sha256) for k in range(n // 32 + 1))
+        return "".join(SYLLABLES[script][x & 31] for x in drawn[:n]) + ENDINGS[script][role]
     if kind == "email":
         local, _, domain = form.rpartition("@")
+        tweak, at = f"{tweak}|{domain}", domain
         if not RESERVED_DOMAIN.search(domain):
             host, dot, top = domain.rpartition(".")
-            domain = _in_alphabets(key, f"{tweak}|{top}", host, [_alphabet(c) for c in host]) + dot + top
-            tweak = f"{tweak}|{form.rpartition('@')[2]}"
-        else:
-            tweak = f"{tweak}|{domain}"
-        local = _longer(local, more)
-        return _in_alphabets(key, tweak, local, [_alphabet(c) for c in local]) + "@" + domain
+            at = _permuted_text(key, f"{kind}|{attempt}|{top}", host) + dot + top
+        return _permuted_text(key, tweak, _longer(local, more)) + "@" + at
     if kind == "secret" or kind == "phone" and form.startswith("+"):
         form = _longer(form, more)
+    elif late:
+        form += "0" * late
+    if kind == "secret":
+        return _permuted_text(key, tweak, form, [HEX] * len(form) if all(c in HEX for c in form) else None)
     alphabets = [_alphabet(c) for c in form]
-    if kind == "secret" and all(c in HEX for c in form):
-        alphabets = [HEX] * len(form)
-    elif kind == "iban":
+    if kind == "iban":
         alphabets[:2] = ["", ""]  # the country stays
+        right = not late and _iban_rest(form) == 1
+        if right:
+            alphabets[2:4] = ["", ""]
+            body = _in_alphabets(key, f"{tweak}|right", form[:2] + "00" + form[4:], alphabets)
+            return f"{body[:2]}{98 - _iban_rest(body):02}{body[4:]}"
     elif kind == "phone":
         if re.fullmatch(r"\+1\d{10}", form):
             alphabets[1:2] = [""]  # the country stays, and an exchange that is kept for fiction
@@ -236,7 +315,6 @@ def corpus_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct ``kind`` and ``form`` over all texts."""
     import pyarrow as pa
 
-
     def run(batches):
         for batch in bounded(batches, 0):
             seen = {(k, canonical(k, t[b:e])) for t in batch.column(0).to_pylist() if t for b, e, k in entities(t)}
@@ -248,6 +326,7 @@ def corpus_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
+    """``rows`` dealt anew by kind and form, whatever their size, since surrogates take long for their bytes."""
     import pyarrow as pa
 
     def run(batches):
@@ -256,14 +335,16 @@ def _with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
             made = [surrogate(key, k, f, a) for k, f, a in zip(kinds, forms, attempts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "form", "attempt", "surrogate"])
 
-    return rows.select("kind", "form", "attempt").mapInArrow(run, "kind string, form string, attempt int, surrogate string")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("kind", "form", "attempt").repartition(n, "kind", "form")
+    return dealt.mapInArrow(run, "kind string, form string, attempt int, surrogate string")
 
 
-def settled_attempts(found: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def settled_attempts(found: DataFrame, key: bytes) -> DataFrame:
     """``kind``, ``form``, ``attempt``, ``surrogate`` of every entity, where no two entities of a kind share
     a surrogate and no surrogate is an entity of the corpus."""
     rows = cut(_with_surrogates(found.withColumn("attempt", F.lit(0)), key))
-    for _ in range(MAX_ROUNDS):
+    while True:
         real = found.select(F.col("kind").alias("k"), F.col("form").alias("f"))
         equal = rows.join(real, (rows["kind"] == real["k"]) & (rows["surrogate"] == real["f"]), "left_semi").select("kind", "form")
         first = rows.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "form")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -271,36 +352,43 @@ def settled_attempts(found: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
         again = cut(equal.union(shared).distinct())
         if again.isEmpty():
             return rows
+        # Each further attempt draws anew, and from some attempt on from a larger space: this ends.
         moved = rows.join(again, ["kind", "form"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         rows = cut(rows.join(again, ["kind", "form"], "left_anti").select("kind", "form", "attempt", "surrogate").union(_with_surrogates(moved, key)))
-    raise ValueError("some format of fixed length has nearly as many entities as values: surrogates cannot be kept apart")
 
 
-def _attempts(docs: DataFrame, text_col: str, key: bytes) -> DataFrame:
-    """``kind``, ``form``, ``attempt`` of the entities with attempts above zero."""
+def other_surrogates(docs: DataFrame, text_col: str, key: bytes) -> DataFrame:
+    """``kind``, ``form``, ``surrogate`` of the entities whose surrogate is not that of attempt zero."""
     found = cut(corpus_entities(docs, text_col))
-    return settled_attempts(found, key).where("attempt > 0").select("kind", "form", "attempt")
+    # A given name without a gender is the one with a gender, where the corpus has it: women's first.
+    gendered = found.where("kind in ('name:f', 'name:m')").groupBy("form").agg(F.min("kind").alias("as"))
+    alias = cut(found.where("kind = 'name:n'").join(gendered, "form").select("kind", "form", "as"))
+    settled = settled_attempts(found.join(alias, ["kind", "form"], "left_anti"), key)
+    theirs = alias.select(F.col("kind").alias("own"), "form", F.col("as").alias("kind")).join(settled, ["kind", "form"])
+    return settled.where("attempt > 0").select("kind", "form", "surrogate").union(theirs.select("own", "form", "surrogate"))
 
 
-def _with_attempts(docs: DataFrame, text_col: str, over: DataFrame) -> DataFrame:
-    """``docs`` with the attempts above zero of each row's entities as an array in a last column."""
+def _with_others(docs: DataFrame, text_col: str, over: DataFrame) -> DataFrame:
+    """``docs`` with the other surrogates of each row's entities as an array in a last column."""
     import pyarrow as pa
 
     rows = written(docs.withColumn(ROW, F.expr("uuid()")), "pii-rows")
+    names = [ROW, "kind", "form"]
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 1):
             for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 kinds, forms = zip(*seen, strict=True) if (seen := {(k, canonical(k, t[b:e])) for b, e, k in entities(t or "")}) else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(kinds), pa.string()), pa.array(kinds, pa.string()), pa.array(forms, pa.string())], [ROW, "kind", "form"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(kinds), pa.string()), pa.array(kinds, pa.string()), pa.array(forms, pa.string())], names)
 
     theirs = rows.select(ROW, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{ROW} string, kind string, form string")
-    lists = theirs.join(over, ["kind", "form"]).groupBy(ROW).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(ATTEMPTS))
-    return rows.join(lists, ROW, "left").select(*docs.columns, ATTEMPTS)
+    lists = theirs.join(over, ["kind", "form"]).groupBy(ROW).agg(F.collect_list(F.struct("kind", "form", "surrogate")).alias(OTHERS))
+    return rows.join(lists, ROW, "left").select(*docs.columns, OTHERS)
 
 
-def rewrite(text: str, key: bytes, exceptions: dict[tuple[str, str], int], memo: dict | None = None) -> tuple[str, list[str]]:
-    """The text with surrogates, and the kinds of the entities replaced, in order."""
+def rewrite(text: str, key: bytes, others: dict[tuple[str, str], str], memo: dict | None = None) -> tuple[str, list[str]]:
+    """The text with surrogates, and the kinds of the entities replaced, in order. ``others`` has the surrogates
+    that are not those of attempt zero."""
     memo = {} if memo is None else memo
     parts, kinds, last = [], [], 0
     for b, e, kind in entities(text):
@@ -308,16 +396,14 @@ def rewrite(text: str, key: bytes, exceptions: dict[tuple[str, str], int], memo:
         if (kind, form) not in memo:
             if len(memo) > 100_000:
                 memo.clear()
-            memo[kind, form] = surrogate(key, kind, form, exceptions.get((kind, form), 0))
+            memo[kind, form] = others.get((kind, form)) or surrogate(key, kind, form)
         parts += [text[last:b], in_format(kind, text[b:e], memo[kind, form])]
         kinds.append(kind.partition(":")[0])
         last = e
     return "".join([*parts, text[last:]]), kinds
 
 
-def replace_pii(
-    docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, length_col: str | None = "n_chars", kinds_col: str | None = None
-) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", length_col: str | None = "n_chars", kinds_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in the text. Texts without entities, empty and null ones stay as they are.
 
     ``length_col``, where the table has it, is set to the new length of a changed text. ``kinds_col`` adds
@@ -326,10 +412,12 @@ def replace_pii(
     """
     import pyarrow as pa
 
-    over = _attempts(docs, text_col, key)
+    if not key:
+        raise ValueError("replace_pii needs a key")
+    over = other_surrogates(docs, text_col, key)
     few = over.limit(MAX_EXCEPTIONS + 1).collect()
     joined = len(few) > MAX_EXCEPTIONS
-    exceptions = {} if joined else {(r["kind"], r["form"]): r["attempt"] for r in few}
+    others = {} if joined else {(r["kind"], r["form"]): r["surrogate"] for r in few}
     at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
     schema, docs_columns = docs.schema, docs.columns
@@ -343,10 +431,10 @@ def replace_pii(
         for batch in bounded(batches, at):
             columns, texts = list(batch.columns), batch.column(at).to_pylist()
             if joined:
-                own = [{(a["kind"], a["form"]): a["attempt"] for a in x or []} for x in columns.pop().to_pylist()]
+                own = [{(a["kind"], a["form"]): a["surrogate"] for a in x or []} for x in columns.pop().to_pylist()]
                 done = [rewrite(t, key, x) if t else (t, []) for t, x in zip(texts, own, strict=True)]
             else:
-                done = [rewrite(t, key, exceptions, memo) if t else (t, []) for t in texts]
+                done = [rewrite(t, key, others, memo) if t else (t, []) for t in texts]
             columns[at] = pa.array([t for t, _ in done], pa.string())
             if length_at is not None:
                 lengths = batch.column(length_at).to_pylist()
@@ -358,4 +446,4 @@ def replace_pii(
                 names.append(kinds_col)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return (_with_attempts(docs, text_col, over) if joined else docs).mapInArrow(run, schema)
+    return (_with_others(docs, text_col, over) if joined else docs).mapInArrow(run, schema)

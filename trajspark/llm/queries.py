@@ -9,6 +9,10 @@ from trajspark.llm import bpe, decontaminate, html_extract, lm_scoring, pii_surr
 from trajspark.llm.common import table
 
 
+#: The key for the surrogates of the given tables, whose persons are invented. Real corpora need a secret one.
+PII_KEY = b"a key for invented persons"
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii_surrogates.replace_pii(docs, kinds_col="kinds")
+    found = pii_surrogates.replace_pii(docs, PII_KEY, kinds_col="kinds")
     return found.select("doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
 
 
