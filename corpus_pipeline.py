@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trajspark.llm import bpe, decontaminate, pii_surrogates, quality_rules, simhash_dedup
 from trajspark.llm.common import table, written
+from trajspark.llm.queries import PII_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii_surrogates.replace_pii(docs)
+    return pii_surrogates.replace_pii(docs, PII_KEY)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
