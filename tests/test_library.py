@@ -262,7 +262,7 @@ def test_shards_and_npz(spark, tmp_path):
     numbered = shards.numbered(kept, spec)
     sizes = {(r.split, r["shard"]): r.n_trajectories for r in shards.shard_index(numbered).collect()}
     assert sum(sizes.values()) == kept.count() and max(sizes.values()) == 50 and sizes["train", 0] == 50
-    shards.write_shards(kept, str(tmp_path / "s"), spec, files=3)
+    shards.write_shards(kept, str(tmp_path / "s"), spec)
     with pytest.raises(Exception, match="(?i)exist"):
         shards.write_shards(kept, str(tmp_path / "s"), spec)
     with pytest.raises(ValueError, match="no trajectory"):
@@ -272,7 +272,9 @@ def test_shards_and_npz(spark, tmp_path):
     with pytest.raises(ValueError, match="species"):
         shards.require_shards(back, TrajectorySpec(species=("A",), globals=("P", "T")))
     index = shards.file_index(spark, str(tmp_path / "s")).collect()
-    assert sum(r.n_trajectories for r in index) == kept.count() and max(r.n_trajectories for r in index) <= 50
+    assert {(r.split, r["shard"]): r.n_trajectories for r in index} == sizes and {r.name for r in index} == {shards.shard_name(*k) for k in sizes}
+    files = {(p.parent.parent.name, p.parent.name) for p in (tmp_path / "s").rglob("*.parquet")}
+    assert len(list((tmp_path / "s").rglob("*.parquet"))) == len(files) == len(sizes)
     (tmp_path / "npz").mkdir()
     for r in shards.npz_blobs(numbered, spec).collect():
         (tmp_path / "npz" / r.name).write_bytes(r.content)
@@ -320,6 +322,27 @@ def test_schema_diff(spark):
         schema_diff.require_same_schema(spark, ["a", "b", "c", "d"], ["a", "c", "b"])
 
 
+def test_blank_names_come_from_the_artifact(spark):
+    artifact = {"species": ["a", "b"], "globals": ["P"], "time": "t"}
+    assert schema_diff.resolved_names(spark, ["a", "b"], [], None, artifact) == artifact == schema_diff.resolved_names(spark, ["a", "b"], ["P"], "t", artifact)
+    for bad in ((["b", "a"], [], None), ([], [], None), (["a", "b"], ["Q"], None), (["a", "b"], [], "x")):
+        with pytest.raises(ValueError):
+            schema_diff.resolved_names(spark, *bad, artifact)
+    with pytest.raises(ValueError, match="no time"):
+        schema_diff.resolved_names(spark, ["a"], [], None, {"species": ["a"], "globals": []})
+
+
+def test_counts_of_atoms_that_are_too_long(spark):
+    rows = spark.createDataFrame([("H99999999999",), ("H2O" + "9" * 30,), ("C2H5OH",)], "species string")
+    got = {r.species: r.m for r in rows.select("species", names.formula(F.col("species")).alias("m")).collect()}
+    assert got == {"H99999999999": {"H": 99999999999}, "H2O" + "9" * 30: None, "C2H5OH": {"C": 2, "H": 6, "O": 1}}
+
+
+def test_infinity_is_no_improvement(spark):
+    log = spark.createDataFrame([("r", 0, float("inf")), ("r", 1, float("nan")), ("r", 2, 5.0), ("r", 3, 5.0)], "run_id string, epoch int, val_loss double")
+    assert [r.improved for r in runlog.best_so_far(log).orderBy("epoch").collect()] == [False, False, True, False]
+
+
 def test_points_to_trajectories_and_back(spark):
     packed = fx.v(spark, SF)
     again = trajectories.pack(trajectories.unpack(packed, fx.V_SPEC), fx.V_SPEC, "step")

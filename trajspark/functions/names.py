@@ -39,7 +39,8 @@ def scale_of(name: Column, quantity: str) -> Column:
 def formula(name: Column) -> Column:
     """Elements and their counts of a species' name, as a map; null where it is no formula.
 
-    The text before the first underscore counts, without spaces, charges and parentheses.
+    The text before the first underscore counts, without spaces, charges and parentheses. A name with a count of
+    more than 15 digits is no formula.
     """
     text = F.regexp_replace(F.substring_index(name, "_", 1), r"[ +\-()]", "")
     tokens = F.regexp_extract_all(text, F.lit("([A-Z][a-z]?[0-9]*)"), F.lit(1))
@@ -47,12 +48,13 @@ def formula(name: Column) -> Column:
         tokens,
         lambda t: F.struct(
             F.regexp_extract(t, "^([A-Z][a-z]?)", 1).alias("e"),
-            F.coalesce(F.nullif(F.regexp_extract(t, "([0-9]+)$", 1), F.lit("")), F.lit("1")).cast("int").alias("n"),
+            F.coalesce(F.nullif(F.regexp_extract(t, "([0-9]+)$", 1), F.lit("")), F.lit("1")).alias("n"),
         ),
     )
+    pairs = F.transform(pairs, lambda p: F.struct(p["e"].alias("e"), F.when(F.length(p["n"]) <= 15, p["n"]).try_cast("bigint").alias("n")))
     elements = F.array_distinct(F.transform(pairs, lambda p: p["e"]))
     totals = F.transform(
-        elements, lambda e: F.aggregate(pairs, F.lit(0), lambda acc, p: acc + F.when(p["e"] == e, p["n"]).otherwise(0))
+        elements, lambda e: F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, p: acc + F.when(p["e"] == e, p["n"]).otherwise(F.lit(0).cast("bigint")))
     )
-    ok = text.rlike("^([A-Z][a-z]?[0-9]*)+$") & ~F.exists(pairs, lambda p: p["n"] == 0)
+    ok = text.rlike("^([A-Z][a-z]?[0-9]*)+$") & F.forall(pairs, lambda p: F.coalesce(p["n"] > 0, F.lit(False)))
     return F.when(ok, F.map_from_arrays(elements, totals))

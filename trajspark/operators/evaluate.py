@@ -30,6 +30,12 @@ def alignment_report(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return alone.groupBy("side").agg(F.count(F.lit(1)).alias("n_alone"))
 
 
+def _quantiles(column, quantiles: Sequence[float], accuracy: int | None) -> Column:
+    """Exact, or within ``1 / accuracy`` of the ranks: exact ones hold every distinct value of a group in one task."""
+    many = F.array(*[F.lit(float(q)) for q in quantiles])
+    return F.percentile(column, many) if accuracy is None else F.percentile_approx(column, many, accuracy)
+
+
 def error_points(scored: DataFrame, spec: TrajectorySpec, species: Sequence[str] = ()) -> DataFrame:
     """One row a pair and species: ``y_true``, ``y_pred``; of all species or of those with the given labels."""
     labels = [s.removesuffix("_evolution") for s in spec.species]
@@ -52,8 +58,6 @@ def error_summary(points: DataFrame, bucket_floor: float = 1e-10, log_floor: flo
     log_err = floored_log10(p, log_floor) - floored_log10(t, log_floor)
     buckets = F.array(F.lit("all"), F.when(t > bucket_floor, "large"))
     rows = finite.select((p - t).alias("e"), percent.alias("pct"), log_err.alias("l"), F.explode(buckets).alias("bucket")).where("bucket is not null")
-    many = F.array(*[F.lit(float(q)) for q in quantiles])
-    found = F.percentile("pct", many) if accuracy is None else F.percentile_approx("pct", many, accuracy)
     out = rows.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("pct").alias("mean_percent"),
@@ -63,7 +67,7 @@ def error_summary(points: DataFrame, bucket_floor: float = 1e-10, log_floor: flo
         F.sqrt(F.avg(F.col("l") * F.col("l"))).alias("log_rmse"),
         F.avg("l").alias("log_bias"),
         F.max("pct").alias("max_percent"),
-        found.alias("__q"),
+        _quantiles("pct", quantiles, accuracy).alias("__q"),
     )
     names = [f"p{q * 100:g}".replace(".", "_") for q in quantiles]
     return out.select(*[c for c in out.columns if c != "__q"], *[F.get("__q", F.lit(k)).alias(n) for k, n in enumerate(names)])
@@ -96,7 +100,7 @@ def weighted_means(batches: DataFrame, metrics: Sequence[str], weight: str) -> D
     return batches.agg(*[(F.sum(F.col(m) * F.col(weight)) / F.sum(weight)).alias(m) for m in metrics])
 
 
-def count_breakdown(scored: DataFrame, spec: TrajectorySpec) -> DataFrame:
+def count_breakdown(scored: DataFrame, spec: TrajectorySpec, accuracy: int | None = None) -> DataFrame:
     """Trajectories, targets, distinct and repeated targets a trajectory, and finite points."""
     finite = F.aggregate(F.zip_with("y_j", "y_pred", lambda a, b: (is_finite(a) & is_finite(b)).cast("int")), F.lit(0), lambda acc, x: acc + x)
     per = scored.groupBy(*KEY).agg(
@@ -104,10 +108,10 @@ def count_breakdown(scored: DataFrame, spec: TrajectorySpec) -> DataFrame:
     )
     return per.agg(
         F.count(F.lit(1)).alias("n_trajectories"),
-        F.median("k").alias("median_targets"),
+        F.get(_quantiles(F.col("k").cast("double"), [0.5], accuracy), F.lit(0)).alias("median_targets"),
         F.min("k").alias("min_targets"),
         F.max("k").alias("max_targets"),
-        F.median("d").alias("median_distinct"),
+        F.get(_quantiles(F.col("d").cast("double"), [0.5], accuracy), F.lit(0)).alias("median_distinct"),
         F.sum(F.col("k") - F.col("d")).alias("n_repeated"),
         F.sum("k").alias("n_pairs"),
         F.sum("raw").alias("n_points"),
@@ -129,8 +133,8 @@ def worst(peaks: DataFrame, k: int = 4) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
-def peak_distribution(peaks: DataFrame) -> DataFrame:
-    q = F.percentile("peak", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+def peak_distribution(peaks: DataFrame, accuracy: int | None = None) -> DataFrame:
+    q = _quantiles("peak", (0.5, 0.9, 0.99), accuracy)
     return peaks.agg(q.alias("q"), F.max("peak").alias("max")).select(*[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p50", "p90", "p99"))], "max")
 
 
@@ -139,14 +143,14 @@ def sampled_trajectories(traj: DataFrame, n: int, seed: int) -> DataFrame:
     return traj.orderBy(trajectory_hash(seed, "sample"), *KEY).limit(n)
 
 
-def quadrant_picks(traj: DataFrame, pressure: str, temperature: str, seed: int) -> DataFrame:
+def quadrant_picks(traj: DataFrame, pressure: str, temperature: str, seed: int, accuracy: int | None = None) -> DataFrame:
     """One trajectory for each quadrant around the medians of log pressure and temperature.
 
     The one with the smallest hash; for an empty quadrant the one with the smallest hash of all.
     """
     spark, u = traj.sparkSession, trajectory_hash(seed, "pick")
     logp, t = F.log10(pressure), F.col(temperature)
-    medians = traj.agg(F.percentile(logp, 0.5).alias("mp"), F.percentile(t, 0.5).alias("mt"))
+    medians = traj.agg(*[F.get(_quantiles(x, [0.5], accuracy), F.lit(0)).alias(n) for x, n in ((logp, "mp"), (t, "mt"))])
     marked = traj.select(*KEY, u.alias("u"), logp.alias("lp"), t.alias("tt")).crossJoin(F.broadcast(medians))  # one row
     name = F.concat(F.when(F.col("lp") < F.col("mp"), "low").otherwise("high"), F.lit("_"), F.when(F.col("tt") < F.col("mt"), "low").otherwise("high"))
     first = F.min_by(F.struct(*KEY), F.struct("u", *KEY)).alias("own")

@@ -15,11 +15,11 @@ def last_per_epoch(log: DataFrame) -> DataFrame:
 
 
 def best_so_far(log: DataFrame, value: str = "val_loss") -> DataFrame:
-    """Adds ``best`` up to each epoch and whether the epoch is better than all before it; NaN is never better."""
+    """Adds ``best`` up to each epoch and whether the epoch is better than infinity and all before it; NaN is never better."""
     w = Window.partitionBy("run_id").orderBy("epoch")
     x = F.when(F.isnan(value), F.lit(None)).otherwise(F.col(value))
     before = F.min(x).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    better = F.coalesce((x < before) | (x.isNotNull() & before.isNull()), F.lit(False))
+    better = F.coalesce(x < F.coalesce(before, F.lit(float("inf"))), F.lit(False))
     return log.withColumns({"best": F.min(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), "improved": better})
 
 

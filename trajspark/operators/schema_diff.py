@@ -25,6 +25,22 @@ def require_same_schema(spark: SparkSession, configured: Sequence[str], found: S
         raise ValueError("; ".join(f"{r['position']}: {r['configured']} is {r['found']}" for r in rows))
 
 
+def resolved_names(spark: SparkSession, species: Sequence[str], globals_: Sequence[str], time: str | None, artifact: dict) -> dict:
+    """Names as configured, with blank globals and a blank time taken from ``artifact``, which has ``species``,
+    ``globals`` and ``time``. Species must be given; a name that differs from the artifact's is an error."""
+    lacking = [k for k in ("species", "globals", "time") if artifact.get(k) is None or k != "globals" and not artifact[k]]
+    if lacking:
+        raise ValueError(f"the artifact has no {', '.join(lacking)}")
+    if not species:
+        raise ValueError("species must be given")
+    require_same_schema(spark, species, artifact["species"])
+    if globals_:
+        require_same_schema(spark, globals_, artifact["globals"])
+    if time and time != artifact["time"]:
+        raise ValueError(f"time is {time}, the artifact has {artifact['time']}")
+    return {"species": list(species), "globals": list(globals_ or artifact["globals"]), "time": time or artifact["time"]}
+
+
 def ordered_union(*lists):
     """Array columns as one, each value once, in order of first occurrence."""
     return F.array_distinct(F.concat(*lists))

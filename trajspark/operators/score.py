@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.functions.hashing import unit_hash
 from trajspark.operators.normalize import Manifest
 from trajspark.spec import TrajectorySpec
 
@@ -22,21 +23,26 @@ def score(pairs: DataFrame, predict: Predict, chunk: int = CHUNK) -> DataFrame:
 
     Rows are scored where they are, in chunks of at most ``chunk``; the function travels with the tasks.
     """
+    import pyarrow as pa
     from pyspark.sql import types as T
 
     schema = T.StructType([*pairs.schema.fields, T.StructField("y_pred", T.ArrayType(T.DoubleType()))])
 
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
     def run(batches):
         for batch in batches:
-            for k in range(0, len(batch), chunk):
-                part = batch.iloc[k : k + chunk]
-                y, g = (np.stack(part[c].to_numpy()).astype(float).reshape(len(part), -1) for c in ("y_i", "g"))
-                out = np.asarray(predict(y, part["dt"].to_numpy(float), g), float)
+            for k in range(0, batch.num_rows, chunk):
+                part = batch.slice(k, chunk)
+                y, g = (matrix(part.column(part.schema.get_field_index(c))) for c in ("y_i", "g"))
+                out = np.asarray(predict(y, part.column(part.schema.get_field_index("dt")).to_numpy(zero_copy_only=False).astype(float), g), float)
                 if out.shape != y.shape:
                     raise ValueError(f"the model returned {out.shape} for {y.shape}")
-                yield part.assign(y_pred=pd.Series(list(out), index=part.index))
+                made = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "y_pred"])
 
-    return pairs.mapInPandas(run, schema)
+    return pairs.mapInArrow(run, schema)
 
 
 def persistence(y: np.ndarray, dt: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -122,12 +128,18 @@ class NormalizedModel:
 
 
 def probe_inputs(spark, n: int, spec: TrajectorySpec, typical: dict[str, float], dt_range: tuple[float, float], seed: int = 1, floor: float = 1e-35) -> DataFrame:
-    """Random inputs near typical values, with time gaps spread evenly in log space."""
-    def near(k: int, key: str):
-        return F.greatest(F.lit(floor), F.lit(typical[key]) * (1 + 0.01 * F.randn(seed + k)))
+    """Inputs near typical values, with time gaps spread evenly in log space. All draws are hashes of the row's
+    number and the variable: normal ones by the polar form of two even ones."""
+
+    def even(key: str, which: str):
+        return unit_hash(seed, F.concat_ws(":", F.col("id").cast("string"), F.lit(key), F.lit(which)))
+
+    def near(key: str):
+        normal = F.sqrt(-2 * F.log(1 - even(key, "radius"))) * F.cos(2 * F.lit(math.pi) * even(key, "angle"))
+        return F.greatest(F.lit(floor), F.lit(typical[key]) * (1 + 0.01 * normal))
 
     low, high = (float(np.log10(x)) for x in dt_range)
-    y = F.array(*[near(k, s) for k, s in enumerate(spec.species)])
-    g = F.array(*[near(100 + k, s) for k, s in enumerate(spec.globals)]).cast("array<double>")
-    dt = F.pow(F.lit(10.0), F.lit(low) + F.rand(seed + 1000) * F.lit(high - low))
+    y = F.array(*[near(s) for s in spec.species])
+    g = F.array(*[near(s) for s in spec.globals]).cast("array<double>")
+    dt = F.pow(F.lit(10.0), F.lit(low) + even("dt", "even") * F.lit(high - low))
     return spark.range(n).select("id", y.alias("y_i"), dt.alias("dt"), g.alias("g"))

@@ -56,6 +56,17 @@ def checked_lengths(traj: DataFrame, spec: TrajectorySpec) -> DataFrame:
     return traj.withColumn(spec.time, F.when(bad, F.raise_error(message).cast("array<double>")).otherwise(F.col(spec.time)))
 
 
+def length_report(traj: DataFrame, spec: TrajectorySpec) -> DataFrame:
+    """Per species: trajectories where it has another number of values than there are times."""
+    bad = [F.struct(F.lit(s).alias("species"), F.count_if(F.size(s) != F.size(spec.time)).alias("n_bad")) for s in spec.species]
+    return traj.agg(F.array(*bad).alias("x")).select(F.inline("x"))
+
+
+def log_time_report(traj: DataFrame, spec: TrajectorySpec) -> DataFrame:
+    """Trajectories, and those with a time that a log method cannot take."""
+    return traj.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_min(spec.time) <= 0).alias("n_not_positive"))
+
+
 def fate(spec: TrajectorySpec) -> Column:
     """``unused``, ``nonfinite``, ``below_threshold``, ``nonfinite_global`` or ``kept``: the first that holds, in this order."""
     finite = reduce(lambda a, b: a & b, [F.forall(s, lambda v: F.coalesce(is_finite(v), F.lit(False))) for s in spec.species])

@@ -2,7 +2,7 @@
 
 ``V``: 16 points on a shared grid, from ``embeddings``. ``O``: ragged and defective ones, from ``orders`` and
 ``lineitem``. ``O4``: those of ``O`` with four points, on the grid 1 to 4. ``E``: irregular series, from
-``events``. ``R``: predictions on the test split of ``V``. ``L``: a run log, from ``events``.
+``events``. ``D``: those of ``V`` with defects of every kind. ``R``: predictions on the test split of ``V``. ``L``: a run log, from ``events``.
 """
 
 from __future__ import annotations
@@ -49,6 +49,29 @@ def v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``V`` where some trajectories lack a time, species or global, and some have values that are not finite."""
+    n = F.col("group_id").cast("bigint")
+
+    def at(column: str, place: int, value: str):
+        return F.transform(column, lambda x, k: F.when(k == place, F.lit(float(value))).otherwise(x))
+
+    def when(divisor: int, rest: int, column: str, changed):
+        return F.when(n % divisor == rest, changed).otherwise(F.col(column)).alias(column)
+
+    changed = {
+        "CO_evolution": when(11, 3, "CO_evolution", at("CO_evolution", 5, "nan")),
+        "HCN_evolution": when(13, 5, "HCN_evolution", at("HCN_evolution", 2, "inf")),
+        "H2O_evolution": when(17, 7, "H2O_evolution", F.lit(None)),
+        "T": when(19, 4, "T", F.lit(None)),
+        "P": when(23, 9, "P", F.lit(float("inf"))),
+        "time": F.when(n % 31 == 8, F.lit(None)).when(n % 29 == 6, at("time", 3, "nan")).when(n % 37 == 2, at("time", 3, "1")).otherwise(F.col("time")).alias("time"),
+        "CH4_evolution": when(7, 2, "CH4_evolution", F.slice("CH4_evolution", 1, 15)),
+    }
+    rows = v(spark, sf_dir)
+    return rows.select(*[changed.get(c, F.col(c)) for c in rows.columns])
+
+
 def kept(traj: DataFrame, spec: TrajectorySpec) -> DataFrame:
     """Trajectories that pass every rule, with their split."""
     valid = validate.classify(traj, spec).where("reason = 'valid'").drop("reason", "min_dt", "max_dt")

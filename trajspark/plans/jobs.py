@@ -47,7 +47,7 @@ def prepare(traj: DataFrame, spec: TrajectorySpec, out: str) -> dict:
     dt = stats.dt_spec(grid_row, spec)
     manifest = Manifest.collect(stats.fit_manifest(kept.where("split = 'train'"), spec), dt, {"n_steps": len(grid), "seed": spec.seed})
     shards.write_shards(kept, f"{out}/shards", spec)
-    index = shards.file_index(spark, f"{out}/shards").orderBy("split", "file").collect()  # a row a file
+    index = shards.file_index(spark, f"{out}/shards").orderBy("split", "shard").collect()  # a row a shard
     report = {
         "splits": counts,
         "drops": reports.drop_report(classified, spec).first().asDict(),
@@ -74,14 +74,18 @@ def make_pairs(kept: DataFrame, spec: TrajectorySpec, manifest: Manifest, draws:
     )
 
 
-def evaluation(kept: DataFrame, spec: TrajectorySpec, predict: score.Predict, queries: int = 10, k: int = 4) -> dict[str, DataFrame]:
-    """Score query points of the test split and report: ``summary``, ``relative``, ``peaks`` and the ``worst``."""
+def evaluation(kept: DataFrame, spec: TrajectorySpec, predict: score.Predict, queries: int = 10, k: int = 4, accuracy: int | None = 100_000) -> dict[str, DataFrame]:
+    """Score query points of the test split and report: ``summary``, ``relative``, ``peaks`` and the ``worst``.
+
+    Percentiles are within ``1 / accuracy`` of their ranks, so that no task holds all distinct values; None makes
+    them exact.
+    """
     test = kept.where("split = 'test'")
     points = evaluate.error_points(score.score(pairs.query_points(test, spec, queries), predict), spec)
     peaks = evaluate.peak_errors(points)
     return {
-        "summary": evaluate.error_summary(points),
+        "summary": evaluate.error_summary(points, accuracy=accuracy),
         "relative": evaluate.relative_error(points),
-        "peaks": evaluate.peak_distribution(peaks),
+        "peaks": evaluate.peak_distribution(peaks, accuracy),
         "worst": evaluate.worst(peaks, k),
     }

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from trajspark.functions.names import C_TO_O, C_TO_O_LOG, METALLICITY, METALLICITY_LOG, SOLAR
 
 ORACLES: dict[str, str] = {}
+#: Fixed values, written out here once more so that a wrong entry of the library shows: names on each scale, and solar
+#: abundances.
+METALLICITY = ["metallicity", "logmetallicity", "log10metallicity", "metallicitydex", "mh", "logmh", "moverh", "zmetal"]
+METALLICITY_LOG = ["logmetallicity", "log10metallicity", "metallicitydex", "mh", "logmh", "moverh"]
+C_TO_O = ["co", "logco", "log10co", "coratio", "logcoratio", "cratio", "carbonoxygen", "carbonoxygenratio", "cto", "ctoratio", "logcto", "log10cto", "logctoratio", "log10coratio"]
+C_TO_O_LOG = ["logco", "log10co", "logcoratio", "log10coratio", "logcto", "log10cto", "logctoratio"]
+SOLAR = {
+    "H": 12.00, "He": 10.93, "C": 8.43, "N": 7.83, "O": 8.69, "Na": 6.24, "Mg": 7.60, "Al": 6.45, "Si": 7.51, "P": 5.41,
+    "S": 7.12, "Cl": 5.50, "K": 5.03, "Ca": 6.34, "Ti": 4.95, "Cr": 5.64, "Mn": 5.43, "Fe": 7.50, "Ni": 6.22,
+}
 
 
 def r(x: str, digits: int) -> str:
@@ -89,7 +98,8 @@ lines AS (SELECT l_orderkey AS k, l_linenumber::DOUBLE AS t, l_quantity, l_exten
 agg AS (SELECT k, count(*) AS n, min(dt) AS min_dt, max(dt) AS max_dt, min(least(l_quantity, l_extendedprice, l_discount, l_tax)) AS low, min(t) AS first_t,
     max_by(l_quantity, lines.n) AS last_quantity, sum(l_extendedprice) AS total_price, string_agg(t::INTEGER::VARCHAR, ',' ORDER BY lines.n) AS grid FROM lines GROUP BY k),
 o AS (SELECT o_orderpriority AS file_id, o_orderkey::VARCHAR AS group_id, o_orderkey, o_totalprice, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey),
-oc AS (SELECT o.*, agg.*, CASE WHEN k IS NULL THEN 'missing_time' WHEN n < 2 THEN 'nan_time' WHEN min_dt <= 0 THEN 'nonpositive_dt' ELSE 'valid' END AS reason
+oc AS (SELECT o.*, agg.*, CASE WHEN k IS NULL THEN 'missing_time' WHEN n < 2 THEN 'nan_time' WHEN min_dt <= 0 THEN 'nonpositive_dt'
+        WHEN low IS NULL THEN 'missing_species' WHEN o_totalprice IS NULL OR c_acctbal IS NULL THEN 'missing_globals' ELSE 'valid' END AS reason
     FROM o LEFT JOIN agg ON o_orderkey = k)
 """
 O4 = f"""{O},
@@ -98,7 +108,7 @@ o4k AS (SELECT file_id, group_id, {split_of()} AS split FROM o4 WHERE fate = 'ke
 o4n AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY {key_hash("order")}, file_id, group_id) - 1) // 100 AS shard FROM o4k)
 """
 SCAN = """count(*) AS n_total, count(*) FILTER (reason = 'missing_time') AS n_missing_time, count(*) FILTER (reason = 'nan_time') AS n_nan_time,
-    count(*) FILTER (reason = 'nonpositive_dt') AS n_nonpositive_dt, 0::BIGINT AS n_missing_species, 0::BIGINT AS n_missing_globals, count(*) FILTER (reason = 'valid') AS n_valid,
+    count(*) FILTER (reason = 'nonpositive_dt') AS n_nonpositive_dt, count(*) FILTER (reason = 'missing_species') AS n_missing_species, count(*) FILTER (reason = 'missing_globals') AS n_missing_globals, count(*) FILTER (reason = 'valid') AS n_valid,
     min(CASE WHEN reason = 'valid' THEN min_dt END) AS min_forward_dt, max(CASE WHEN reason = 'valid' THEN max_dt END) AS max_forward_dt"""
 
 _STATS = {
@@ -129,19 +139,45 @@ SELECT 'events' AS file_id, group_id, count(dt) AS n, {r('min(dt)', 3)} AS min_d
 ORACLES["grid_census"] = f"WITH {O} SELECT grid, count(*) AS n FROM oc WHERE reason = 'valid' GROUP BY grid"
 ORACLES["dt_spec"] = f"WITH {V}, g AS (SELECT DISTINCT step, time FROM vs), d AS (SELECT a.step AS i, b.step - a.step AS k, b.time - a.time AS dt FROM g a JOIN g b ON b.step > a.step) SELECT {r('log10(min(dt) FILTER (k = 1))', 10)} AS log_min, {r('log10(max(dt) FILTER (k = 8))', 10)} AS log_max, min(dt) FILTER (k = 1) AS k1_min, max(dt) FILTER (k = 1) AS k1_max FROM d"
 ORACLES["dt_norm_table"] = f"WITH {MW}, {PAIRS} SELECT i, j, dt, count(*) AS n, {r('(log10(dt) - lo) / (hi - lo)', 10)} AS dt_norm, {r('dt', 6)} AS dt_back FROM pr, md GROUP BY i, j, dt, lo, hi"
-ORACLES["dt_norm_range"] = f"WITH {MW}, {PAIRS} SELECT min((log10(dt) - lo) / (hi - lo)) AS min, max((log10(dt) - lo) / (hi - lo)) AS max, 0::BIGINT AS n_bad FROM pr, md"
+ORACLES["dt_norm_range"] = f"WITH {MW}, {PAIRS} SELECT min((log10(dt) - lo) / (hi - lo)) AS min, max((log10(dt) - lo) / (hi - lo)) AS max, count(*) FILTER (NOT coalesce((log10(dt) - lo) / (hi - lo) BETWEEN 0 AND 1, false)) AS n_bad FROM pr, md"
 ORACLES["split_assignment"] = f"""WITH {V}, h AS (SELECT *, sha256('42:' || group_id) AS d FROM vk)
 SELECT file_id, group_id, split, {r(key_hash('split'), 12)} AS u, ('0x' || substr(d, 7, 2) || substr(d, 5, 2) || substr(d, 3, 2) || substr(d, 1, 2))::BIGINT AS seed FROM h"""
 _THREE = "(SELECT unnest(['train', 'validation', 'test']) AS split)"
 ORACLES["split_counts"] = f"WITH {V} SELECT s.split, count(vk.split) AS n FROM {_THREE} s LEFT JOIN vk ON s.split = vk.split GROUP BY s.split"
 ORACLES["split_counts_orders"] = f"WITH {O4} SELECT s.split, count(o4k.split) AS n FROM {_THREE} s LEFT JOIN o4k ON s.split = o4k.split GROUP BY s.split"
-ORACLES["drop_report"] = f"""WITH {V}, c AS (SELECT count(*) AS n, (SELECT count(*) FROM vk) AS k FROM v)
-SELECT n AS n_total, k AS n_valid, n - k AS n_dropped, 0::BIGINT AS n_nan, n - k AS n_below_threshold, 0::BIGINT AS n_unused FROM c"""
-ORACLES["drop_report_orders"] = f"""WITH {O4} SELECT count(*) AS n_total, count(*) FILTER (fate = 'kept') AS n_valid, count(*) FILTER (fate <> 'kept') AS n_dropped, 0::BIGINT AS n_nan,
-    count(*) FILTER (fate = 'below') AS n_below_threshold, count(*) FILTER (fate = 'unused') AS n_unused FROM o4"""
+# d: trajectories with defects; dc: classified; df: their fate.
+D = f"""{V},
+low AS (SELECT file_id, group_id, min(least(s0, s1, s2, s3)) AS low, min(CASE WHEN step < 15 THEN s0 END) AS low0, min(least(s1, s2, s3)) AS low123, bool_and(isfinite(s0) AND isfinite(s1) AND isfinite(s2) AND isfinite(s3)) AS fin FROM vs GROUP BY ALL),
+d AS (SELECT v.file_id, v.group_id, v.group_id::BIGINT AS n, v.p, v.t, least(CASE WHEN n % 7 = 2 THEN low0 ELSE low END, low123) AS low,
+    fin AND n % 11 <> 3 AND n % 13 <> 5 AS finite, n % 31 = 8 AS no_time, n % 29 = 6 AS nan_time, n % 37 = 2 AS equal_times, n % 17 = 7 AS no_species, n % 19 = 4 AS no_global, n % 23 = 9 AS inf_global
+    FROM v JOIN low ON v.file_id = low.file_id AND v.group_id = low.group_id),
+dc AS (SELECT *, CASE WHEN no_time THEN 'missing_time' WHEN nan_time THEN 'nan_time' WHEN equal_times THEN 'nonpositive_dt' WHEN no_species THEN 'missing_species' WHEN no_global THEN 'missing_globals' ELSE 'valid' END AS reason,
+    1.0::DOUBLE AS min_dt, 8192.0::DOUBLE AS max_dt FROM d),
+df AS (SELECT *, CASE WHEN reason <> 'valid' THEN NULL WHEN NOT finite THEN 'nonfinite' WHEN low < 0.001 THEN 'below_threshold' WHEN inf_global THEN 'nonfinite_global' ELSE 'kept' END AS fate FROM dc)
+"""
+SCAN_D = SCAN.replace("CASE WHEN reason = 'valid'", "CASE WHEN reason NOT IN ('missing_time', 'nan_time', 'nonpositive_dt')")
+DROPS = """count(*) AS n_total, count(*) FILTER (fate = 'kept') AS n_valid, count(*) FILTER (fate IS NULL OR fate <> 'kept') AS n_dropped,
+    count(*) FILTER (reason = 'nan_time' OR fate IN ('nonfinite', 'nonfinite_global')) AS n_nan, count(*) FILTER (fate = 'below_threshold') AS n_below_threshold, count(*) FILTER (fate = 'unused') AS n_unused"""
+ORACLES["scan_defects"] = f"WITH {D} SELECT file_id, {SCAN_D} FROM dc GROUP BY file_id"
+ORACLES["trajectories_read"] = f"""WITH {D}, tr AS (SELECT * REPLACE (CASE WHEN reason IN ('missing_globals', 'valid') AND (p >= 6 OR inf_global) THEN 'missing_species' ELSE reason END AS reason) FROM dc)
+SELECT file_id, {SCAN_D} FROM tr GROUP BY file_id"""
+ORACLES["drop_report"] = f"""WITH {V}, f AS (SELECT CASE WHEN NOT bool_and(isfinite(s0) AND isfinite(s1) AND isfinite(s2) AND isfinite(s3)) THEN 'nonfinite' WHEN min(least(s0, s1, s2, s3)) < 0.001 THEN 'below_threshold' ELSE 'kept' END AS fate,
+    'valid' AS reason FROM vs GROUP BY file_id, group_id) SELECT {DROPS} FROM f"""
+ORACLES["drop_report_defects"] = f"WITH {D} SELECT {DROPS} FROM df"
+ORACLES["fates"] = f"WITH {D} SELECT fate, count(*) AS n FROM df WHERE reason = 'valid' GROUP BY fate"
+ORACLES["length_report"] = f"""WITH {D} SELECT s.species, count(*) FILTER (d.n % 7 = 2 AND NOT no_time AND s.species = 'CH4_evolution') AS n_bad FROM d, (SELECT unnest([{quoted(SPECIES)}]) AS species) s GROUP BY s.species"""
+ORACLES["log_time_report"] = f"""WITH {D}, x AS (SELECT count(*) AS n, count(*) FILTER (NOT no_time) AS k FROM d)
+SELECT 'all' AS steps, n, k AS n_not_positive FROM x UNION ALL SELECT 'later', n, 0::BIGINT FROM x"""
+ORACLES["drop_report_orders"] = f"""WITH {O}, f AS (SELECT *, CASE WHEN reason <> 'valid' THEN NULL WHEN {key_hash("use")} >= 0.8 THEN 'unused' WHEN low < 0.001 THEN 'below_threshold' ELSE 'kept' END AS fate FROM oc)
+SELECT {DROPS} FROM f"""
 ORACLES["size_estimate"] = f"WITH {V} SELECT count(*) AS n, 16::INTEGER AS t, 8 * 16 + count(*) * 16 * 4 * 4 AS bytes FROM vk"
 ORACLES["shard_index"] = f"WITH {O4} SELECT split, shard, count(*) AS n_trajectories FROM o4n GROUP BY split, shard"
 ORACLES["shard_members"] = f"WITH {O4} SELECT file_id, group_id, split, shard FROM o4n"
+ORACLES["shard_files"] = f"WITH {O4} SELECT split, shard, format('shard_{{}}_{{:05d}}', split, shard) AS name, count(*) AS n_trajectories FROM o4n GROUP BY split, shard"
+ORACLES["shards_read"] = f"""WITH {O4}, q AS (SELECT k, min_by(l_quantity, n)::FLOAT::DOUBLE AS first_quantity, max_by(l_quantity, n)::FLOAT::DOUBLE AS last_quantity FROM lines GROUP BY k)
+SELECT file_id, group_id, split, shard, first_quantity, last_quantity FROM o4n JOIN q ON o4n.group_id = q.k::VARCHAR"""
+ORACLES["write_policy"] = f"""WITH {V}, c AS (SELECT split, count(*) AS n FROM vk GROUP BY split)
+SELECT 'first' AS step, split, n FROM c UNION ALL SELECT 'refused', split, n FROM c UNION ALL SELECT 'replaced', split, n FROM c WHERE split = 'test'"""
 ORACLES["dense_shards"] = f"WITH {V} SELECT file_id, group_id, 16::BIGINT AS n_steps, {r('s2::FLOAT::DOUBLE', 7)} AS y_3_2, t::FLOAT::DOUBLE AS g_1 FROM vt WHERE step = 3"
 ORACLES["quantization"] = f"WITH {V} SELECT count(DISTINCT file_id || ':' || group_id) AS n, {r('max(abs(s0 - s0::FLOAT::DOUBLE))', 9)} AS largest_gap FROM vt"
 ORACLES["partial_stats_merge"] = f"WITH {V} " + " UNION ALL ".join(
@@ -213,7 +249,7 @@ SELECT quadrant, file_id, group_id FROM n WHERE k = 1"""
 ORACLES["species_peak_order"] = f"WITH {V} " + by_species("vt WHERE time BETWEEN 0.001 AND 4096", lambda n: f"{r(f'max(s{n})', 8)} AS peak", LABELS)
 ORACLES["count_breakdown"] = f"""WITH {R}, c AS (SELECT count(*) AS k, count(DISTINCT j) AS d FROM r GROUP BY file_id, group_id)
 SELECT count(*) AS n_trajectories, median(k)::DOUBLE AS median_targets, min(k) AS min_targets, max(k) AS max_targets, median(d)::DOUBLE AS median_distinct, sum(k - d)::BIGINT AS n_repeated,
-    sum(k)::BIGINT AS n_pairs, sum(4 * k)::BIGINT AS n_points, sum(4 * k)::BIGINT AS n_finite FROM c"""
+    sum(k)::BIGINT AS n_pairs, sum(4 * k)::BIGINT AS n_points, (SELECT count(*) FILTER (isfinite(y) AND isfinite(q)) FROM pts) AS n_finite FROM c"""
 _POINT = u("file_id || ':' || group_id || ':' || i || ':' || j || ':' || species")
 ORACLES["strided_sample"] = f"""WITH {R}, n AS (SELECT file_id, group_id, i::VARCHAR AS i, j::VARCHAR AS j, species, row_number() OVER (ORDER BY {_POINT}, file_id, group_id, i::VARCHAR, j::VARCHAR, species) - 1 AS n FROM pts WHERE y > 0.2),
 k AS (SELECT greatest(1, ceil(count(*) / 500.0::DOUBLE)) AS stride FROM n)
@@ -223,8 +259,8 @@ WORDS = "ws AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS s
 _CLEAN = "regexp_replace(split_part(species, '_', 1), '[ +()\\-]', '', 'g')"
 FORMULAS = f"""{WORDS}, cl AS (SELECT species, {_CLEAN} AS f FROM ws),
 tk AS (SELECT species, unnest(regexp_extract_all(f, '[A-Z][a-z]?[0-9]*')) AS tok FROM cl WHERE regexp_full_match(f, '([A-Z][a-z]?[0-9]*)+')),
-el AS (SELECT species, regexp_extract(tok, '^([A-Z][a-z]?)', 1) AS element, coalesce(nullif(regexp_extract(tok, '([0-9]+)$', 1), ''), '1')::INTEGER AS n FROM tk),
-ok AS (SELECT species FROM el GROUP BY species HAVING min(n) > 0),
+el AS (SELECT species, regexp_extract(tok, '^([A-Z][a-z]?)', 1) AS element, try_cast(coalesce(nullif(regexp_extract(tok, '([0-9]+)$', 1), ''), '1') AS BIGINT) AS n FROM tk),
+ok AS (SELECT species FROM el GROUP BY species HAVING min(n) > 0 AND max(n) < 1000000000000000 AND count(*) = count(n)),
 comp AS (SELECT el.species, element, sum(n)::BIGINT AS n_atoms FROM el JOIN ok ON el.species = ok.species GROUP BY el.species, element),
 allc AS (SELECT ws.species, element, n_atoms FROM ws LEFT JOIN comp ON ws.species = comp.species)
 """
@@ -252,7 +288,7 @@ q2 AS (SELECT *, {", ".join(f"abs(pred_{k}_solar - true_{k}_solar) AS {k}_solar_
 lg AS (SELECT abs(log10(q) - log10(y)) AS species_log10_abs_err FROM pts)"""
 _QUANTITIES = [f"{s}_{k}_{w}" for s in ("true", "pred", "global") for k in ("co", "mh") for w in ("solar", "bracket")] + ["global_co_raw", "global_mh_raw"] + [f"{k}_{e}_err" for k in ("co", "mh") for e in ("solar_abs", "bracket_abs", "solar_rel")]
 ORACLES["chemistry_report"] = f"WITH {R}, {_CHEM} " + " UNION ALL ".join(
-    f"SELECT '{c}' AS quantity, count(*) AS n_total, count({c}) AS n_valid, 0::BIGINT AS n_invalid, 1.0::DOUBLE AS valid_fraction, {r(f'avg({c})', 6)} AS mean, {r(f'stddev_pop({c})', 6)} AS std, {r(f'min({c})', 6)} AS min, {r(f'max({c})', 6)} AS max FROM {t}"
+    f"SELECT '{c}' AS quantity, count(*) AS n_total, count(*) FILTER (isfinite({c})) AS n_valid, count(*) - count(*) FILTER (isfinite({c})) AS n_invalid, count(*) FILTER (isfinite({c})) / count(*)::DOUBLE AS valid_fraction, {r(f'avg({c})', 6)} AS mean, {r(f'stddev_pop({c})', 6)} AS std, {r(f'min({c})', 6)} AS min, {r(f'max({c})', 6)} AS max FROM {t}"
     for t, cs in (("q2", _QUANTITIES), ("lg", ["species_log10_abs_err"]))
     for c in cs
 )
@@ -266,5 +302,20 @@ FROM f LEFT JOIN k ON f.event_type = k.event_type GROUP BY user_id"""
 LOG = "l AS (SELECT event_type AS run_id, user_id AS epoch, event_id AS seq, value AS val_loss, value - 5.0::DOUBLE AS train_loss, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS k FROM events), m AS (SELECT run_id, epoch, seq, val_loss, train_loss FROM l WHERE k = 1)"
 ORACLES["metrics_last_per_epoch"] = f"WITH {LOG} SELECT * FROM m"
 ORACLES["metrics_best_so_far"] = f"""WITH {LOG} SELECT *, min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch) AS best,
-    coalesce(val_loss < min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM m"""
+    coalesce(val_loss < min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), val_loss < 'inf'::DOUBLE) AS improved FROM m"""
 ORACLES["metrics_curve"] = f"WITH {LOG} SELECT run_id, epoch + 1 AS epoch, train_loss, CASE WHEN val_loss > 0 THEN val_loss END AS val_loss FROM m WHERE train_loss > 0"
+ORACLES["metrics_log_read"] = """WITH l AS (SELECT user_id AS epoch, event_id::DOUBLE AS seq, value - 5.0::DOUBLE AS train_loss, CASE WHEN event_id % 3 <> 0 THEN value END AS val_loss,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'click')
+SELECT 'click' AS run_id, epoch, seq, train_loss, val_loss FROM l WHERE k = 1"""
+
+
+def _near(key: str, typical: str) -> str:
+    """A value near a typical one: a normal draw from two even ones, each a hash of the row's number."""
+    radius, angle = (u(f"id || ':{key}:{w}'", 1) for w in ("radius", "angle"))
+    return f"greatest(1e-35::DOUBLE, ({typical}) * (1 + 0.01::DOUBLE * (sqrt(-2 * ln(1 - {radius})) * cos(2 * pi() * {angle}))))"
+
+
+_PROBES = [("CH4_evolution", "pow(10.0::DOUBLE, a0)"), ("CO_evolution", "0.5::DOUBLE * (a1 + c1)"), ("H2O_evolution", "pow(10.0::DOUBLE, 0.5::DOUBLE * (a2 + c2))"), ("HCN_evolution", "a3")]
+ORACLES["probe_inputs"] = f"""WITH {MW}, ids AS (SELECT unnest(range(10 * (SELECT count(*) FROM vk WHERE split = 'train'))) AS id)
+SELECT id, {", ".join(f"{r(_near(key, x), 8)} AS y{k}" for k, (key, x) in enumerate(_PROBES))}, {r(f"pow(10.0::DOUBLE, lo + {u("id || ':dt:even'", 1)} * (hi - lo))", 6)} AS dt,
+    {r(_near("P", "pow(10.0::DOUBLE, 0.5::DOUBLE * (pa + pc))"), 8)} AS p, {r(_near("T", "ta"), 6)} AS t FROM ids, mw, mg, md"""

@@ -5,6 +5,7 @@ Floating-point results are rounded, since engines differ in the last bits of log
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ from trajspark.operators import chemistry, evaluate, pairs, reports, runlog, sch
 from trajspark.operators.normalize import normalized, quantized
 from trajspark.plans import fixtures as fx
 from trajspark.plans.oracles import ORACLES
-from trajspark.sources import shards
-from trajspark.sources.trajectories import KEY, long_form, unpack
+from trajspark.sources import runlogs, shards
+from trajspark.sources.scratch import scratch_path
+from trajspark.sources.trajectories import KEY, long_form, read_trajectories, unpack
 
 QUERIES: dict = {}
 V, O4 = fx.V_SPEC, fx.O4_SPEC
@@ -119,7 +121,46 @@ def drop_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def drop_report_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return _drops(fx.o4(spark, sf), O4)
+    """Of all orders, whatever their defects."""
+    return _drops(fx.o(spark, sf), O4)
+
+
+@query
+def scan_defects(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.scan_report(validate.classify(fx.d(spark, sf), V))
+
+
+@query
+def drop_report_defects(spark: SparkSession, sf: str) -> DataFrame:
+    return _drops(fx.d(spark, sf), V)
+
+
+@query
+def fates(spark: SparkSession, sf: str) -> DataFrame:
+    valid = validate.classify(fx.d(spark, sf), V).where("reason = 'valid'")
+    return validate.with_fate(valid, V).groupBy("fate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def length_report(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.length_report(fx.d(spark, sf), V)
+
+
+@query
+def log_time_report(spark: SparkSession, sf: str) -> DataFrame:
+    """With and without the first step, whose time is zero."""
+    rows = fx.d(spark, sf)
+    found = [validate.log_time_report(x, V).select(F.lit(name).alias("steps"), "*") for name, x in (("all", rows), ("later", validate.drop_first_step(rows, V)))]
+    return found[0].union(found[1])
+
+
+@query
+def trajectories_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Written and read back; a file without one of the variables reads as if each of its rows lacked it."""
+    path, rows = scratch_path(spark, "trajectories"), fx.d(spark, sf)
+    rows.where("P < 6").write.parquet(f"{path}/a")
+    rows.where("not P < 6").drop("HCN_evolution").write.parquet(f"{path}/b")
+    return reports.scan_report(validate.classify(read_trajectories(spark, [f"{path}/a", f"{path}/b"], V), V))
 
 
 @query
@@ -137,6 +178,42 @@ def shard_members(spark: SparkSession, sf: str) -> DataFrame:
     return shards.numbered(fx.kept(fx.o4(spark, sf), O4), O4).select(*KEY, "split", "shard")
 
 
+def _written_shards(spark: SparkSession, sf: str) -> str:
+    path = scratch_path(spark, "shards")
+    shards.write_shards(fx.kept(fx.o4(spark, sf), O4), path, O4)
+    return path
+
+
+@query
+def shard_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Names and sizes of the shards as they are on disk."""
+    return shards.file_index(spark, _written_shards(spark, sf))
+
+
+@query
+def shards_read(spark: SparkSession, sf: str) -> DataFrame:
+    """All shards written, read as one table: members, and a value of the first and the last step."""
+    rows = shards.read_shards(spark, _written_shards(spark, sf))
+    first, last = F.get(F.get("y", F.lit(0)), F.lit(0)), F.get(F.get("y", F.lit(3)), F.lit(0))
+    return rows.select(*KEY, "split", "shard", first.cast("double").alias("first_quantity"), last.cast("double").alias("last_quantity"))
+
+
+@query
+def write_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards found after a first write, one that is refused because the folder exists, and one that may replace it."""
+    path, kept, found = scratch_path(spark, "policy"), fx.v_kept(spark, sf), []
+    for step, rows, overwrite in (("first", kept, False), ("refused", kept.where("split = 'test'"), False), ("replaced", kept.where("split = 'test'"), True)):
+        try:
+            shards.write_shards(rows, path, V, overwrite=overwrite)
+        except AnalysisException:
+            if step != "refused":
+                raise
+        n = shards.read_shards(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+        n.select(F.lit(step).alias("step"), "split", "n").write.parquet(f"{path}-counts/{step}")
+        found.append(f"{path}-counts/{step}")
+    return spark.read.parquet(*found)
+
+
 @query
 def dense_shards(spark: SparkSession, sf: str) -> DataFrame:
     rows = shards.dense(fx.v_kept(spark, sf), V)
@@ -434,6 +511,18 @@ def name_sets(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("user_id", F.concat_ws(",", diff.ordered_union("all", F.array().cast("array<string>"))).alias("union"), F.concat_ws(",", diff.unknown_names("all", "known")).alias("unknown"))
 
 
+@query
+def metrics_log_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as nested JSON lines, some without validation, written and read back: the last record of each epoch."""
+    path, log = scratch_path(spark, "metrics"), fx.run_log(spark, sf).where("run_id = 'click'")
+    part = F.struct(F.col("val_loss").alias("loss"))
+    nested = log.select("epoch", F.col("seq").cast("double").alias("lr"), F.struct(F.col("train_loss").alias("loss")).alias("train"), F.when(F.col("seq") % 3 != 0, part).alias("val"))
+    nested.write.json(path)
+    rows = runlogs.read_metrics(spark, path)
+    flat = rows.select(F.lit("click").alias("run_id"), "epoch", F.col("lr").alias("seq"), F.col("train.loss").alias("train_loss"), F.col("val.loss").alias("val_loss"))
+    return runlog.last_per_epoch(flat)
+
+
 @query
 def metrics_last_per_epoch(spark: SparkSession, sf: str) -> DataFrame:
     return runlog.last_per_epoch(fx.run_log(spark, sf))
@@ -452,10 +541,12 @@ def metrics_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def probe_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Random inputs, ten for each trajectory of the training split."""
+    """Inputs drawn near typical values, ten for each trajectory of the training split."""
     typical = {r["key"]: r["value"] for r in stats.representative_values(fx.v_manifest(spark, sf)).collect()}
     dt = stats.dt_spec(fx.v(spark, sf).agg(F.min("time").alias("time")), V).first()
     n = 10 * fx.v_kept(spark, sf).where("split = 'train'").count()
-    return score.probe_inputs(spark, n, V, typical, (10.0 ** dt["log_min"], 10.0 ** dt["log_max"]))
+    rows = score.probe_inputs(spark, n, V, typical, (10.0 ** dt["log_min"], 10.0 ** dt["log_max"]))
+    y = [F.round(F.get("y_i", F.lit(k)), 8).alias(f"y{k}") for k in range(4)]
+    return rows.select("id", *y, F.round("dt", 6).alias("dt"), F.round(F.get("g", F.lit(0)), 8).alias("p"), F.round(F.get("g", F.lit(1)), 6).alias("t"))
 
 

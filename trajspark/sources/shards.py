@@ -38,30 +38,32 @@ def shard_index(sharded: DataFrame) -> DataFrame:
     return sharded.groupBy("split", "shard").agg(F.count(F.lit(1)).alias("n_trajectories"))
 
 
-def write_shards(kept: DataFrame, path: str, spec: TrajectorySpec, files: int | None = None, overwrite: bool = False) -> None:
-    """Parquet by split. Rows are dealt by split and a hash bucket, so that no split is one task's work.
+def shard_name(split: str, shard: int) -> str:
+    return f"shard_{split}_{shard:05d}"
 
-    An existing folder is an error unless ``overwrite`` is given; so is a table without rows.
+
+def write_shards(kept: DataFrame, path: str, spec: TrajectorySpec, overwrite: bool = False) -> None:
+    """Parquet with one file for each block of ``numbered``, in folders by split and shard.
+
+    A block has at most ``trajectories_per_shard`` rows, so no split is one task's work. An existing folder is an
+    error unless ``overwrite`` is given; so is a table without rows.
     """
-    rows = dense(kept, spec)
     if kept.isEmpty():
         raise ValueError("no trajectory to write")
-    n = files or int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    u = trajectory_hash(spec.seed, "order")
-    rows = rows.withColumn("__u", u).repartition(n, "split", F.floor(F.col("__u") * n)).sortWithinPartitions("split", "__u").drop("__u")
-    writer = rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("split")
-    writer.option("maxRecordsPerFile", spec.trajectories_per_shard).parquet(path)
+    rows = dense(numbered(kept, spec), spec).repartition("split", "shard").sortWithinPartitions("split", "shard", trajectory_hash(spec.seed, "order"), *KEY)
+    rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("split", "shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+    """All shards as one table, or those of one split."""
+    rows = spark.read.parquet(path).withColumns({"split": F.col("split").cast("string"), "shard": F.col("shard").cast("long")})
     return rows if split is None else rows.where(F.col("split") == split)
 
 
 def file_index(spark: SparkSession, path: str) -> DataFrame:
-    """Files of each split with their numbers of trajectories."""
-    rows = spark.read.parquet(path).select("split", F.col("_metadata.file_name").alias("file"))
-    return rows.groupBy("split", "file").agg(F.count(F.lit(1)).alias("n_trajectories"))
+    """``split``, ``shard``, ``name`` and number of trajectories of each shard that was written."""
+    name = F.format_string("shard_%s_%05d", "split", "shard").alias("name")
+    return shard_index(read_shards(spark, path)).select("split", "shard", name, "n_trajectories")
 
 
 def require_shards(shards: DataFrame, spec: TrajectorySpec) -> None:
@@ -108,6 +110,6 @@ def npz_blobs(sharded: DataFrame, spec: TrajectorySpec) -> DataFrame:
         out = io.BytesIO()
         np.savez(out, y_mat=np.array([[list(r) for r in m] for m in pdf["y"]], np.float32), globals=np.array(list(pdf["g"]), np.float32), t_vec=np.array(pdf[spec.time].iloc[0]))
         split, shard = pdf["split"].iloc[0], int(pdf["shard"].iloc[0])
-        return pd.DataFrame({"split": [split], "shard": [shard], "name": [f"shard_{split}_{shard:05d}.npz"], "content": [out.getvalue()]})
+        return pd.DataFrame({"split": [split], "shard": [shard], "name": [f"{shard_name(split, shard)}.npz"], "content": [out.getvalue()]})
 
     return dense(sharded, spec).groupBy("split", "shard").applyInPandas(one, "split string, shard long, name string, content binary")
