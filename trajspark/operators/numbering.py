@@ -14,7 +14,7 @@ def with_row_numbers(df: DataFrame, u: Column, ties: Sequence[str], name: str, w
     """Adds numbers from 0 in the order of ``u`` (evenly spread over [0, 1]), then ``ties``.
 
     Windows see one narrow bucket of ``u`` in one group each; the rows of the buckets before it are added.
-    So no task sorts a whole table or a hot group.
+    So no task sorts a whole table or a hot group. ``df`` is read twice: a table that is costly to compute should be written first.
     """
     rows = df.withColumn("__u", u).withColumn("__b", F.least(F.lit(buckets - 1), F.floor(F.col("__u") * buckets).cast("int")))
     counts = rows.groupBy(*within, "__b").agg(F.count(F.lit(1)).alias("__k"))

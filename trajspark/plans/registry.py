@@ -16,7 +16,7 @@ from trajspark.operators.normalize import normalized, quantized
 from trajspark.plans import fixtures as fx
 from trajspark.plans.oracles import ORACLES
 from trajspark.sources import runlogs, shards
-from trajspark.sources.scratch import scratch_path
+from trajspark.sources.scratch import scratch_path, written
 from trajspark.sources.trajectories import KEY, long_form, read_trajectories, unpack
 
 QUERIES: dict = {}
@@ -168,19 +168,24 @@ def size_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return reports.size_estimate(fx.v_kept(spark, sf), V)
 
 
+def _o4_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbering reads its rows twice: for the counts of buckets and for the rows."""
+    return shards.numbered(written(fx.kept(fx.o4(spark, sf), O4), "kept"), O4)
+
+
 @query
 def shard_index(spark: SparkSession, sf: str) -> DataFrame:
-    return shards.shard_index(shards.numbered(fx.kept(fx.o4(spark, sf), O4), O4))
+    return shards.shard_index(_o4_numbered(spark, sf))
 
 
 @query
 def shard_members(spark: SparkSession, sf: str) -> DataFrame:
-    return shards.numbered(fx.kept(fx.o4(spark, sf), O4), O4).select(*KEY, "split", "shard")
+    return _o4_numbered(spark, sf).select(*KEY, "split", "shard")
 
 
 def _written_shards(spark: SparkSession, sf: str) -> str:
     path = scratch_path(spark, "shards")
-    shards.write_shards(fx.kept(fx.o4(spark, sf), O4), path, O4)
+    shards.write_shards(written(fx.kept(fx.o4(spark, sf), O4), "kept"), path, O4)
     return path
 
 
@@ -487,7 +492,7 @@ def chemistry_report(spark: SparkSession, sf: str) -> DataFrame:
     c, o = (10.0 ** (names.SOLAR[e] - 12.0) for e in ("C", "O"))
     metals = sum(10.0 ** (names.SOLAR[e] - 12.0) for e in ("C", "O", "N"))
     scale = "linear_ratio_like"
-    rows = chemistry.chemistry_quantities(fx.r(spark, sf), _atoms(spark), c / o, metals, metallicity=(F.get("g", F.lit(0)), scale), c_to_o=(F.get("g", F.lit(1)), "linear_ratio"))
+    rows = chemistry.chemistry_quantities(written(fx.r(spark, sf), "scored"), _atoms(spark), c / o, metals, metallicity=(F.get("g", F.lit(0)), scale), c_to_o=(F.get("g", F.lit(1)), "linear_ratio"))
     return _r(chemistry.chemistry_report(rows), 6, "mean", "std", "min", "max")
 
 
