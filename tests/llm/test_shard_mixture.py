@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajspark.llm import shard_mixture
+from trajspark.llm.common import row_digest
 
 
 def make(spark, n=1200):
@@ -17,7 +18,7 @@ def test_as_a_sort_by_fractional_rank(spark, shards):
     docs = make(spark)
     got = shard_mixture.shard_documents(docs, shards, seed=3)
     assert sorted(got.columns) == ["doc_id", "shard", "slot", "source"]
-    hashed = [(r[0], r[1], r[2]) for r in docs.select("doc_id", "source", F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id"), 1)).collect()]
+    hashed = [(r[0], r[1], r[2]) for r in docs.select("doc_id", "source", row_digest(docs.drop("slot"), 3)).collect()]
     ranked = []
     for s in {r[1] for r in hashed}:
         own = sorted((h, i is not None, i or 0) for i, t, h in hashed if t == s)
@@ -55,3 +56,13 @@ def test_written_shards(spark, tmp_path):
     shard_mixture.write_shards(out, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == out.count() and back.select("shard").distinct().count() == 4
+
+
+def test_repeated_and_null_ids_clashing_names_and_any_number_of_buckets(spark):
+    columns = ["s", "h", "b", "c", "r", "n", "g", "row", "total", "start"]
+    rows = [(None if i % 3 else 7, "hot", i, {"k": i}, *map(str, range(len(columns)))) for i in range(400)] + [(7, None, 1, None, *columns)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, v int, m map<string, int>, " + ", ".join(f"`{c}` string" for c in columns))
+    found = [shard_mixture.shard_documents(docs, 3, bucket_bits=k).select("v", "source", "shard", "slot") for k in (0, 3, 9)]
+    first, *rest = [sorted(map(tuple, f.collect()), key=str) for f in found]
+    assert rest == [first, first] and len(first) == 403
+    assert shard_mixture.shard_documents(docs).columns == [*docs.columns, "shard", "slot"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, and bytes of texts, that a task works on together. Spark itself bounds the bytes of an Arrow batch.
-SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -57,11 +58,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``SLICE_BYTES`` at most for the jobs inside; the session's own bound is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(SLICE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write once to the shared folder and read back, so that later uses do not compute it again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +91,13 @@ def row_hash(df: DataFrame, *seeds):
     return F.xxhash64(*map(F.lit, seeds), *plain)
 
 
+def row_digest(df: DataFrame, seed: int):
+    """MD5 (hex) of the seed and all columns as text, null as ``\\N``, joined by U+001F; nested columns as JSON."""
+    nested = ("map<", "array<", "struct<")
+    texts = [F.to_json(F.struct(c)) if t.startswith(nested) else F.col(c).cast("string") for c, t in ((f"`{n}`", t) for n, t in df.dtypes)]
+    return F.md5(F.concat_ws("\u001f", F.lit(str(seed)), *[F.coalesce(t, F.lit("\\N")) for t in texts]))
+
+
 def ascii_lower(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -106,4 +106,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hw USING (row_id) LEFT JOIN it USING (row_id)
 """
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
+#: CRC-32 byte by byte; its table is the polynomial applied eight times to each byte.
+_CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor(3988292384::BIGINT, {0} >> 1) ELSE {0} >> 1 END"
+_BYTES = "list_transform(range(0, octet_length(encode(x))), lambda i: ('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT)"
+OP2_SQL = f"""
+WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, k + 1, {_CRC_STEP.format("c")} FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+texts AS (SELECT DISTINCT coalesce(text, '') AS x FROM documents),
+sums AS (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM texts, crc),
+d AS (SELECT doc_id, source, octet_length(encode(x)) + 1 AS size, text_crc32 FROM documents JOIN sums ON coalesce(text, '') = x),
+h AS (SELECT *, coalesce('s' || source, 'n') AS s, md5(concat_ws(chr(31), '20', coalesce(doc_id::VARCHAR, '\\N'), coalesce(source, '\\N'), size::VARCHAR, text_crc32::VARCHAR)) AS h FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h) AS r, count(*) OVER (PARTITION BY s) AS n FROM h),
+g AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / n, s, r) - 1 AS g, count(*) OVER () AS total FROM r),
+p AS (SELECT *, (g * 8 // total)::INTEGER AS shard FROM g)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard, (g - (shard * total + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM p
+"""
+
+ORACLES: dict[str, str] = {"op2_shard_mixture": OP2_SQL, "op4_decontamination": OP4_SQL}

@@ -14,55 +14,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the hash in each source, and of the fractional rank over all.
-HASH_BITS, RANK_BUCKETS = 10, 4096
+from trajspark.llm.common import row_digest
+
+#: Rows of a bucket, about: of the hash in each source, and of the fractional rank over all.
+BUCKET_ROWS = 20_000
+
+
+def _bits(rows: int) -> int:
+    return max(4, (rows // BUCKET_ROWS).bit_length())
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = 8, seed: int = 20, stratum_col: str = "source", id_col: str = "doc_id"
+    docs: DataFrame, n_shards: int = 8, seed: int = 20, stratum_col: str = "source", bucket_bits: int | None = None
 ) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``n_shards`` - 1) and ``slot`` (gapless from 0 in each shard).
 
-    Shards differ by one row at most, and in each a source's rows by about one from its share. The order
-    depends on ids, strata and the seed only. Null strata are one stratum of their own; null ids hash
-    alike; repeated rows are placed one by one, in either order. An empty table gives no rows. Columns
-    named ``shard`` or ``slot`` are replaced.
+    Shards differ by one row at most, and in each a source's rows by about one from its share. The shuffle is by
+    a seeded hash of the whole row, so it depends on the rows and the seed only, repeated and null ids are dealt
+    like others, and rows computed anew get their old places; rows that are equal in all columns are placed one by
+    one and cannot be told apart. Null strata are one stratum of their own. An empty table gives no rows. Columns
+    named ``shard`` or ``slot`` are replaced; all other names are free. The number of buckets
+    (2 to the power of ``bucket_bits``, by default by the number of rows) has no effect on the result.
     """
-    hashed = docs.drop("shard", "slot").withColumns(
-        {
-            "__s": F.coalesce(F.concat(F.lit("s"), F.col(stratum_col).cast("string")), F.lit("n")),
-            "__h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1),
-        }
+    kept = docs.drop("shard", "slot")
+    bits = bucket_bits if bucket_bits is not None else _bits(docs.count())
+    buckets = 1 << bits
+    rows = kept.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"),
+        F.coalesce(F.concat(F.lit("s"), F.col(stratum_col).cast("string")), F.lit("n")).alias("s"),
+        row_digest(kept, seed).alias("h2"),
     )
-    hashed = hashed.withColumn("__b", F.shiftright("__h", 63 - HASH_BITS))
-    counts = hashed.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__k"))
-    of_source = Window.partitionBy("__s")
+    rows = rows.withColumn("h", F.conv(F.substring("h2", 1, 15), 16, 10).cast("bigint")).withColumn("b", F.shiftright("h", 60 - bits))
+    counts = rows.groupBy("s", "b").agg(F.count(F.lit(1)).alias("k"))
+    of_source = Window.partitionBy("s")
     offsets = counts.select(
-        "__s",
-        "__b",
-        F.sum("__k").over(of_source).alias("__n"),
-        (F.sum("__k").over(of_source.orderBy("__b")) - F.col("__k")).alias("__before"),
+        "s",
+        "b",
+        F.sum("k").over(of_source).alias("n"),
+        (F.sum("k").over(of_source.orderBy("b")) - F.col("k")).alias("before"),
     )
-    in_bucket = Window.partitionBy("__s", "__b").orderBy("__h", id_col)
-    ranked = hashed.join(offsets, ["__s", "__b"]).withColumn("__r", F.col("__before") + F.row_number().over(in_bucket))
-    ranked = ranked.withColumn("__c", F.expr(f"((2 * __r - 1) * {RANK_BUCKETS}) div (2 * __n)")).drop("__b", "__before")
+    in_bucket = Window.partitionBy("s", "b").orderBy("h", "h2")
+    ranked = rows.join(offsets, ["s", "b"]).withColumn("r", F.col("before") + F.row_number().over(in_bucket))
+    ranked = ranked.withColumn("c", F.expr(f"((2 * r - 1) * {buckets}) div (2 * n)")).drop("b", "before", "h", "h2")
 
     # Of n rows, those with (2r - 1) * B < 2n * c lie before bucket c: ceil(2nc / B) div 2.
-    sizes = counts.groupBy("__s").agg(F.sum("__k").alias("__n"))
+    sizes = counts.groupBy("s").agg(F.sum("k").alias("n"))
     starts = (
-        sizes.select("__n", F.explode(F.expr(f"sequence(0L, {RANK_BUCKETS - 1}L)")).alias("__c"))
-        .groupBy("__c")
+        sizes.select("n", F.explode(F.expr(f"sequence(0L, {buckets - 1}L)")).alias("c"))
+        .groupBy("c")
         .agg(
-            F.sum(F.expr(f"((2 * __n * __c + {RANK_BUCKETS - 1}) div {RANK_BUCKETS}) div 2")).alias("__start"),
-            F.sum("__n").alias("__total"),
+            F.sum(F.expr(f"((2 * n * c + {buckets - 1}) div {buckets}) div 2")).alias("start"),
+            F.sum("n").alias("total"),
         )
     )
-    along = Window.partitionBy("__c").orderBy((2 * F.col("__r") - 1).cast("double") / F.col("__n"), "__s", "__r")
-    placed = ranked.join(starts, "__c").withColumn("__g", F.col("__start") + F.row_number().over(along) - 1)
-    placed = placed.withColumn("shard", F.expr(f"(__g * {n_shards}) div __total").cast("int"))
-    first = F.expr(f"(shard * __total + {n_shards - 1}) div {n_shards}")
-    placed = placed.withColumn("slot", F.col("__g") - first)
-    return placed.drop("__s", "__h", "__n", "__r", "__c", "__start", "__total", "__g")
+    along = Window.partitionBy("c").orderBy((2 * F.col("r") - 1).cast("double") / F.col("n"), "s", "r")
+    placed = ranked.join(starts, "c").withColumn("g", F.col("start") + F.row_number().over(along) - 1)
+    placed = placed.withColumn("shard", F.expr(f"(g * {n_shards}) div total").cast("int"))
+    first = F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
+    return placed.select("row.*", "shard", (F.col("g") - first).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
