@@ -173,13 +173,19 @@ def held_out(id_col: str, folds: int = 5) -> F.col:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, max_rows: int = MAX_ROWS, seed: int = 7) -> Classifier:
-    """Fit on labelled rows outside the held-out fold. Of several labels of an id the lowest counts."""
+    """Fit on labelled rows outside the held-out fold. Of several labels of an id the lowest counts, of several
+    texts the one with the smallest hash. Null ids belong to no label; without usable labels all scores are equal."""
     import pyarrow as pa
 
-    usable = labels.where(~held_out(id_col, folds) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("label"))
-    usable = usable.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(usable), F.col("__doc") == F.col("__id")).select("label", "text")
+    usable = labels.where(~held_out(id_col, folds) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    usable = usable.groupBy("id").agg(F.min("label").alias("label"))
+    u, n = F.xxhash64(F.lit(seed), "id"), usable.count()
+    if n > 2 * max_rows:  # leaves about twice as many rows to order
+        usable = usable.where(F.shiftrightunsigned(u, 1) < int(2**63 * (2 * max_rows / n)))
+    usable = usable.orderBy(u, "id").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # One row for each id: at most max_rows come to the driver.
+    rows = texts.join(F.broadcast(usable), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
     def run(batches):
         features = Features()
@@ -187,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [features(x).astype("<i4").tobytes() for x in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["label", "places"])
 
-    found = rows.mapInArrow(run, "label int, places binary").limit(max_rows).collect()
+    found = rows.mapInArrow(run, "label int, places binary").collect()
     found = sorted((r["places"], r["label"]) for r in found)  # the order of arrival has no effect
     return train([np.frombuffer(p, "<i4") for p, _ in found], np.array([y for _, y in found], int))
 
