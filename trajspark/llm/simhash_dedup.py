@@ -18,15 +18,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import bounded, texts_of, word_chunks, written
+from trajspark.llm.common import bounded, cut, row_hash, texts_of, word_chunks, written
 from trajspark.llm.components import connected_components
 
 SEED = 42
 #: Parts of a fingerprint whose population counts make a tile. More parts skip more tile pairs, and put each
 #: fingerprint into more tiles: 65 with four parts, 417 with eight (radius 3).
 PARTS = 4
-#: Rows of a compared block on each side.
-BLOCK = 2048
+#: Most rows of a tile that one task holds; a tile with more is split. Rows of a compared block on each side.
+TILE_ROWS, BLOCK = 16_384, 1024
+#: Most tiles whose splits are broadcast (16 bytes each).
+MAX_BROADCAST = 1_000_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -58,20 +60,19 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, key: str | None = None) -> DataFrame:
+    """``id`` and ``fp`` (the fingerprint's bits as a signed long) of every row; between them ``key``, a text column, if one is named."""
     import pyarrow as pa
 
-
     def run(batches):
         for batch in bounded(batches, 1):
             fps = np.array([fingerprint(x, size) for x in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            keys = [batch.column(2)] if key else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *keys, pa.array(fps, pa.int64())], ["id", *(["key"] if key else []), "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, fp bigint"
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(key).alias("key")] if key else []))
+    return rows.mapInArrow(run, f"id {kind}, {'key string, ' if key else ''}fp bigint")
 
 
 def _steps(radius: int, parts: int) -> list[int]:
@@ -105,8 +106,12 @@ def _block_links(home: np.ndarray, guest: np.ndarray, radius: int, same: bool) -
     return items[moved], items[root[moved]]
 
 
-def fingerprint_links(distinct_fps: DataFrame, radius: int = 3, parts: int = PARTS) -> DataFrame:
-    """Links ``a``, ``b`` that join all fingerprints (column ``fp``, distinct) reachable within ``radius`` bits."""
+def fingerprint_links(distinct_fps: DataFrame, radius: int = 3, parts: int = PARTS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Links ``a``, ``b`` that join all fingerprints (column ``fp``, distinct) reachable within ``radius`` bits.
+
+    A tile with more than ``tile_rows`` rows is split by a hash: each split holds its own rows and meets the
+    rows of the splits before it and of the other tiles.
+    """
     import pyarrow as pa
 
     width = 64 // parts
@@ -114,15 +119,21 @@ def fingerprint_links(distinct_fps: DataFrame, radius: int = 3, parts: int = PAR
     small = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(mask)).cast("long") for i in range(parts)]
     key = sum((p * F.lit(1 << (6 * i)) for i, p in enumerate(small)), F.lit(0).cast("long"))
     steps = F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(radius, parts)]))
-    tiles = distinct_fps.select("fp", key.alias("own"), steps.alias("step"))
-    tiles = (
-        tiles.select((F.col("own") + F.col("step")).alias("tile"), (F.col("step") != 0).alias("guest"), "fp")
-        .repartition("tile")
-        .sortWithinPartitions("tile", "guest", "fp")
-    )
+    keyed = distinct_fps.select("fp", key.alias("own"))
+    sizes = cut(keyed.groupBy("own").agg(F.count(F.lit(1)).alias("n"))).select("own", F.ceil(F.col("n") / tile_rows).cast("int").alias("splits"))
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST else sizes
+    of_row = F.pmod(F.xxhash64("fp"), F.col("splits").cast("long")).cast("int")
+    own = keyed.join(sizes, "own").select("fp", "own", of_row.alias("split"))
+    # Tiles without rows of their own need no guests.
+    met = own.select("fp", "own", "split", steps.alias("step")).select("fp", (F.col("own") + F.col("step")).alias("tile"), F.col("step") != 0, "split")
+    met = met.toDF("fp", "tile", "other", "split").join(sizes.withColumnRenamed("own", "tile"), "tile")
+    last = F.when(F.col("other"), F.col("splits") - 1).otherwise(F.col("split"))
+    tiles = met.select("tile", F.explode(F.sequence(F.lit(0), last)).alias("part"), "fp", "other", "split")
+    tiles = tiles.select("tile", "part", (F.col("other") | (F.col("part") != F.col("split"))).alias("guest"), "fp")
+    tiles = tiles.repartition("tile", "part").sortWithinPartitions("tile", "part", "guest", "fp")
 
     def run(batches):
-        """A tile's own rows come first and stay; its guests are compared as they pass."""
+        """The rows of a tile's split come first and stay; its guests are compared as they pass."""
         tile, home = None, []
 
         def compare(rows: np.ndarray, same: bool):
@@ -135,15 +146,15 @@ def fingerprint_links(distinct_fps: DataFrame, radius: int = 3, parts: int = PAR
                     home.append(part)
 
         for batch in batches:
-            tiles_, guests = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            fps = batch.column(2).to_numpy().view(np.uint64)
-            edges = np.flatnonzero((np.diff(tiles_) != 0) | (np.diff(guests.astype(np.int8)) != 0)) + 1
+            tiles_, parts_, guests = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            fps = batch.column(3).to_numpy().view(np.uint64)
+            edges = np.flatnonzero((np.diff(tiles_) != 0) | (np.diff(parts_) != 0) | (np.diff(guests.astype(np.int8)) != 0)) + 1
             found = []
             for begin, end in itertools.pairwise([0, *edges.tolist(), len(tiles_)]):
                 if begin == end:
                     continue
-                if tiles_[begin] != tile:
-                    tile, home = tiles_[begin], []
+                if (tiles_[begin], parts_[begin]) != tile:
+                    tile, home = (tiles_[begin], parts_[begin]), []
                 if guests[begin] and not home:
                     continue
                 found += [x for x in compare(fps[begin:end], not guests[begin]) if len(x[0])]
@@ -153,6 +164,12 @@ def fingerprint_links(distinct_fps: DataFrame, radius: int = 3, parts: int = PAR
     return tiles.mapInArrow(run, "a bigint, b bigint")
 
 
+def _grouped(fps: DataFrame, radius: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """``fp``, ``least`` (smallest id) of all distinct fingerprints; ``node``, ``root`` of the linked ones."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    return nodes, connected_components(fingerprint_links(nodes.select("fp"), radius, parts))
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, parts: int = PARTS
 ) -> DataFrame:
@@ -164,8 +181,7 @@ def simhash_groups(
     group's name; a group with no id at all has a null name. Repeated rows give repeated results.
     """
     fps = written(with_fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(fingerprint_links(nodes.select("fp"), radius, parts))
+    nodes, roots = _grouped(fps, radius, parts)
     linked = roots.join(nodes, roots["node"] == nodes["fp"])
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
     linked = linked.join(names, "root").select(F.col("node").alias("fp"), "name")
@@ -177,15 +193,23 @@ def simhash_groups(
 
 
 def simhash_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, parts: int = PARTS
 ) -> DataFrame:
-    """One row of every near-duplicate group, with the columns of ``docs``: the one with the smallest id.
+    """One row of every near-duplicate group, with the columns of ``docs``, which may have any names.
 
-    Rows that repeat that id are dropped but for one. Rows without an id cannot be named and are kept.
+    It is the one with the smallest id, rows without an id last; of several the one with the smallest hash of its
+    text, then of the row. So every group keeps exactly one row, whatever ids repeat or lack.
     """
-    groups = simhash_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, radius)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__keep"]).drop("__keep")
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    kept = kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    text = F.col(text_col).cast("string")
+    # Tells rows with another id or text apart, and is null for none, so that one shuffle serves join and window.
+    key = F.md5(F.concat_ws("\u001f", F.coalesce(F.col(id_col).cast("string"), F.lit("\\N")), F.coalesce(text, F.lit("\\N"))))
+    keyed = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"))
+    fps = written(with_fingerprints(keyed, "id", "text", size, key="key"), "fingerprints")
+    nodes, roots = _grouped(fps, radius, parts)
+    labels = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp")
+    firsts = fps.groupBy("fp").agg(F.min(order).alias("first")).join(labels, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = written(firsts.select("first.key").distinct(), "survivors")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), row_hash(docs).alias("whole"))
+    first = Window.partitionBy("key").orderBy("whole")
+    return rows.join(keep, "key").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
