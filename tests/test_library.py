@@ -340,7 +340,8 @@ def test_counts_of_atoms_that_are_too_long(spark):
 
 def test_infinity_is_no_improvement(spark):
     log = spark.createDataFrame([("r", 0, float("inf")), ("r", 1, float("nan")), ("r", 2, 5.0), ("r", 3, 5.0)], "run_id string, epoch int, val_loss double")
-    assert [r.improved for r in runlog.best_so_far(log).orderBy("epoch").collect()] == [False, False, True, False]
+    for epochs in (1, 2, 1000):
+        assert [r.improved for r in runlog.best_so_far(log, epochs=epochs).orderBy("epoch").collect()] == [False, False, True, False]
 
 
 def test_points_to_trajectories_and_back(spark):

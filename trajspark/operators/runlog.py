@@ -14,13 +14,21 @@ def last_per_epoch(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id", "epoch").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("run_id", "epoch", "r.*")
 
 
-def best_so_far(log: DataFrame, value: str = "val_loss") -> DataFrame:
-    """Adds ``best`` up to each epoch and whether the epoch is better than infinity and all before it; NaN is never better."""
-    w = Window.partitionBy("run_id").orderBy("epoch")
+def best_so_far(log: DataFrame, value: str = "val_loss", epochs: int = 1000) -> DataFrame:
+    """Adds ``best`` up to each epoch and whether the epoch is better than infinity and all before it; NaN is never better.
+
+    Windows see ``epochs`` epochs of a run; the minima of the ranges before them are carried on.
+    """
     x = F.when(F.isnan(value), F.lit(None)).otherwise(F.col(value))
-    before = F.min(x).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = log.withColumn("_range", F.floor(F.col("epoch") / epochs))
+    ranges = rows.groupBy("run_id", "_range").agg(F.min(x).alias("_least"))
+    earlier = F.min("_least").over(Window.partitionBy("run_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    joined = rows.join(ranges.select("run_id", "_range", earlier.alias("_earlier")), ["run_id", "_range"])
+    w = Window.partitionBy("run_id", "_range").orderBy("epoch")
+    before = F.least("_earlier", F.min(x).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    best = F.least("_earlier", F.min(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     better = F.coalesce(x < F.coalesce(before, F.lit(float("inf"))), F.lit(False))
-    return log.withColumns({"best": F.min(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), "improved": better})
+    return joined.withColumns({"best": best, "improved": better}).select(*log.columns, "best", "improved")
 
 
 def curve(log: DataFrame, train: str = "train_loss", val: str = "val_loss") -> DataFrame:
