@@ -37,7 +37,7 @@ LONG, LEAF = 512, 256
 #: Tokens of the first window on each side of a join, and tokens that have to agree on each side.
 WINDOW, AGREE = 8, 2
 #: Stretches in the memo, and the longest that it holds.
-MEMO, MEMO_CHARS = 800_000, 48
+MEMO, MEMO_CHARS = 500_000, 48
 #: Stretches that the library encodes as one text.
 JOINED = 2000
 #: What may follow a plain word as one pre-token, and what joins two lines.
@@ -94,7 +94,6 @@ class Codec:
             self.chars[i] = len(token)
         self.spaced = np.array([p.startswith(b" ") for p in self.pieces])
         self.memo: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.letters = {b: ch for ch, b in letters.items()}
         self.tokenize = self.library.model.tokenize
@@ -190,16 +189,15 @@ class Codec:
 
     def _learn(self, stretches: set[str]) -> None:
         """Put stretches into the memo; None for one that does not encode by itself."""
-        short, memo, words = [], self.memo, self.words
-        if len(words) > MEMO or len(self.tails) > MEMO:
-            words.clear()
+        short, memo = [], self.memo
+        if len(self.tails) > MEMO:
             self.tails.clear()
         for s in stretches:
             if self.feed is not None:
                 word = s.rstrip(_AFTER)
-                ids = words.get(word)
+                ids = memo.get(word)
                 if ids is None and (ids := self._word(word, True)) is not None:
-                    words[word] = ids
+                    memo[word] = ids
                 if ids is not None:
                     memo[s] = ids if len(word) == len(s) else ids + self._after(s[len(word) :])
                     continue
