@@ -16,11 +16,22 @@ from trajspark.llm.common import table, written
 from trajspark.llm.queries import PII_KEY
 
 
+#: Bytes of the Arrow batches between Spark and its Python workers, so that whole rows pass in little memory.
+BATCH_BYTES = "8m"
+
+
+def _settings(spark: SparkSession) -> None:
+    """The pipeline is an application: it sets the session that its stages run in."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _settings(spark)
     return quality_rules.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _settings(spark)
     return simhash_dedup.simhash_dedup(docs)
 
 
@@ -29,10 +40,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _settings(spark)
     return pii_surrogates.replace_pii(docs, PII_KEY)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _settings(spark)
     return bpe.encode_digests(docs)
 
 
