@@ -60,3 +60,44 @@ def test_without_labels_and_rows(spark):
     assert all(r.kept != r.base_failed for r in q.judge(docs, labels.limit(0)).collect())
     assert q.judge(docs.limit(0), labels).collect() == []
     assert q.filter_documents(docs.limit(0), labels).collect() == []
+
+
+def test_paths_against_brute_force():
+    rng = np.random.default_rng(2)
+    rows = np.round(rng.uniform(0, 1, (400, 3)), 2)
+    f = q.Forest.grow(rows, rows.min(0), rows.max(0), trees=20, rows_per_tree=64, seed=5)
+
+    def path(t, x):
+        """One node after another; where a tree ends, the split is infinite and leads left."""
+        node = depth = 0
+        while depth < q.DEPTH:
+            node, depth = 2 * node + (1 if x[f.feature[t, node]] <= f.split[t, node] else 2), depth + 1
+        return f.path[t, node]
+
+    def walk(t, x):
+        """The path from the splits alone: their number, and the expected rest for the sample's rows in the leaf."""
+        sample = rows[np.random.default_rng(5).permutation(len(rows))[:64]] if t == 0 else None
+        node = depth = 0
+        while depth < q.DEPTH and np.isfinite(f.split[t, node]):
+            left = x[f.feature[t, node]] <= f.split[t, node]
+            if sample is not None:
+                sample = sample[(sample[:, f.feature[t, node]] <= f.split[t, node]) == left]
+            node, depth = 2 * node + (1 if left else 2), depth + 1
+        return depth, None if sample is None else depth + q.expected_path(len(sample))
+
+    for x in rows[:60]:
+        total = sum(path(t, x) for t in range(20))
+        assert np.isclose(f.score(x[None])[0], 2 ** (-total / 20 / f.expected))
+        assert all(path(t, x) >= walk(t, x)[0] for t in range(20)) and np.isclose(path(0, x), walk(0, x)[1])
+
+
+def test_names_that_clash(spark):
+    docs, labels, n = make(spark)
+    docs = docs.selectExpr("*", "'a' as row", "'b' as id", "7 as n_words", "'c' as symbols", "'d' as `a.b`")
+    kept = q.filter_documents(docs, labels)
+    assert kept.columns == docs.columns and {tuple(r)[3:] for r in kept.collect()} == {("a", "b", 7, "c", "d")}
+
+
+def test_a_very_long_text():
+    text = ("all work and no play " * 200_000 + "#").encode()
+    assert q.statistics(text)[0] == [1_000_001, 16 * 200_000 + 1, 1, 0, 1_000_000]

@@ -178,8 +178,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", seed: int =
     steps of 1 / ``BINS``) above which at most ``loss`` of all good labelled documents lie; without labels
     nothing is rejected by score. Labels that are null or belong to no document have no effect.
     """
-    good = labels.where("quality = 1").select(F.col(id_col).alias("__id")).distinct()
-    marked = stats.join(good, stats[id_col] == good["__id"], "left_semi")
+    good = labels.where("quality = 1").select(id_col).distinct()
+    marked = stats.join(good, id_col, "left_semi")
     limits = stats.agg(*[f(c) for c in SHARES for f in (F.min, F.max)]).first()
     low, high = (_features(np.array([limits[2 * k + i] or 0.0 for k in range(len(SHARES))])) for i in (0, 1))
 
@@ -229,25 +229,44 @@ def scored(stats: DataFrame, model: QualityModel, id_col: str = "doc_id") -> Dat
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, base rules, anomaly score and verdict of every row."""
+    """Counts, base rules, anomaly score and verdict of every row, repeated ones and those without an id included.
+
+    A null id belongs to no label and is judged like any other; a null or empty text fails the base rules.
+    """
     stats = written(rule_statistics(docs, id_col, text_col), "rule-statistics")
     return scored(stats, fit(stats, labels, id_col), id_col)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; the verdict is made where the text lies."""
+    """The rows of ``docs`` that are kept, with all their columns, which may have any names.
+
+    Statistics are made once, where the text lies, and written next to the row; the verdict reads them there.
+    """
     import pyarrow as pa
+    from pyspark.sql import types as T
 
-    stats = written(rule_statistics(docs, id_col, text_col), "rule-statistics")
-    model = fit(stats, labels, id_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
     at = docs.columns.index(text_col)
+    names = [*COUNTS, *SHARES]
+    kinds = [T.LongType()] * len(COUNTS) + [T.DoubleType()] * len(SHARES)
+    schema = T.StructType([packed.schema["row"], T.StructField("id", packed.schema["id"].dataType), *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
 
     def run(batches):
         for batch in batches:
-            found = [statistics(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
-            if found:
-                _, _, kept = model.keep(np.array([c for c, _ in found], np.int64), np.array([s for _, s in found]))
-                batch = batch.filter(pa.array(kept))
-            yield batch
+            texts = pa.RecordBatch.from_arrays([batch.column(0).flatten()[at].cast(pa.string())], ["text"])
+            found = [statistics(x) for part in bounded([texts], 0) for x in texts_of(part)]
+            counts = [pa.array([c[k] for c, _ in found], pa.int64()) for k in range(len(COUNTS))]
+            shares = [pa.array([s[k] for _, s in found], pa.float64()) for k in range(len(SHARES))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, *shares], ["row", "id", *names])
+
+    rows = written(packed.mapInArrow(run, schema), "rule-statistics")
+    model = fit(rows.select(F.col("id").alias(id_col), *names), labels, id_col)
+
+    def keep(batches):
+        for batch in batches:
+            values = [batch.column(1 + k).to_numpy() for k in range(len(names))]
+            counts = np.stack(values[: len(COUNTS)], 1).reshape(-1, len(COUNTS))
+            _, _, kept = model.keep(counts, np.stack(values[len(COUNTS) :], 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.select("row", *names).mapInArrow(keep, T.StructType([packed.schema["row"]])).select("row.*")
