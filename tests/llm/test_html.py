@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -93,3 +94,52 @@ def test_null_empty_and_repeated_pages(spark):
     by = {r.page_id: r for r in got}
     assert by[1].text == by[5].text[: len(by[1].text)] == "Title\nWords of the article, enough to matter to a reader." and by[2].text == by[3].text == "" and by[2].n_chars == 0
     assert h.extract_pages(pages.limit(0)).collect() == []
+
+
+def test_deep_nesting_is_linear():
+    deep = "<article><p>kept text of some length here</p>" + "<div>" * 50_000 + "<p>x" + "</div>" * 50_000 + "</article>"
+    start = time.time()
+    dom = h.parse(deep)
+    assert time.time() - start < 5 and max(dom.levels) == 50_002
+    dom = h.parse("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><p>e<p>f<table><tr><td>g<td>h<tr><td>i</table>")
+    below = [(t, dom.tags[p]) for t, p in zip(dom.tags[1:], dom.parents[1:], strict=True)]
+    assert below == [("ul", "#root"), ("li", "ul"), ("li", "ul"), ("ul", "li"), ("li", "ul"), ("li", "ul"), ("p", "#root"), ("p", "#root"), ("table", "#root"), ("tr", "table"), ("td", "tr"), ("td", "tr"), ("tr", "table"), ("td", "tr")]
+
+
+_A = "The first paragraph says at some length what happened, where it happened and to whom, with a clause or two."
+_B = "A second one goes on with the story; it has commas, numbers such as 12, and a closing thought for the reader."
+_NAV = "".join(f'<a href="/{x}">{x}</a> ' for x in ("start", "latest", "archive", "team"))
+
+#: Pages of different makes, none with an article element, and what a reader would copy out of them.
+TEMPLATES = {
+    "main": (
+        f"<html><head><title>T</title><script>for(var i=0;i<n;i++){{document.write('<p>no</p>')}}</script></head><body><header><nav>{_NAV}</nav></header><main><h1>Big news</h1><p>{_A}</p><p>{_B}</p></main><footer>All rights reserved</footer></body></html>",
+        ["Big news", _A, _B],
+    ),
+    "divs": (
+        f'<body><div class="menu">{_NAV}</div><div class="post-content"><h2>Small news</h2><p>{_A}</p><div class="advert">Buy a car now</div><p>{_B}</p></div><div class="sidebar"><p>{_NAV}</p></div><div class="footer">Imprint</div></body>',
+        ["Small news", _A, _B],
+    ),
+    "comments": (
+        f'<div id="nav"><ul><li>{_NAV}</li></ul></div><div id="content"><h1>On the topic</h1><p>{_A}</p><p>{_B}</p><ul><li>a point of some weight</li><li>and another one</li></ul></div><div id="comments"><div class="comment"><p>I read it all and I disagree with it.</p></div></div>',
+        ["On the topic", _A, _B, "a point of some weight", "and another one"],
+    ),
+    "roles": (
+        f'<div role="navigation">{_NAV}</div><section role="main" class="story"><h1>At length</h1><p>{_A}<p>{_B}<blockquote>{_A}</blockquote></section><form class="newsletter"><label>Mail</label><button>Go</button></form><div role="contentinfo" class="footer"><a href="/x">Terms</a></div>',
+        ["At length", _A, _B, _A],
+    ),
+    "table": (
+        f'<table><tr><td class="sidebar">{_NAV}</td><td class="content"><h1>Old style</h1><p>{_A}</p><p>{_B}</p></td></tr></table><div class="cookie notice">We use cookies</div>',
+        ["Old style", _A, _B],
+    ),
+    "math": (
+        f'<nav>{_NAV}</nav><div class="entry body"><h1>Sums</h1><p>{_A} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><p>{_B}</p></div><!-- <p>gone</p> --><style>p{{}}</style><div class="popup"><p>Join us</p></div>',
+        ["Sums", _A + " x=1", _B],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_templates_without_an_article_element(name):
+    page, want = TEMPLATES[name]
+    assert h.extract([page], hand_model()) == ["\n".join(want)]

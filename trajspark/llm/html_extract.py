@@ -9,7 +9,8 @@ Potentials are counted on labelled pages: a few hand-labelled ones, and at most
 table (those with the smallest hash of their id) that mark their article themselves, which labels all their
 elements. Both parts weigh the same. All pages are extracted whole.
 
-Messages of a batch of pages are passed together, level by level, as arrays.
+Fallback text of ``noscript`` is judged like other elements. Very long and deeply nested pages take time in
+proportion to their length. Messages of a batch of pages are passed together, level by level, as arrays.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|data-main|hidden)(?:\s*=\s*(\"
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is no markup, up to their own end tag.
-RAW = frozenset("script style title textarea iframe noscript".split())
+RAW = frozenset("script style title textarea iframe".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
 #: Elements that a slash at the end of their start tag may close.
 CLOSED_BY_SLASH = frozenset("svg math object template".split())
@@ -72,6 +73,7 @@ def parse(page: str | None) -> Dom:
     dom = Dom(["#root"], [[]], [-1], [0], [False], [])
     tags, parents, levels, links, runs = dom.tags, dom.parents, dom.levels, dom.links, dom.runs
     stack, block, last, at = [0], 0, 0, 0
+    places: dict[str, list[int]] = {}  # of the open elements in the stack, by tag, so that closing takes no search
     inert = [False]  # whether elements are in a template, which is not shown
     page = page or ""
 
@@ -80,6 +82,15 @@ def parse(page: str | None) -> Dom:
         if raw and not inert[stack[-1]]:
             runs.append((stack[-1], block, html.unescape(raw) if "&" in raw else raw))
 
+    def close(k: int) -> None:
+        """Close the open elements from place ``k`` of the stack on."""
+        for element in stack[k:]:
+            places[tags[element]].pop()
+        del stack[k:]
+
+    def innermost(names) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
     while m := _TOKEN.search(page, at):
         if m.start() > last:
             text(last, m.start())
@@ -90,20 +101,14 @@ def parse(page: str | None) -> Dom:
         if m[1]:
             if tag in BLOCK:
                 block += 1
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in BLOCK:
             block += 1
             closes, within = CLOSES.get(tag, ({"p"}, {"table", "td", "th", "button", "object"}))
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in closes:
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in within:
-                    break
+            if (k := innermost(closes)) > innermost(within):
+                close(k)
         if tag == "br":
             runs.append((stack[-1], block, " "))
         if tag in VOID:
@@ -122,6 +127,7 @@ def parse(page: str | None) -> Dom:
                 else:
                     words += ["hidden"] if name == "hidden" else _WORD.findall(value.lower())
         parent = stack[-1]
+        places.setdefault(tag, []).append(len(stack))
         stack.append(len(tags))
         tags.append(tag)
         dom.words.append(words)
@@ -130,7 +136,7 @@ def parse(page: str | None) -> Dom:
         links.append(links[parent] or tag == "a")
         inert.append(inert[parent] or tag == "template")
         if tag in CLOSED_BY_SLASH and m[3].endswith("/"):
-            stack.pop()
+            close(len(stack) - 1)
     if last < len(page):
         text(last, len(page))
     return dom
