@@ -40,8 +40,8 @@ PROBES, MAX_LEVEL = 4, 40
 MAX_VOCAB = 8_000_000
 #: Tokens that a task counts before it sends what it has.
 FLUSH = 1_500_000
-#: Texts whose tokens are looked up together.
-TOGETHER = 100
+#: Bytes of the texts whose tokens are looked up together.
+TOGETHER = 1 << 18
 #: Bytes of the texts that ask a filter in groups together.
 CHUNK_BYTES = 8_000_000
 #: Hashes of the end and the start of a text, and what tells pairs from words.
@@ -233,11 +233,10 @@ class Model:
     levels: DataFrame | None = None
 
 
-def _slices(batch):
-    """Token hashes of some texts of a batch after the others."""
-    texts = texts_of(batch)
-    for k in range(0, len(texts), TOGETHER):
-        yield [token_hashes(x) for x in texts[k : k + TOGETHER]]
+def _slices(batches, at: int):
+    """Some rows of the batches after the others, with the token hashes of their texts in column ``at``."""
+    for part in bounded(batches, at, TOGETHER):
+        yield part, [token_hashes(x) for x in texts_of(part)]
 
 
 def _novelty(texts: DataFrame, pairs_of) -> np.ndarray:
@@ -295,7 +294,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         novelty = _novelty(levels.where(~held_out("id", folds)).select("start", "word", "pair"), _stored)
         return Model(None, rows, skip, n, v, novelty, (docs, id_col, text_col), levels)
     tables = spark.sparkContext.broadcast(_gathered(rows, skip, v <= max_vocab))
-    pairs_of = lambda batch: (tables.value.levels(t)[3:] for t in _slices(batch) if t)
+    pairs_of = lambda batch: (tables.value.levels(t)[3:] for _, t in _slices([batch], 0))
     return Model(tables, rows, skip, n, v, _novelty(texts, pairs_of))
 
 
@@ -305,7 +304,7 @@ def _written_alone(df: DataFrame, name: str) -> DataFrame:
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        return written(df, name)
+        return written(df, name, "zstd")
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
 
@@ -337,7 +336,7 @@ def _in_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(run, f"chunk string, id {kind}, text string"), "lm-chunks")
+    return written(rows.mapInArrow(run, f"chunk string, id {kind}, text string"), "lm-chunks", "zstd")
 
 
 def _keys_of(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -523,9 +522,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     tables, novelty, few = model.tables, model.novelty, model.tables.value.words is not None
 
     def run(batches):
-        for batch in batches:
-            for k, tokens in enumerate(_slices(batch)):
-                yield score(batch.slice(k * TOGETHER, TOGETHER), tokens)
+        for part, tokens in _slices(batches, 2):
+            yield score(part, tokens)
 
     def score(batch, tokens):
         t, lengths = tables.value, np.array([len(x) for x in tokens])
