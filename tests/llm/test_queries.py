@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_bpe_encode_decode": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_pii_surrogates": "doc_id text",
+    "op11_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
 }
 
 
@@ -37,4 +38,5 @@ def test_columns_and_rows(spark, name):
     got = queries.QUERIES[name](spark, SF)
     wanted = COLUMNS[name].split()
     assert [c for c in got.columns if c in wanted] == wanted
-    assert got.count() == spark.read.parquet(f"{SF}/{'pages' if 'page_id' in wanted else 'documents'}.parquet").count()
+    source, each = {"page_id": ("pages", 1), "vec_id": ("embeddings", 4)}.get(wanted[0], ("documents", 1))
+    assert got.count() == each * spark.read.parquet(f"{SF}/{source}.parquet").count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import bpe, decontaminate, html_extract, lm_scoring, pii_surrogates, quality_classifier, quality_rules, shard_mixture, simhash_dedup, token_files
+from trajspark.llm import bpe, decontaminate, html_extract, lm_scoring, pii_surrogates, quality_classifier, quality_rules, shard_mixture, simhash_dedup, token_files, whitening
 from trajspark.llm.common import table
 
 
@@ -72,6 +72,12 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = whitening.whiten(vectors, whitening.fit(vectors), "vec_id")
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))  # null where a long cannot hold it
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_shard_mixture": op2_shard_mixture,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 _WORDS = """list_filter(regexp_split_to_array(
