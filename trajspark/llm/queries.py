@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import bpe, decontaminate, html_extract, lm_scoring, pii_surrogates, quality_classifier, quality_rules, shard_mixture, simhash_dedup, token_files, whitening
+from trajspark.llm import bpe, decontaminate, html_extract, lm_scoring, pii_surrogates, quality_classifier, quality_rules, resampling, shard_mixture, simhash_dedup, token_files, whitening
 from trajspark.llm.common import table
 
 
@@ -78,6 +78,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))  # null where a long cannot hold it
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_shard_mixture": op2_shard_mixture,
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 _WORDS = """list_filter(regexp_split_to_array(
@@ -129,4 +134,24 @@ p AS (SELECT *, (g * 8 // total)::INTEGER AS shard FROM g)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard, (g - (shard * total + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM p
 """
 
-ORACLES: dict[str, str] = {"op2_shard_mixture": OP2_SQL, "op4_decontamination": OP4_SQL}
+OP12_SQL = f"""
+WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, k + 1, {_CRC_STEP.format("c")} FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS row_id, {_WORDS} AS w FROM benchmark),
+f AS (SELECT TRUE AS own, row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS x FROM d
+    UNION ALL SELECT FALSE, row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) FROM b),
+fx AS (SELECT DISTINCT x FROM f),
+fb AS (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM fx, crc),
+n AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM f JOIN fb USING (x) GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM n),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM n, a),
+w AS (SELECT row_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN fb USING (x) JOIN g USING (bucket) WHERE own GROUP BY row_id),
+e AS (SELECT row_id, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (row_id)),
+sc AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM e),
+r AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS r, count(*) OVER () AS n FROM sc WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM sc LEFT JOIN r USING (row_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_shard_mixture": OP2_SQL, "op4_decontamination": OP4_SQL, "op12_importance_resampling": OP12_SQL}
