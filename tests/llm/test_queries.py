@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_bpe_encode_decode": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_pii_surrogates": "doc_id text",
+    "op13_ngram_jaccard_join": "doc_id n_shingles component_id",
     "op12_importance_resampling": "doc_id n_features weight score rank",
     "op11_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
 }

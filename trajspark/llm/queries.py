@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import bpe, decontaminate, html_extract, lm_scoring, pii_surrogates, quality_classifier, quality_rules, resampling, shard_mixture, simhash_dedup, token_files, whitening
+from trajspark.llm import bpe, decontaminate, html_extract, lm_scoring, pii_surrogates, quality_classifier, quality_rules, resampling, shard_mixture, signature_join, simhash_dedup, token_files, whitening
 from trajspark.llm.common import table
 
 
@@ -82,6 +82,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_shard_mixture": op2_shard_mixture,
@@ -95,6 +99,7 @@ QUERIES = {
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 _WORDS = """list_filter(regexp_split_to_array(
@@ -154,4 +159,22 @@ r AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST,
 SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM sc LEFT JOIN r USING (row_id)
 """
 
-ORACLES: dict[str, str] = {"op2_shard_mixture": OP2_SQL, "op4_decontamination": OP4_SQL, "op12_importance_resampling": OP12_SQL}
+_SHINGLE_WORDS = """list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"""
+#: Components by the smallest id of each row's neighbours, again and again; one row stands for each set.
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLE_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE
+    list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END)) AS s FROM d WHERE len(w) > 0),
+c AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM s GROUP BY s),
+t AS (SELECT c, n, unnest(s) AS x FROM c),
+o AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS o FROM t a JOIN t b ON a.x = b.x AND a.c < b.c GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * o >= 85 * (na + nb - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT c, c FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS c, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c ON s.s = c.s LEFT JOIN m ON m.c = c.c
+"""
+
+ORACLES: dict[str, str] = {"op2_shard_mixture": OP2_SQL, "op4_decontamination": OP4_SQL, "op12_importance_resampling": OP12_SQL, "op13_ngram_jaccard_join": OP13_SQL}
