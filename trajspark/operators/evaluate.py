@@ -11,7 +11,9 @@ from trajspark.functions.hashing import trajectory_hash, unit_hash
 from trajspark.functions.scalars import floored_log10, is_finite, multiplicative_error
 from trajspark.operators.normalize import Manifest
 from trajspark.operators.numbering import with_row_numbers
+from trajspark.operators.quantiles import exact_quantiles
 from trajspark.operators.validate import evaluation_mask
+from trajspark.sources.scratch import written
 from trajspark.sources.trajectories import KEY
 from trajspark.spec import TrajectorySpec
 
@@ -30,10 +32,12 @@ def alignment_report(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return alone.groupBy("side").agg(F.count(F.lit(1)).alias("n_alone"))
 
 
-def _quantiles(column, quantiles: Sequence[float], accuracy: int | None) -> Column:
-    """Exact, or within ``1 / accuracy`` of the ranks: exact ones hold every distinct value of a group in one task."""
+def _quantiles(rows: DataFrame, values: dict[str, Column], quantiles: Sequence[float], accuracy: int | None, by: Sequence[str] = ()) -> DataFrame:
+    """An array for each of ``values``: exact by selection, or within ``1 / accuracy`` of the ranks in one pass."""
+    if accuracy is None:
+        return exact_quantiles(rows, values, quantiles, by)
     many = F.array(*[F.lit(float(q)) for q in quantiles])
-    return F.percentile(column, many) if accuracy is None else F.percentile_approx(column, many, accuracy)
+    return rows.groupBy(*by).agg(*[F.percentile_approx(v, many, accuracy).alias(n) for n, v in values.items()])
 
 
 def error_points(scored: DataFrame, spec: TrajectorySpec, species: Sequence[str] = ()) -> DataFrame:
@@ -49,8 +53,8 @@ def error_points(scored: DataFrame, spec: TrajectorySpec, species: Sequence[str]
 def error_summary(points: DataFrame, bucket_floor: float = 1e-10, log_floor: float = 5e-20, percent_eps: float = 1e-20, quantiles: Sequence[float] = (0.5, 0.9, 0.95, 0.99, 0.999), accuracy: int | None = None) -> DataFrame:
     """Errors over all finite points and over those with a truth above ``bucket_floor``.
 
-    Percentiles are exact with linear interpolation; ``accuracy`` makes them approximate, for tables whose
-    distinct values are too many to count.
+    Percentiles are exact with linear interpolation, by selection over the errors, which are written once;
+    ``accuracy`` makes them approximate.
     """
     t, p = F.col("y_true"), F.col("y_pred")
     finite = points.where(is_finite(t) & is_finite(p))
@@ -58,6 +62,7 @@ def error_summary(points: DataFrame, bucket_floor: float = 1e-10, log_floor: flo
     log_err = floored_log10(p, log_floor) - floored_log10(t, log_floor)
     buckets = F.array(F.lit("all"), F.when(t > bucket_floor, "large"))
     rows = finite.select((p - t).alias("e"), percent.alias("pct"), log_err.alias("l"), F.explode(buckets).alias("bucket")).where("bucket is not null")
+    rows = written(rows, "errors")
     out = rows.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("pct").alias("mean_percent"),
@@ -67,10 +72,10 @@ def error_summary(points: DataFrame, bucket_floor: float = 1e-10, log_floor: flo
         F.sqrt(F.avg(F.col("l") * F.col("l"))).alias("log_rmse"),
         F.avg("l").alias("log_bias"),
         F.max("pct").alias("max_percent"),
-        _quantiles("pct", quantiles, accuracy).alias("__q"),
     )
     names = [f"p{q * 100:g}".replace(".", "_") for q in quantiles]
-    return out.select(*[c for c in out.columns if c != "__q"], *[F.get("__q", F.lit(k)).alias(n) for k, n in enumerate(names)])
+    found = _quantiles(rows, {"__q": F.col("pct")}, quantiles, accuracy, ["bucket"])
+    return out.join(found, "bucket").select(*out.columns, *[F.get("__q", F.lit(k)).alias(n) for k, n in enumerate(names)])
 
 
 def relative_error(points: DataFrame, eps: float = 1e-12) -> DataFrame:
@@ -106,17 +111,21 @@ def count_breakdown(scored: DataFrame, spec: TrajectorySpec, accuracy: int | Non
     per = scored.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("k"), F.count_distinct("j").alias("d"), F.sum(F.size("y_j")).alias("raw"), F.sum(finite).alias("fin")
     )
-    return per.agg(
+    per = written(per, "targets")
+    medians = _quantiles(per, {"mk": F.col("k").cast("double"), "md": F.col("d").cast("double")}, [0.5], accuracy)
+    counts = per.agg(
         F.count(F.lit(1)).alias("n_trajectories"),
-        F.get(_quantiles(F.col("k").cast("double"), [0.5], accuracy), F.lit(0)).alias("median_targets"),
         F.min("k").alias("min_targets"),
         F.max("k").alias("max_targets"),
-        F.get(_quantiles(F.col("d").cast("double"), [0.5], accuracy), F.lit(0)).alias("median_distinct"),
         F.sum(F.col("k") - F.col("d")).alias("n_repeated"),
         F.sum("k").alias("n_pairs"),
         F.sum("raw").alias("n_points"),
         F.sum("fin").alias("n_finite"),
     )
+    both = counts.crossJoin(F.broadcast(medians))  # one row each
+    medians_of = {n: F.get(c, F.lit(0)).alias(n) for n, c in (("median_targets", "mk"), ("median_distinct", "md"))}
+    names = ["n_trajectories", "median_targets", "min_targets", "max_targets", "median_distinct", "n_repeated", "n_pairs", "n_points", "n_finite"]
+    return both.select(*[medians_of.get(n, F.col(n)) for n in names])
 
 
 def peak_errors(points: DataFrame, floor: float = 1e-35, significant: float = 1e-15) -> DataFrame:
@@ -134,8 +143,9 @@ def worst(peaks: DataFrame, k: int = 4) -> DataFrame:
 
 
 def peak_distribution(peaks: DataFrame, accuracy: int | None = None) -> DataFrame:
-    q = _quantiles("peak", (0.5, 0.9, 0.99), accuracy)
-    return peaks.agg(q.alias("q"), F.max("peak").alias("max")).select(*[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p50", "p90", "p99"))], "max")
+    """Median, high percentiles and the maximum of all peaks."""
+    q = _quantiles(peaks, {"q": F.col("peak")}, (0.5, 0.9, 0.99, 1.0), accuracy)
+    return q.select(*[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p50", "p90", "p99", "max"))])
 
 
 def sampled_trajectories(traj: DataFrame, n: int, seed: int) -> DataFrame:
@@ -150,7 +160,7 @@ def quadrant_picks(traj: DataFrame, pressure: str, temperature: str, seed: int,
     """
     spark, u = traj.sparkSession, trajectory_hash(seed, "pick")
     logp, t = F.log10(pressure), F.col(temperature)
-    medians = traj.agg(*[F.get(_quantiles(x, [0.5], accuracy), F.lit(0)).alias(n) for x, n in ((logp, "mp"), (t, "mt"))])
+    medians = _quantiles(traj, {"mp": logp, "mt": t}, [0.5], accuracy).select(*[F.get(n, F.lit(0)).alias(n) for n in ("mp", "mt")])
     marked = traj.select(*KEY, u.alias("u"), logp.alias("lp"), t.alias("tt")).crossJoin(F.broadcast(medians))  # one row
     name = F.concat(F.when(F.col("lp") < F.col("mp"), "low").otherwise("high"), F.lit("_"), F.when(F.col("tt") < F.col("mt"), "low").otherwise("high"))
     first = F.min_by(F.struct(*KEY), F.struct("u", *KEY)).alias("own")

@@ -74,11 +74,10 @@ def make_pairs(kept: DataFrame, spec: TrajectorySpec, manifest: Manifest, draws:
     )
 
 
-def evaluation(kept: DataFrame, spec: TrajectorySpec, predict: score.Predict, queries: int = 10, k: int = 4, accuracy: int | None = 100_000) -> dict[str, DataFrame]:
+def evaluation(kept: DataFrame, spec: TrajectorySpec, predict: score.Predict, queries: int = 10, k: int = 4, accuracy: int | None = None) -> dict[str, DataFrame]:
     """Score query points of the test split and report: ``summary``, ``relative``, ``peaks`` and the ``worst``.
 
-    Percentiles are within ``1 / accuracy`` of their ranks, so that no task holds all distinct values; None makes
-    them exact.
+    Percentiles are exact; ``accuracy`` makes them approximate, within ``1 / accuracy`` of their ranks.
     """
     test = kept.where("split = 'test'")
     points = evaluate.error_points(score.score(pairs.query_points(test, spec, queries), predict), spec)
