@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.operators.validate import REASONS, fate
@@ -24,23 +24,29 @@ def scan_overall(classified: DataFrame) -> DataFrame:
     return classified.rollup("file_id").agg(*_scan_columns())
 
 
-def drop_report(classified: DataFrame, spec: TrajectorySpec) -> DataFrame:
-    """One row, in one pass: what was read, why trajectories were dropped, and what is left."""
-    fated = classified.select("reason", F.when(F.col("reason") == "valid", fate(spec)).alias("fate"))
+def drop_counts() -> list[Column]:
+    """Aggregates over rows with ``reason`` and ``fate``: what was read, why trajectories were dropped, and what is left."""
+    is_valid = F.col("reason") == "valid"
 
     def count(*fates: str):
-        return F.count_if(F.col("fate").isin(*fates))
+        return F.count_if(is_valid & F.col("fate").isin(*fates))
 
-    valid = F.count_if(F.col("reason") == "valid")
+    valid = F.count_if(is_valid)
     dropped = count("unused", "nonfinite", "below_threshold", "nonfinite_global")
-    return fated.agg(
+    return [
         F.count(F.lit(1)).alias("n_total"),
         (valid - dropped).alias("n_valid"),
         (F.count(F.lit(1)) - valid + dropped).alias("n_dropped"),
         (F.count_if(F.col("reason") == "nan_time") + count("nonfinite", "nonfinite_global")).alias("n_nan"),
         count("below_threshold").alias("n_below_threshold"),
         count("unused").alias("n_unused"),
-    )
+    ]
+
+
+def drop_report(classified: DataFrame, spec: TrajectorySpec) -> DataFrame:
+    """One row with ``drop_counts``, in one pass."""
+    fated = classified.select("reason", F.when(F.col("reason") == "valid", fate(spec)).alias("fate"))
+    return fated.agg(*drop_counts())
 
 
 def size_estimate(kept: DataFrame, spec: TrajectorySpec) -> DataFrame:

@@ -54,10 +54,11 @@ def fit_manifest(train: DataFrame, spec: TrajectorySpec, weighted: bool = False)
     return reduce(DataFrame.union, rows)
 
 
-def partial_statistics(train: DataFrame, spec: TrajectorySpec) -> DataFrame:
-    """Per file and species: ``n, mean, m2, min, max``, so that new files are added without reading old ones."""
-    points = unpack(train, spec).unpivot(["file_id"], list(spec.species), "key", "x")
-    return points.groupBy("file_id", "key").agg(
+def partial_statistics(train: DataFrame, spec: TrajectorySpec, by: str = "file_id") -> DataFrame:
+    """Per file (or another column) and species: ``n, mean, m2, min, max``, so that new files are added without reading old ones."""
+    values = F.explode(F.arrays_zip(*spec.species)).alias("p")
+    points = train.select(by, values).select(by, *[F.col("p")[s].alias(s) for s in spec.species]).unpivot([by], list(spec.species), "key", "x")
+    return points.groupBy(by, "key").agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"), F.min("x").alias("min"), F.max("x").alias("max")
     )
 

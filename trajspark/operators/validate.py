@@ -91,11 +91,16 @@ def grid_census(valid: DataFrame, spec: TrajectorySpec) -> DataFrame:
 def canonical_grid(valid: DataFrame, spec: TrajectorySpec) -> list[float]:
     """The time grid that all valid trajectories share; another, or none at all, is an error."""
     row = valid.agg(F.min(spec.time).alias("a"), F.max(spec.time).alias("b")).first()
-    if row["a"] is None:
+    return require_one_grid(row["a"], row["b"], spec)
+
+
+def require_one_grid(least: list | None, most: list | None, spec: TrajectorySpec) -> list[float]:
+    """The grid, where the smallest and the largest of all grids are the same."""
+    if least is None or most is None:
         raise ValueError("no valid trajectory to take the time grid from")
-    if list(row["a"]) != list(row["b"]):
+    if list(least) != list(most):
         raise ValueError("valid trajectories have different time grids")
-    grid = [float(t) for t in row["a"]]
+    grid = [float(t) for t in least]
     if spec.method(spec.time).startswith("log-") and min(grid) <= 0:
         raise ValueError("a log method for time needs times above zero")
     return grid

@@ -4,42 +4,36 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.functions.hashing import split_name
 from trajspark.operators import evaluate, pairs, reports, score, stats, validate
 from trajspark.operators.normalize import Manifest
-from trajspark.sources import shards
+from trajspark.sources import outputs, shards
 from trajspark.sources.trajectories import KEY
 from trajspark.spec import TrajectorySpec
 
 
-def _write_json(spark: SparkSession, path: str, text: str) -> None:
-    """One small text file, through Spark so that any file system will do."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").option("lineSep", "\n").text(path)
-
-
 def read_manifest(spark: SparkSession, path: str) -> Manifest:
-    return Manifest.from_json("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    return Manifest.from_json(outputs.read_text(spark, path))
 
 
-def prepare(traj: DataFrame, spec: TrajectorySpec, out: str) -> dict:
-    """Validate, filter, split, profile and write. Returns the report that is also written.
-
-    ``out`` gets ``kept`` (trajectories that pass, in full precision, by split), ``shards``, ``manifest``
-    and ``report``. It must not exist. Wrong grids, empty splits and values that a log method cannot take
-    are errors before any shard is written. Raw rows are read for the grid, for ``kept``, from which all else
-    follows, and for the counts of dropped ones.
-    """
+def _build(traj: DataFrame, spec: TrajectorySpec, out: str) -> None:
+    """One pass over the raw rows writes ``kept``; what else must be known of them is observed on the way."""
     spark = traj.sparkSession
-    classified = validate.classify(traj, spec)
-    valid = classified.where("reason = 'valid'")
-    grid = validate.canonical_grid(valid, spec)
-    fated = validate.with_fate(validate.checked_lengths(valid, spec), spec)
+    classified = validate.with_fate(validate.classify(traj, spec), spec)
+    seen, valid = Observation(), F.col("reason") == "valid"
+    grids = [F.to_json(f(F.when(valid, F.col(spec.time)))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))]
+    observed = classified.observe(seen, *grids, *reports.drop_counts())
+    fated = validate.checked_lengths(observed.where(valid), spec)
     kept = fated.where("fate = 'kept'").drop("fate", "reason", "min_dt", "max_dt")
     kept = kept.withColumn("split", split_name(spec.seed, spec.val_fraction, spec.test_fraction))
     kept.write.mode("errorifexists").partitionBy("split").parquet(f"{out}/kept")
+    found = dict(seen.get)
+    grid = validate.require_one_grid(*(json.loads(x) if x else None for x in (found.pop("low", None), found.pop("high", None))), spec)
     kept = spark.read.parquet(f"{out}/kept")
     counts = validate.require_splits(kept)
     validate.require_increasing_after_cast(kept.limit(1), spec)  # all rows have the same grid
@@ -50,16 +44,29 @@ def prepare(traj: DataFrame, spec: TrajectorySpec, out: str) -> dict:
     index = shards.file_index(spark, f"{out}/shards").orderBy("split", "shard").collect()  # a row a shard
     report = {
         "splits": counts,
-        "drops": reports.drop_report(classified, spec).first().asDict(),
+        "drops": found,
         "size": reports.size_estimate(kept, spec).first().asDict(),
         "shards": [r.asDict() for r in index],
         "M_per_sample": len(grid),
         "n_input_species": len(spec.species),
         "n_globals": len(spec.globals),
     }
-    _write_json(spark, f"{out}/manifest", manifest.to_json(spec))
-    _write_json(spark, f"{out}/report", json.dumps(report, indent=2))
-    return report
+    outputs.write_text(spark, f"{out}/manifest", manifest.to_json(spec))
+    outputs.write_text(spark, f"{out}/report", json.dumps(report, indent=2))
+
+
+def prepare(traj: DataFrame, spec: TrajectorySpec, out: str, reuse: bool = False, overwrite: bool = False, inputs: Sequence[str] | None = None) -> dict:
+    """Validate, filter, split, profile and write. Returns the report that is also written, with the ``outcome``.
+
+    ``out`` gets ``kept`` (trajectories that pass, in full precision, by split), ``shards``, ``manifest``
+    and ``report``. Wrong grids, empty splits and values that a log method cannot take are errors before any shard
+    is written. Raw rows are read once. An existing ``out`` is an error, unless it may be overwritten, or used again and was made
+    with the same settings from the same files: ``inputs``, or the files that ``traj`` reads.
+    """
+    spark = traj.sparkSession
+    files = traj.inputFiles() if inputs is None else inputs
+    outcome = outputs.produced(spark, out, outputs.settings_of(spec), files, lambda: _build(traj, spec, out), reuse, overwrite)
+    return {**json.loads(outputs.read_text(spark, f"{out}/report")), "outcome": outcome}
 
 
 def make_pairs(kept: DataFrame, spec: TrajectorySpec, manifest: Manifest, draws: int = 4, targets: int = 2, epoch: int = 0) -> DataFrame:

@@ -304,9 +304,34 @@ ORACLES["metrics_last_per_epoch"] = f"WITH {LOG} SELECT * FROM m"
 ORACLES["metrics_best_so_far"] = f"""WITH {LOG} SELECT *, min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch) AS best,
     coalesce(val_loss < min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), val_loss < 'inf'::DOUBLE) AS improved FROM m"""
 ORACLES["metrics_curve"] = f"WITH {LOG} SELECT run_id, epoch + 1 AS epoch, train_loss, CASE WHEN val_loss > 0 THEN val_loss END AS val_loss FROM m WHERE train_loss > 0"
-ORACLES["metrics_log_read"] = """WITH l AS (SELECT user_id AS epoch, event_id::DOUBLE AS seq, value - 5.0::DOUBLE AS train_loss, CASE WHEN event_id % 3 <> 0 THEN value END AS val_loss,
-    row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'click')
-SELECT 'click' AS run_id, epoch, seq, train_loss, val_loss FROM l WHERE k = 1"""
+ORACLES["metrics_log_read"] = """WITH l AS (SELECT event_type AS run_id, user_id AS epoch, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq, value - 5.0::DOUBLE AS train_loss,
+    CASE WHEN event_id % 3 <> 0 THEN value END AS val_loss, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS k FROM events)
+SELECT run_id, epoch, seq, train_loss, val_loss FROM l WHERE k = 1"""
+
+EVENTS = "e AS (SELECT user_id::VARCHAR AS group_id, epoch_us(ts) / 1e6::DOUBLE AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS step FROM events)"
+ORACLES["window_pairs"] = f"WITH {EVENTS} SELECT a.group_id, a.t AS t_i, b.t AS t_j, a.value AS value_i, b.value AS value_j FROM e a JOIN e b ON a.group_id = b.group_id AND b.t > a.t AND b.t <= a.t + 172800"
+ORACLES["ragged_pairs"] = """WITH l AS (SELECT o_orderpriority AS file_id, o_orderkey::VARCHAR AS group_id, l_linenumber::DOUBLE AS t, l_quantity::DOUBLE AS q, count(*) OVER (PARTITION BY o_orderkey) AS m,
+    row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS step
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+SELECT a.file_id, a.group_id, a.step AS step_i, a.q AS quantity_i, b.step AS step_j, b.q AS quantity_j, b.t - a.t AS dt
+FROM l a JOIN l b ON a.file_id = b.file_id AND a.group_id = b.group_id AND b.step - a.step BETWEEN 1 AND 2 WHERE a.m > 1 AND a.step <= a.m - 1 - least(2, a.m - 1)"""
+ORACLES["ragged_dt_spec"] = f"""WITH {EVENTS}, d AS (SELECT group_id, max(step) OVER (PARTITION BY group_id) AS m, t - lag(t, 1) OVER w AS d1, t - lag(t, 2) OVER w AS d2, t - lag(t, 60) OVER w AS d60,
+    max(t) OVER (PARTITION BY group_id) - min(t) OVER (PARTITION BY group_id) AS whole FROM e WINDOW w AS (PARTITION BY group_id ORDER BY t))
+SELECT {r('log10(least(min(d2), min(whole) FILTER (m BETWEEN 1 AND 2)))', 9)} AS log_min, {r('log10(greatest(max(d60), max(whole) FILTER (m BETWEEN 1 AND 60)))', 9)} AS log_max, {r('min(d1)', 9)} AS k1_min, {r('max(d1)', 9)} AS k1_max FROM d"""
+
+_LOW = "lo AS (SELECT file_id, group_id, p, min(least(s0, s1, s2, s3)) AS low FROM vs GROUP BY ALL)"
+ORACLES["reuse_outcomes"] = f"WITH {V}, {_LOW} " + " UNION ALL ".join(
+    f"SELECT '{step}' AS step, '{outcome}' AS outcome, count(*) AS n FROM lo WHERE low >= {least} AND p <= {most}"
+    for step, outcome, least, most in (
+        ("first", "made", 0.001, 8), ("again", "exists", 0.001, 8), ("reuse", "reused", 0.001, 8), ("other setting", "setting", 0.001, 8), ("more input", "input", 0.001, 8),
+        ("overwrite", "replaced", 0.001, 10), ("other setting overwritten", "replaced", 0.002, 10), ("half", "unfinished", 0.002, 10),
+    )
+)
+ORACLES["stored_statistics"] = f"WITH {V} " + " UNION ALL ".join(
+    f"SELECT '{step}' AS step, '{SPECIES[n]}' AS key, count(*) AS n, {r(f'avg(s{n})', 9)} AS mean, {r(f'min(s{n})', 9)} AS min, {r(f'max(s{n})', 9)} AS max, {r(f'stddev_pop(s{n})', 9)} AS std FROM vt WHERE split = 'train' AND ({where})"
+    for step, where in (("first", "p <= 7"), ("same", "p <= 7"), ("added", "true"), ("changed", "p <= 5 OR p > 7"), ("removed", "p = 5 OR p > 7"))
+    for n in S
+)
 
 
 def _near(key: str, typical: str) -> str:

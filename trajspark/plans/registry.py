@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import names, scalars, transforms
 from trajspark.functions.hashing import derived_seed_column, trajectory_hash
-from trajspark.operators import chemistry, evaluate, pairs, reports, runlog, schema_diff as diff, score, stats, validate
+from trajspark.operators import chemistry, evaluate, pairs, reports, runlog, schema_diff as diff, score, segments, stats, validate
 from trajspark.operators.normalize import normalized, quantized
-from trajspark.plans import fixtures as fx
+from trajspark.plans import fixtures as fx, jobs
 from trajspark.plans.oracles import ORACLES
-from trajspark.sources import runlogs, shards
+from trajspark.sources import moments, outputs, runlogs, shards
 from trajspark.sources.scratch import scratch_path, written
 from trajspark.sources.trajectories import KEY, long_form, read_trajectories, unpack
 
@@ -450,6 +450,95 @@ def strided_sample(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.strided_sample(points, F.col("y_true") > 0.2, [*KEY, "i", "j", "species"], 500, V.seed).select(*KEY, "i", "j", "species")
 
 
+# -- trajectories of any length ---------------------------------------------------------------------
+
+
+@query
+def window_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of a user's events within two days, from segments of three."""
+    found = segments.window_pairs(fx.e_points(spark, sf), "t", 2 * 86400.0, 3 * 86400.0)
+    return found.select("group_id", F.col("i.t").alias("t_i"), F.col("j.t").alias("t_j"), F.col("i.value").alias("value_i"), F.col("j.value").alias("value_j"))
+
+
+def _event_steps(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.with_steps(fx.e_points(spark, sf), "t", 7 * 86400.0)
+
+
+@query
+def ragged_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of all orders' lines, one or two steps apart, whatever the number of lines."""
+    spec = type(V)(**{**fx.O_SPEC.__dict__, "max_steps": 2})
+    points = fx.o_points(spark, sf).where("t is not null").select(*KEY, "t", "l_quantity", "seq")
+    found = segments.step_pairs(segments.with_steps(points, "t", 3.0, ["seq"]), spec, length=3)
+    columns = [F.col(f"{side}.{c}").alias(f"{n}_{side}") for side in "ij" for c, n in (("step", "step"), ("l_quantity", "quantity"))]
+    return found.select(*KEY, *columns, "dt")
+
+
+@query
+def ragged_dt_spec(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds over grids that all differ, some with fewer steps than the most that are allowed."""
+    spec = type(V)(**{**fx.E_SPEC.__dict__, "min_steps": 2, "max_steps": 60})
+    return _r(segments.ragged_dt_spec(_event_steps(spark, sf), spec, length=16), 9, "log_min", "log_max", "k1_min", "k1_max")
+
+
+# -- results that are used again --------------------------------------------------------------------
+
+
+@query
+def reuse_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of a second run: outcome and trajectories found after each step."""
+    base = scratch_path(spark, "reuse")
+    source, out, rows = f"{base}/in", f"{base}/out", fx.v(spark, sf)
+    rows.where("P <= 8").write.parquet(source)
+    changed = type(V)(**{**V.__dict__, "min_value_threshold": 2e-3})
+    found = []
+
+    def step(name: str, spec=V, **how) -> None:
+        try:
+            outcome = jobs.prepare(read_trajectories(spark, source, spec), spec, out, **how)["outcome"]
+        except outputs.DoesNotFit as e:
+            outcome = e.why
+        except FileExistsError:
+            outcome = "exists"
+        splits = spark.read.parquet(f"{out}/kept").groupBy().agg(F.count(F.lit(1)).alias("n"))
+        splits.select(F.lit(name).alias("step"), F.lit(outcome).alias("outcome"), "n").write.parquet(f"{base}/found/{name}")
+        found.append(f"{base}/found/{name}")
+
+    step("first")
+    step("again")
+    step("reuse", reuse=True)
+    step("other setting", changed, reuse=True)
+    rows.where("P > 8").write.mode("append").parquet(source)
+    step("more input", reuse=True)
+    step("overwrite", overwrite=True)
+    step("other setting overwritten", changed, overwrite=True)
+    outputs.removed(spark, f"{out}/commit")
+    step("half", changed, reuse=True)
+    return spark.read.parquet(*found)
+
+
+@query
+def stored_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Training statistics after files came, changed and went; each update reads what changed and nothing else."""
+    base, rows, found = scratch_path(spark, "moments"), fx.v(spark, sf), []
+    parts = {n: f"{base}/in/{n}" for n in ("low", "middle", "high")}
+    for n, where in (("low", "P <= 4"), ("middle", "P > 4 AND P <= 7"), ("high", "P > 7")):
+        rows.where(where).write.parquet(parts[n])
+
+    def step(name: str, *inputs: str) -> None:
+        merged = moments.update(spark, f"{base}/store", [parts[n] for n in inputs], V)
+        merged.select(F.lit(name).alias("step"), "key", "n", "mean", "min", "max", "std").write.parquet(f"{base}/found/{name}")
+        found.append(f"{base}/found/{name}")
+
+    step("first", "low", "middle")
+    step("same", "low", "middle")
+    step("added", "low", "middle", "high")
+    rows.where("P = 5").write.mode("overwrite").parquet(parts["middle"])
+    step("changed", "low", "middle", "high")
+    step("removed", "middle", "high")
+    return _r(spark.read.parquet(*found), 9, "mean", "min", "max", "std")
+
+
 # -- chemistry ------------------------------------------------------------------------------------
 
 
@@ -518,14 +607,14 @@ def name_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def metrics_log_read(spark: SparkSession, sf: str) -> DataFrame:
-    """The log as nested JSON lines, some without validation, written and read back: the last record of each epoch."""
-    path, log = scratch_path(spark, "metrics"), fx.run_log(spark, sf).where("run_id = 'click'")
+    """The logs of all runs as nested JSON lines, some without validation, in several files each, read back: the last line of each epoch."""
+    path, log = scratch_path(spark, "metrics"), fx.run_log(spark, sf)
     part = F.struct(F.col("val_loss").alias("loss"))
-    nested = log.select("epoch", F.col("seq").cast("double").alias("lr"), F.struct(F.col("train_loss").alias("loss")).alias("train"), F.when(F.col("seq") % 3 != 0, part).alias("val"))
-    nested.write.json(path)
-    rows = runlogs.read_metrics(spark, path)
-    flat = rows.select(F.lit("click").alias("run_id"), "epoch", F.col("lr").alias("seq"), F.col("train.loss").alias("train_loss"), F.col("val.loss").alias("val_loss"))
-    return runlog.last_per_epoch(flat)
+    nested = log.select("run_id", "seq", F.struct("epoch", F.struct(F.col("train_loss").alias("loss")).alias("train"), F.when(F.col("seq") % 3 != 0, part).alias("val")).alias("r"))
+    lines = nested.repartitionByRange(16, "run_id", "seq").sortWithinPartitions("run_id", "seq")
+    lines.select("run_id", F.to_json("r").alias("value")).write.partitionBy("run_id").text(path)
+    rows = runlogs.read_metrics(spark, path, run=r"run_id=([^/]+)/")
+    return runlog.last_per_epoch(rows.select("run_id", "epoch", "seq", F.col("train.loss").alias("train_loss"), F.col("val.loss").alias("val_loss")))
 
 
 @query
