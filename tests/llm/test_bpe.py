@@ -87,3 +87,25 @@ def test_digests(spark):
     full = bpe.encode_decode(docs).collect()
     assert len(full) == len(rows) and {r.decoded for r in full} == {x or "" for _, x, _ in rows}
     assert bpe.encode_digests(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 5, 16, 61])
+def test_trees_over_whole_texts_are_exact(monkeypatch, leaf):
+    """Cut anywhere: in words, contractions, white space, digits, characters' neighbours and added tokens."""
+    monkeypatch.setattr(bpe, "LONG_TEXT", leaf)
+    monkeypatch.setattr(bpe, "LEAF_TEXT", leaf)
+    rng, c, t = random.Random(leaf), bpe.Codec(PATH), library()
+    words = ["the", "Élan", "слово", "λόγος", "don't", "it's", "we'll", "12345", "日本語の文字", "🙂🙃", "e\u0301", "<|endoftext|>", "a_b", "", "x" * 40]
+    gaps = [" ", " ", " ", "  ", "\n", " \n\n ", "\t", "\xa0", "\u3000", "", ". ", ", "]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(1, 60))) for _ in range(150)] + ["a" * 700, " " * 333, "\n \n" * 99]
+    for x, ids in zip(texts, c.encode_batch(texts), strict=True):
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids
+    assert c.joins > 150
+
+
+def test_long_documents_of_the_table_go_through_trees(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text and len(r.text) > bpe.LONG_TEXT]
+    c, t = bpe.Codec(PATH), library()
+    got = c.encode_batch(texts)
+    assert texts and c.joins >= sum(len(x) // bpe.LEAF_TEXT - 1 for x in texts) >= len(texts)
+    assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]

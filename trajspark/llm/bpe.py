@@ -6,6 +6,12 @@ other; a bounded memo holds their ids, and those not seen yet are encoded by the
 punctuation after it as its two pre-tokens, all others in batches. A text in which a space meets other white
 space goes to the library whole.
 
+A long text as a whole is a tree: halves are cut down to leaves, wherever that is, all leaves of a batch are encoded
+together, and neighbours are joined level by level. A join re-encodes the text around the seam, from so many
+tokens before it to so many after it, and doubles their number until the new ids begin as the left side's and end as
+the right side's and both the agreeing parts have a place where a single space begins a pre-token. What lies
+before, between and after two such places encodes independently, so the joined ids are exact.
+
 A stretch that the pre-tokenizer leaves unsplit and that is long (a hex run, a text in a script without
 spaces) is encoded by tree concatenation: halves are cut down to leaves, all leaves are encoded in one
 parallel batch, and neighbours are joined level by level. A join re-encodes a window around the seam and
@@ -34,6 +40,8 @@ from trajspark.llm.common import bounded
 
 #: Characters above which an unsplit stretch is encoded as a tree, and of a leaf.
 LONG, LEAF = 512, 256
+#: Characters above which a text is encoded as a tree, and of a leaf.
+LONG_TEXT, LEAF_TEXT = 8192, 4096
 #: Tokens of the first window on each side of a join, and tokens that have to agree on each side.
 WINDOW, AGREE = 8, 2
 #: Stretches in the memo, and the longest that it holds.
@@ -57,6 +65,32 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _halved(n: int) -> list[tuple[int, int]]:
+    """Places of the leaves of a text of ``n`` characters: one, or halves of halves."""
+    cuts = [(0, n)]
+    while n > LONG_TEXT and cuts[0][1] - cuts[0][0] > LEAF_TEXT:
+        cuts = [half for b, e in cuts for half in ((b, (b + e) // 2), ((b + e) // 2, e))]
+    return cuts
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many ids are equal from the beginning on."""
+    differ = np.flatnonzero(a != b)
+    return int(differ[0]) if len(differ) else len(a)
+
+
+def _parts(raw: bytes, at: int) -> bool:
+    """Whether a single space between two characters that are not white space begins here."""
+    if raw[at] != 0x20 or at == 0 or at + 1 == len(raw):
+        return False
+    b, e = at - 1, at + 2
+    while raw[b] & 0xC0 == 0x80:
+        b -= 1
+    while e < len(raw) and raw[e] & 0xC0 == 0x80:
+        e += 1
+    return not raw[b:at].decode().isspace() and not raw[at + 1 : e].decode().isspace()
+
+
 class Codec:
     """Encodes and decodes as the tokenizers library does, without adding special tokens."""
 
@@ -93,6 +127,9 @@ class Codec:
             self.pieces[i] = token.encode() if i in added_ids else bytes(letters[c] for c in token)
             self.chars[i] = len(token)
         self.spaced = np.array([p.startswith(b" ") for p in self.pieces])
+        self.widths = np.array([len(p) for p in self.pieces], np.int64)
+        #: Joins made in trees over whole texts.
+        self.joins = 0
         self.memo: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
         self.letters = {b: ch for ch, b in letters.items()}
@@ -220,10 +257,8 @@ class Codec:
                 raise AssertionError("a stretch has a token that begins with a space")
             self.memo.update(zip(part, [raw[b:e] for b, e in itertools.pairwise(cuts)], strict=True))
 
-    def encode_batch(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """Ids of each whole text; a null text has none."""
-        if not self.by_stretch:
-            return [self._encode_long(t or "") for t in texts]
+    def _encode_texts(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Ids of texts by their stretches."""
         if len(self.memo) > MEMO:
             self.memo.clear()
         split = [(t or "").split(" ") for t in texts]
@@ -246,6 +281,71 @@ class Codec:
             del self.memo[s]
         return out
 
+    def encode_batch(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text; a null text has none."""
+        if not self.by_stretch:
+            return [self._encode_long(t or "") for t in texts]
+        cuts = [_halved(len(t or "")) for t in texts]
+        leaves = [t[b:e] if t and len(own) > 1 else t for t, own in zip(texts, cuts, strict=True) for b, e in own]
+        ids = iter(self._encode_texts(leaves))
+        return [self._concatenated(t, [next(ids) for _ in own]) if len(own) > 1 else next(ids) for t, own in zip(texts, cuts, strict=True)]
+
+    # -- trees over whole texts ------------------------------------------------------------------
+
+    def _concatenated(self, text: str, nodes: list[np.ndarray]) -> np.ndarray:
+        """Ids of a text from those of its leaves, in order."""
+        raw = text.encode()
+        while len(nodes) > 1:
+            ends = np.cumsum([int(self.widths[x].sum()) for x in nodes]).tolist()
+            begins = [0, *ends[:-1]]
+            pairs = [(begins[k], ends[k], ends[k + 1], nodes[k], nodes[k + 1]) for k in range(0, len(nodes) - 1, 2)]
+            nodes = self._seams(raw, pairs) + ([nodes[-1]] if len(nodes) % 2 else [])
+        return nodes[0]
+
+    def _seams(self, raw: bytes, pairs: list) -> list[np.ndarray]:
+        """Join neighbours (begin, middle and end in bytes, left and right ids); all windows of a round go to the library together."""
+        out: list = [None] * len(pairs)
+        width = dict.fromkeys(range(len(pairs)), WINDOW)
+        while width:
+            spans = {k: (*self._before(raw, pairs[k], w), *self._behind(raw, pairs[k], w)) for k, w in width.items()}
+            encoded = self.library.encode_batch_fast([raw[b:e].decode() for _, b, _, e in spans.values()], add_special_tokens=False)
+            for (k, (n, b, m, e)), found in zip(spans.items(), encoded, strict=True):
+                begin, _, end, left, right = pairs[k]
+                ids = np.array(found.ids, np.uint32)
+                starts = b + np.concatenate([[0], np.cumsum(self.widths[ids])[:-1]]) if len(ids) else np.zeros(0, np.int64)
+                same = min(len(ids), n)
+                first = _equal(ids[:same], left[len(left) - n :][:same])
+                same = min(len(ids), m)
+                last = _equal(ids[::-1][:same], right[:m][::-1][:same])
+                on_left = b == begin or any(_parts(raw, int(p)) for p in starts[:first])
+                on_right = e == end or any(_parts(raw, int(p)) for p in starts[len(ids) - last :])
+                if on_left and on_right:
+                    out[k] = np.concatenate([left[: len(left) - n], ids, right[m:]])
+                    self.joins += 1
+                    del width[k]
+                else:
+                    width[k] *= 2
+        return out
+
+    def _before(self, raw: bytes, pair: tuple, w: int) -> tuple[int, int]:
+        """How many of the left side's tokens a window takes, ``w`` or some more, and where it begins: at a whole character."""
+        begin, middle, _, left, _ = pair
+        n = min(w, len(left))
+        at = middle - int(self.widths[left[len(left) - n :]].sum())
+        while at > begin and raw[at] & 0xC0 == 0x80:
+            n += 1
+            at -= int(self.widths[left[len(left) - n]])
+        return n, at
+
+    def _behind(self, raw: bytes, pair: tuple, w: int) -> tuple[int, int]:
+        _, middle, end, _, right = pair
+        m = min(w, len(right))
+        at = middle + int(self.widths[right[:m]].sum())
+        while at < end and raw[at] & 0xC0 == 0x80:
+            at += int(self.widths[right[m]])
+            m += 1
+        return m, at
+
     def as_text(self, ids: np.ndarray) -> bytes:
         """Decimal ids joined by commas."""
         return ",".join(map(self.names.__getitem__, ids.tolist())).encode()
