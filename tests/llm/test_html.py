@@ -55,7 +55,7 @@ def test_parsing():
     "raw",
     [
         "<script>for(i=0;i<n;i++){}</script>", "<script>if(a<b)x=\"it's</script>", "<script>s='<!--'</script >", "<SCRIPT>a<b</Script\n>", "<style>a:after{content:'<b'}</style>",
-        "<textarea>a<b \"</textarea>", "<title>x<y '</title>", "<script>'</scripts>'<x</script>", "<script src='x'/>", "<svg/>", "<template><p>x<b>y</template>", "<svg><path d='M0'/>",
+        "<textarea>a<b \"</textarea>", "<title>x<y '</title>", "<script>'</scripts>'<x</script>", "<script src='x'/>var x = 1;</script>", "<script src=/a/>var y=2;</script>", "<style media=x/>p {}</style>", "<noembed>q</noembed>", "<xmp><p>r</xmp>", "<svg><style/></svg>", "<svg/>", "<template><p>x<b>y</template>", "<svg><path d='M0'/>",
     ],
 )
 def test_raw_elements_end_at_their_own_tag(raw):

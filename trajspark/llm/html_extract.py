@@ -35,7 +35,7 @@ _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|data-main|hidden)(?:\s*=\s*(\"
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is no markup, up to their own end tag.
-RAW = frozenset("script style title textarea iframe".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
 #: Elements that a slash at the end of their start tag may close.
 CLOSED_BY_SLASH = frozenset("svg math object template".split())
@@ -114,7 +114,8 @@ def parse(page: str | None) -> Dom:
         if tag in VOID:
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
+            # A slash at the end closes it in drawings and formulas alone.
+            if not (m[3].endswith("/") and (places.get("svg") or places.get("math"))):
                 end = _RAW_END[tag].search(page, at)
                 last = at = end.end() if end else len(page)
             continue
