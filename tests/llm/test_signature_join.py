@@ -92,9 +92,11 @@ def test_no_pair_is_lost_by_the_tree():
     assert list(j.group_pairs(n, bits, known)) == []
 
 
-def test_groups_in_parts(spark):
+def test_groups_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(j, "PAIRED", 4)
     rows = [(1, s) for s in range(10)] + [(2, 5)] + [(3, s) for s in (7, 8, 8)] + [(4, s) for s in (7, 8)] + [(5, s) for s in range(4)]
-    got = j.groups(spark.createDataFrame(rows, "token bigint, `set` bigint"), part=4).collect()
+    tokens = spark.createDataFrame(rows, "token bigint, `set` bigint").selectExpr("*", "100L AS n", "95L AS left")
+    got = j.groups(tokens, part=4).collect()
     by = {}
     for r in got:
         by.setdefault(r.token, []).append((r.many, r.members))
@@ -103,6 +105,12 @@ def test_groups_in_parts(spark):
     assert len({r.gid for r in got}) == len(got) - 1
 
 
+def test_members_without_a_partner_leave_their_group():
+    n, left = np.array([100, 100, 100, 120, 60]), np.array([100, 95, 90, 120, 60])
+    # 92 of 100 are needed among sets of 100; 102 of 120 and 100, which is more than there are.
+    assert j._with_partner(n, left, 85).tolist() == [True, True, False, False, False]
+
+
 def test_many_copies_repeated_rows_and_missing_ids(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = [(k, text) for k in range(40, 90)] + [(40, text)] * 3 + [(None, text), (None, "alone it has no id at all"), (7, text + " more")]

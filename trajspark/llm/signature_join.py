@@ -4,7 +4,8 @@
    copies is one class. A class has a signature: its size and a bitmap of its hashed shingles.
 2. Classes that link share a shingle among their rarest: of ``n`` shingles the first ``n - ceil(t * n) + 1`` in
    an order by frequency (from a sketch of fixed size over all rows) and hash. Each such shingle makes a group,
-   so passages that many documents have in common make none unless a document has nothing rarer.
+   so passages that many documents have in common make none unless a document has nothing rarer. A member stays in
+   a group only if what either side has left from there on, in that order, is enough for a link with another member.
 3. The classes of a group become a tree, whose nodes hold the OR of the bitmaps and the range of sizes below. A
    traversal of the tree against itself leaves out node pairs whose greatest possible overlap is too small.
    What remains are candidates. In a first round a candidate is taken for a link at once and pairs that
@@ -29,11 +30,14 @@ from trajspark.llm.components import connected_components
 SIZE, PERCENT = 4, 85
 #: Cells of the frequency sketch (8 bytes each in every task), children of a node, most members of a part of a group.
 CELLS, FANOUT, PART = 1 << 18, 16, 4096
+#: Members up to which a group is searched for those without a possible partner.
+PAIRED = 256
 #: Node pairs that are opened together.
 OPENED = 16
 #: Bits of a bitmap for each shingle, and most bits of a bitmap; beyond, it only leaves out less.
 BITS_EACH, MOST_BITS = 4, 1 << 17
-#: Most text hashes that are broadcast to find the texts of candidates (8 bytes each); more are joined by a shuffle.
+#: Most hashes that are broadcast to find the signatures of members and the texts of candidates (8 bytes each); more are
+#: joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Most sets that a task remembers, so that it sends copies once.
 SEEN = 500_000
@@ -152,11 +156,20 @@ def signatures(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str,
 # -- groups ------------------------------------------------------------------------------------------
 
 
-def groups(tokens: DataFrame, part: int = PART) -> DataFrame:
+def _with_partner(n: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """Which members could link with another, if this were their first shingle in common and all that is left agreed."""
+    most = (100 + percent) * left - percent * n  # of percent times a partner's size
+    can = percent * n[None, :] <= most[:, None]
+    np.fill_diagonal(can, False)
+    return (can & can.T).any(axis=1)
+
+
+def groups(tokens: DataFrame, percent: int = PERCENT, part: int = PART) -> DataFrame:
     """Members of every group of two or more: ``gid``, ``token``, ``many`` (whether the group has several parts), ``members``.
 
-    ``tokens`` has the columns ``token`` and ``set``. Rows of a token pass in order and leave in parts of at most ``part``
-    members; later parts have the first member of all as well. Groups with equal members have equal ids.
+    ``tokens`` has the columns ``token``, ``set``, ``n`` (the set's size) and ``left`` (its shingles from this one on, in order
+    of rarity). Rows of a token pass in order and leave in parts of at most ``part`` members; later parts have the
+    first member of all as well. Groups with equal members have equal ids.
     """
     import pyarrow as pa
     from xxhash import xxh64_intdigest
@@ -172,44 +185,48 @@ def groups(tokens: DataFrame, part: int = PART) -> DataFrame:
             )
 
     def run(batches):
-        t, s = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * 4
         pivot = None  # of the group whose parts are leaving
 
-        def parted(token: int, members: np.ndarray, last: bool) -> tuple[list, np.ndarray]:
-            """Parts of a group that can leave, and the members that stay."""
+        def parted(rows: list[np.ndarray], last: bool) -> tuple[list, list[np.ndarray]]:
+            """Parts of a group that can leave, and the rows that stay."""
             nonlocal pivot
-            out = []
-            while len(members) > part or last and len(members) and (pivot is not None or len(members) > 1):
-                head, members = members[:part], members[part:]
-                if pivot is None and (len(members) or not last):
+            out, (token, members, n, left) = [], rows
+            if last and pivot is None and len(members) <= PAIRED:
+                some = _with_partner(n, left, percent)
+                if some.any():
+                    out.append((int(token[0]), False, members[some]))
+                return out, rows
+            at = 0
+            while len(members) - at > part or last and at < len(members):
+                head = members[at : at + part]
+                at += part
+                if pivot is None:
                     pivot = head[0]
-                    out.append((token, True, head))
+                    out.append((int(token[0]), not last or at < len(members), head))
                 else:
-                    out.append((token, pivot is not None, head if pivot is None else np.append(pivot, head)))
+                    out.append((int(token[0]), True, np.append(pivot, head)))
             if last:
                 pivot = None
-            return out, members
+            return out, [x[at:] for x in rows]
 
         for batch in batches:
-            t, s = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((t, s)))
-            if not len(t):
+            rows = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+            if not len(rows[0]):
                 continue
-            new = np.append(True, (np.diff(t) != 0) | (np.diff(s) != 0))
-            t, s = t[new], s[new]
-            starts = np.flatnonzero(np.append(True, np.diff(t) != 0))
-            sizes = np.diff(np.append(starts, len(t)))
-            found = []
-            if len(starts) > 1:
-                found, _ = parted(int(t[0]), s[: starts[1]], True)
-            for k in np.flatnonzero(sizes[1:-1] > 1) + 1:
-                found += parted(int(t[starts[k]]), s[starts[k] : starts[k] + sizes[k]], True)[0]
-            more, stay = parted(int(t[-1]), s[starts[-1] :], False)
-            t, s = np.full(len(stay), t[-1]), stay
+            new = np.append(True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))
+            rows = [x[new] for x in rows]
+            starts = np.flatnonzero(np.append(True, np.diff(rows[0]) != 0))
+            ends, found = np.append(starts[1:], len(rows[0])), []
+            for k in np.flatnonzero(ends - starts > 1) if pivot is None else range(len(starts)):
+                if k < len(starts) - 1 and (k == 0 or ends[k] - starts[k] > 1):
+                    found += parted([x[starts[k] : ends[k]] for x in rows], True)[0]
+            more, held = parted([x[starts[-1] :] for x in rows], False)
             yield from packed(found + more)
-        if len(t):
-            yield from packed(parted(int(t[0]), s, True)[0])
+        if len(held[0]):
+            yield from packed(parted(held, True)[0])
 
-    dealt = tokens.repartition("token").sortWithinPartitions("token", "set")
+    dealt = tokens.select("token", "set", "n", "left").repartition("token").sortWithinPartitions("token", "set")
     return dealt.mapInArrow(run, "gid bigint, token bigint, many boolean, members array<bigint>")
 
 
@@ -408,8 +425,11 @@ def jaccard_components(
     sketch = frequency_sketch(docs, text_col, size, cells)
     rows = written(signatures(docs, sketch, id_col, text_col, size, percent), "set-signatures")
     firsts = rows.where("bits is not null")
-    found = written(groups(firsts.select(F.explode("rarest").alias("token"), "set"), part).dropDuplicates(["gid"]), "groups")
-    signed = firsts.select("set", "n", "bits").dropDuplicates(["set"])
+    tokens = firsts.select("set", "n", F.posexplode("rarest").alias("at", "token")).withColumn("left", F.col("n") - F.col("at"))
+    found = written(groups(tokens, percent, part).dropDuplicates(["gid"]), "groups")
+    wanted = written(found.select(F.explode("members").alias("set")).distinct(), "members")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+    signed = written(firsts.join(wanted, "set").select("set", "n", "bits").dropDuplicates(["set"]), "member-signatures")
     with small_batches(spark):
         members = found.select("gid", F.explode("members").alias("set")).join(signed, "set").withColumn("label", F.col("set"))
         first = written(candidates(members, percent, spanning=True), "candidates")
