@@ -92,10 +92,9 @@ def test_no_pair_is_lost_by_the_tree():
     assert list(j.group_pairs(n, bits, known)) == []
 
 
-def test_groups_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(j, "PAIRED", 4)
+def test_groups_in_parts(spark):
     rows = [(1, s) for s in range(10)] + [(2, 5)] + [(3, s) for s in (7, 8, 8)] + [(4, s) for s in (7, 8)] + [(5, s) for s in range(4)]
-    tokens = spark.createDataFrame(rows, "token bigint, `set` bigint").selectExpr("*", "100L AS n", "95L AS left")
+    tokens = spark.createDataFrame(rows, "token bigint, `set` bigint").selectExpr("*", "100L AS n", "100L AS left")
     got = j.groups(tokens, part=4).collect()
     by = {}
     for r in got:
@@ -109,6 +108,13 @@ def test_members_without_a_partner_leave_their_group():
     n, left = np.array([100, 100, 100, 120, 60]), np.array([100, 95, 90, 120, 60])
     # 92 of 100 are needed among sets of 100; 102 of 120 and 100, which is more than there are.
     assert j._with_partner(n, left, 85).tolist() == [True, True, False, False, False]
+    rng = np.random.default_rng(0)
+    for size in (1, 2, 3, 40):
+        for _ in range(100):
+            n = rng.integers(1, 60, size)
+            left = np.maximum(1, n - rng.integers(0, 8, size))
+            can = [[a != b and 185 * min(left[a], left[b]) >= 85 * (n[a] + n[b]) for b in range(size)] for a in range(size)]
+            assert j._with_partner(n, left, 85).tolist() == [any(row) for row in can]
 
 
 def test_many_copies_repeated_rows_and_missing_ids(spark):

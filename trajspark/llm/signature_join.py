@@ -30,8 +30,6 @@ from trajspark.llm.components import connected_components
 SIZE, PERCENT = 4, 85
 #: Cells of the frequency sketch (8 bytes each in every task), children of a node, most members of a part of a group.
 CELLS, FANOUT, PART = 1 << 18, 16, 4096
-#: Members up to which a group is searched for those without a possible partner.
-PAIRED = 256
 #: Node pairs that are opened together.
 OPENED = 16
 #: Bits of a bitmap for each shingle, and most bits of a bitmap; beyond, it only leaves out less.
@@ -157,11 +155,18 @@ def signatures(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str,
 
 
 def _with_partner(n: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
-    """Which members could link with another, if this were their first shingle in common and all that is left agreed."""
-    most = (100 + percent) * left - percent * n  # of percent times a partner's size
-    can = percent * n[None, :] <= most[:, None]
-    np.fill_diagonal(can, False)
-    return (can & can.T).any(axis=1)
+    """Which members could link with another, if this were their first shingle in common and all that is left agreed.
+
+    A set may be as large as the shingles left allow, so of the members small enough for one, the other that allows
+    most decides.
+    """
+    most = ((100 + percent) * left - percent * n) // percent  # how large a partner may be
+    order = n.argsort(kind="stable")
+    best = np.maximum.accumulate(most[order])
+    second = np.maximum.accumulate(np.minimum(np.append(-1, best[:-1]), most[order]))
+    at = np.searchsorted(n[order], most, "right") - 1
+    others = np.where((n <= most) & (best[at] == most), second[at], best[at])  # without the member itself
+    return (at >= 0) & (others >= n)
 
 
 def groups(tokens: DataFrame, percent: int = PERCENT, part: int = PART) -> DataFrame:
@@ -192,11 +197,10 @@ def groups(tokens: DataFrame, percent: int = PERCENT, part: int = PART) -> DataF
             """Parts of a group that can leave, and the rows that stay."""
             nonlocal pivot
             out, (token, members, n, left) = [], rows
-            if last and pivot is None and len(members) <= PAIRED:
-                some = _with_partner(n, left, percent)
-                if some.any():
-                    out.append((int(token[0]), False, members[some]))
-                return out, rows
+            if last and pivot is None:
+                members = members[_with_partner(n, left, percent)]
+                if len(members) < 2:
+                    return out, rows
             at = 0
             while len(members) - at > part or last and at < len(members):
                 head = members[at : at + part]
