@@ -1,13 +1,17 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, card and account numbers, social security
-numbers, IBANs, secrets after a key word, and names: those after a title, and every later or earlier capitalised
-mention of their words in the same text. A secret has a letter or digit; a value of punctuation alone stays.
+Detected: e-mail addresses, phone numbers (international, North American and national ones with a leading zero), IPv4 and
+IPv6 addresses, card and account numbers, social security numbers, IBANs, secrets after a key word and keys of known
+forms, and names: those after a title or an introduction ("my name is"), and every later or earlier capitalised
+mention of their words in the same text. A name that is also a month or another frequent word counts only beside a
+title or another part of the name. A secret has a letter or digit; a value of punctuation alone stays.
 
 Each entity has a canonical form without case and punctuation, so that mentions of one entity agree everywhere
 (coreference); its surrogate is a keyed permutation of the canonical form within its alphabets (digits stay
 digits, letters stay in their block of letters), put back into the mention's own punctuation and case. Card
-numbers and IBANs with right check digits keep them right; addresses of private networks stay in their network.
+numbers and IBANs with right check digits keep them right; addresses of private networks stay in their network, other
+ones go to blocks that are not in use (240.0.0.0/4, 2001:db8::/32), and domains get the ending ``.example``, so that no
+e-mail or network address of a third party comes up.
 Names are built from syllables of their script, with an ending of their gender. A given name known only with
 titles of no gender takes the gender that it has elsewhere in the corpus.
 
@@ -26,6 +30,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import ipaddress
+import itertools
 import re
 import unicodedata
 
@@ -38,26 +44,39 @@ from trajspark.llm.common import bounded, cut, written
 MAX_EXCEPTIONS = 100_000
 #: The attempt from which on formats of fixed length grow.
 LAST_FIXED = 8
-#: Columns that rows have while surrogates are joined with them.
-ROW, OTHERS = "_pii_row", "_pii_others"
-
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Each alternative begins where a run of its characters begins, so that the time is linear in the text.
 _PATTERN = re.compile(
     r"(?<![\w.+-])[.+_-]*+(?P<email>[^\W_][\w.+-]*+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})"
-    r"|(?P<secret>(?i:(?<![^\W_])(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d|pwd)(?:[_-]?key)?(?![^\W_]))[\"']?[ \t]*[:=][ \t]*(?P<quote>[\"']?)(?P<value>(?=[+/.=~_-]*+[^\W_])[\w+/.=~-]{8,})(?P=quote))"
+    r"|(?P<secret>(?i:(?<![^\W_])(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?[dt]|kennwort|mot de passe|contraseña|пароль|pwd)(?:[_-]?key)?(?![^\W_]))[\"']?[ \t]*[:=][ \t]*(?P<quote>[\"']?)(?P<value>(?=[+/.=~_-]*+[^\W_])[\w+/.=~-]{8,})(?P=quote))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\w))"
     r"|(?P<card>(?<![\w+.-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
 )
+#: Further entities: what a text with one has, the pattern with the entity as its group, and its kind. They are sought only in
+#: texts with such a mark, and give way to those above.
+_FURTHER = [
+    (("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox"), re.compile(r"(?<![\w-])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,})(?![\w-])"), "key"),
+    (("earer ", "EARER "), re.compile(r"(?<![\w-])(?:[Bb]earer|BEARER)[ ]((?=[\w+/.=~-]*\d)[\w+/.=~-]{16,})"), "secret"),
+    ((":",), re.compile(r"(?<![\w:.])([0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]{0,31})(?![\w:])"), "ip6"),
+    (("SSN", "ecurity"), re.compile(r"(?<!\w)(?:SSN|[Ss]ocial [Ss]ecurity(?: [Nn]umber)?)[ :#.]{1,3}(\d{3}[ -]?\d{2}[ -]?\d{4})(?![\w-])"), "ssn"),
+    (("0",), re.compile(r"((?:(?<![\w+./-])\()?0(?<![\w+./-]0)(?:\d(?:[ .-]\d{2}){4}|\d{1,4}\)?[ /-][ ]?\d{3,8}(?:[ -]\d{2,5}){0,2}))(?![\w-])"), "phone"),
+]
+_COLONS = re.compile(":[0-9A-Fa-f]{0,4}:")
+#: Digits that a national number has at least and at most.
+NATIONAL = (9, 13)
 #: Titles and their gender.
 TITLES = {
     "Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Signor": "m", "Господин": "m", "Κύριος": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Signora": "f", "Госпожа": "f", "Κυρία": "f",
     "Dr": "n", "Prof": "n", "Doctor": "n", "Professor": "n", "Доктор": "n",
 }
+#: What introduces a name.
+INTRODUCTIONS = ["my name is", "name's", "ich heiße", "mein Name ist", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут"]
+#: Names that are more often other words.
+HOMONYMS = frozenset("april may june august mai mars avril juin juni juli mayo abril junio agosto will mark grace hope rose summer art frank bill".split())
 #: Small words inside names.
 PARTICLES = ["van", "von", "der", "den", "de", "del", "della", "di", "da", "du", "dos", "la", "le", "bin", "al", "el"]
 #: Syllables and gendered endings by script, upper case first where a name begins.
@@ -75,8 +94,11 @@ HEX = "0123456789abcdef"
 #: Networks whose addresses stay in them: private, shared, loopback and link-local ones.
 NETWORKS = [(0x0A000000, 24), (0xAC100000, 20), (0xC0A80000, 16), (0x64400000, 22), (0x7F000000, 24), (0xA9FE0000, 16)]
 RESERVED_DOMAIN = re.compile(r"(?:^|\.)example\.(?:com|net|org)$|\.(?:example|test|invalid)$")
+#: Where other addresses go: the block and the bits inside it.
+UNUSED_IP, UNUSED_IP6 = (0xF0000000, 28), (0x20010DB8 << 96, 96)
 #: What every match of the pattern has at least.
-_MARK = re.compile(r"[@\d]|(?i:token|secret|key|passw|pwd)")
+_MARK = re.compile(r"[@\d]")
+_WORDS = ("token", "secret", "key", "passw", "passe", "pwd", "kennwort", "contraseña", "пароль")
 
 
 @functools.lru_cache(1)
@@ -84,12 +106,16 @@ def _names():
     """A pattern of titles in a row with the words after them, and one of capitalised words."""
     import regex
 
-    titles = "|".join(sorted(TITLES, key=len, reverse=True))
+    titles = "|".join(sorted({*TITLES, *map(str.upper, TITLES)}, key=len, reverse=True))
+    known = "|".join(INTRODUCTIONS)
     word = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-](?!s\b)[\p{L}\p{M}]++)*+"
     small = "|".join(PARTICLES)
     one = rf"(?:\p{{Lu}}\.[ ]?)*(?:(?:{small})[ ])*{word}"
-    titled = rf"\b((?:(?:{titles})\b\.?[ ])+)({one}(?:[ ]{one}){{0,2}})"
-    return regex.compile(titled), regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){word}")
+    name = rf"{one}(?:[ ]{one}){{0,2}}"
+    titled = rf"\b((?:(?:{titles})\b\.?[ ])+)({name})"
+    introduced = rf"\b((?i:{known})[ ]+)({name})"
+    before = rf"\b(?:{titles})\.?[ ]$"
+    return regex.compile(titled), regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){word}"), regex.compile(introduced), regex.compile(before)
 
 
 # -- detection -----------------------------------------------------------------------------------
@@ -98,12 +124,17 @@ def _names():
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Places and kinds of the entities, in order and without overlap. A name's kind has its role: its
     gender (``n`` where only titles of no gender come with it) for given names, ``surname`` for the last name."""
-    found = []
-    if _MARK.search(text):
+    found, low = [], text.lower()
+    digits = _MARK.search(text) is not None
+    if digits or any(w in low for w in _WORDS):
         for m in _PATTERN.finditer(text):
             kind = m.lastgroup  # the outermost group
             found.append((*m.span("value" if kind == "secret" else kind), kind))
-    if any(t in text for t in TITLES):
+    if digits or "::" in text:
+        further = [(*m.span(1), k) for marks, p, k in _FURTHER if any(x in text for x in marks) and (k != "ip6" or _COLONS.search(text)) for m in p.finditer(text) if _holds(k, m[1])]
+        if further:
+            found = _apart(found, further)
+    if any(t in text for t in _GENDERS) or any(t in low for t in _INTRODUCED):
         roles = _roles(text)
         if roles:
             found += [(b, e, f"name:{roles[w]}") for b, e, w in _mentions(text, roles, found)]
@@ -111,12 +142,40 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _apart(found: list, further: list) -> list:
+    """``found`` and those of ``further`` that overlap none before them."""
+    out: list = []
+    for x in sorted([(*f, 0) for f in found] + [(*f, 1) for f in further], key=lambda x: (x[0], x[3])):
+        if out and x[0] < out[-1][1]:
+            if x[3] == 1 or out[-1][3] == 0:
+                continue
+            out.pop()
+        out.append(x)
+    return [x[:3] for x in out]
+
+
+_INTRODUCED = [x.lower() for x in INTRODUCTIONS]
+_GENDERS = TITLES | {t.upper(): g for t, g in TITLES.items()}
+
+
+def _holds(kind: str, found: str) -> bool:
+    """Whether a further match is what its form suggests."""
+    if kind == "phone":
+        return NATIONAL[0] <= sum(map(str.isdigit, found)) <= NATIONAL[1]
+    if kind == "ip6":
+        try:
+            ipaddress.IPv6Address(found)
+        except ValueError:
+            return False
+    return True
+
+
 def _roles(text: str) -> dict[str, str]:
-    """Role of every word of a titled name in a text: a gendered title wins, then the first role."""
-    titled, word = _names()
+    """Role of every word of a titled or introduced name in a text: a gendered title wins, then the first role."""
+    titled, word, introduced, _ = _names()
     roles: dict[str, str] = {}
-    for m in titled.finditer(text):
-        genders = [TITLES[t.strip(". ")] for t in m.group(1).split(" ") if t]
+    for m in itertools.chain(titled.finditer(text), introduced.finditer(text)):
+        genders = [_GENDERS.get(t.strip(". "), "n") for t in m.group(1).split(" ") if t]
         gender = next((g for g in genders if g != "n"), "n")
         *given, last = [w for w in word.findall(m.group(2)) if len(w) > 1] or [""]
         for w in map(_lower, given):
@@ -134,9 +193,16 @@ def _mentions(text: str, roles: dict[str, str], found: list) -> list[tuple[int,
         while k < len(found) and found[k][1] <= b:
             k += 1
         w = _lower(m.group())
-        if w in roles and m.group() not in TITLES and not (k < len(found) and found[k][0] < e):
+        if w in roles and m.group() not in _GENDERS and not (k < len(found) and found[k][0] < e):
             out.append((b, e, w))
-    return out
+    return [x for n, x in enumerate(out) if x[2] not in HOMONYMS or _in_name(text, out, n)]
+
+
+def _in_name(text: str, mentions: list[tuple[int, int, str]], n: int) -> bool:
+    """Whether a mention stands after a title or beside another part of a name."""
+    b, e, _ = mentions[n]
+    after = n and re.fullmatch(r" (?:\w\. ?)*", text[mentions[n - 1][1] : b]) or n + 1 < len(mentions) and text[e : mentions[n + 1][0]] == " "
+    return bool(after or _names()[3].search(text, max(0, b - 24), b))
 
 
 def canonical(kind: str, mention: str) -> str:
@@ -145,6 +211,8 @@ def canonical(kind: str, mention: str) -> str:
         return ("+" if mention.startswith("+") else "") + re.sub(r"\D", "", mention)
     if kind == "iban":
         return mention.replace(" ", "").lower()
+    if kind == "ip6":
+        return ipaddress.IPv6Address(mention).exploded
     return _lower(mention)
 
 
@@ -238,10 +306,10 @@ def _ip(key: bytes, tweak: str, form: str, more: int) -> str:
     for x in form.split("."):
         value = value << 8 | int(x)
     base, bits = _network(value)
-    while True:  # walking on keeps it a permutation of the addresses in no network
-        value = base | _permuted(key, f"{tweak}|{base}", value & ((1 << bits) - 1), 1 << bits)
-        if _network(value) == (base, bits):
-            break
+    value = _permuted(key, f"{tweak}|{base}", value & ((1 << bits) - 1), 1 << bits)
+    if bits == 32:
+        base, bits = UNUSED_IP
+    value = base | value & ((1 << bits) - 1)
     further = [_permuted(key, f"{tweak}|{form}|{k}", 0, 256) for k in range(more)]
     return ".".join(map(str, [*(value >> s & 255 for s in (24, 16, 8, 0)), *further]))
 
@@ -251,6 +319,12 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
     tweak, more, late = f"{kind}|{attempt}", max(0, attempt - 1), max(0, attempt - LAST_FIXED + 1)
     if kind == "ip":
         return _ip(key, tweak, form, late)
+    if kind == "ip6":
+        base, bits = UNUSED_IP6
+        return ipaddress.IPv6Address(base | _permuted(key, tweak, int(ipaddress.IPv6Address(form)), 1 << 128) & ((1 << bits) - 1)).exploded
+    if kind == "key":
+        form, begin = _longer(form, more), re.match(r"akia|asia|gh[pousr]_|sk-|xox[abprs]-", form).end()
+        return form[:begin] + _permuted_text(key, f"{tweak}|{form[:begin]}", form[begin:])
     if kind.startswith("name"):
         script, role = _script(form), kind.partition(":")[2]
         n = (4 if role == "surname" else 3) + more
@@ -261,7 +335,7 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
         tweak, at = f"{tweak}|{domain}", domain
         if not RESERVED_DOMAIN.search(domain):
             host, dot, top = domain.rpartition(".")
-            at = _permuted_text(key, f"{kind}|{attempt}|{top}", host) + dot + top
+            at = _permuted_text(key, f"{kind}|{attempt}|{top}", host) + dot + top + ".example"
         return _permuted_text(key, tweak, _longer(local, more)) + "@" + at
     if kind == "secret" or kind == "phone" and form.startswith("+"):
         form = _longer(form, more)
@@ -299,13 +373,19 @@ def in_format(kind: str, mention: str, form: str) -> str:
         return out.upper() if kind == "iban" else out
     if kind.startswith("name"):
         return form.upper() if len(mention) > 1 and mention.isupper() else form[0].upper() + form[1:]
-    if len(form) >= len(mention):
-        if kind == "secret" and mention.upper() == mention:
-            return form.upper()
-        at = mention.rindex("@") if kind == "email" else len(mention)  # further characters are in lower case
-        mention = mention[:at] + "a" * (len(form) - len(mention)) + mention[at:]
-        return "".join(f.upper() if m.isupper() and len(f.upper()) == 1 else f for f, m in zip(form, mention, strict=True))
-    return form
+    if kind == "ip6":
+        short = ipaddress.IPv6Address(form).compressed
+        return short.upper() if mention.upper() == mention != mention.lower() else short
+    if kind in ("secret", "key") and mention.upper() == mention:
+        return form.upper()
+    if kind == "email":
+        return "@".join(_in_case(f, m) for f, m in zip(form.rsplit("@", 1), mention.rsplit("@", 1), strict=True))
+    return _in_case(form, mention)
+
+
+def _in_case(form: str, mention: str) -> str:
+    """Upper case where the mention has it; further characters are in lower case."""
+    return "".join(f.upper() if m.isupper() and len(f.upper()) == 1 else f for f, m in itertools.zip_longest(form, mention[: len(form)], fillvalue="a"))
 
 
 # -- on Spark ------------------------------------------------------------------------------------
@@ -369,11 +449,14 @@ def other_surrogates(docs: DataFrame, text_col: str, key: bytes) -> DataFrame:
 
 
 def _with_others(docs: DataFrame, text_col: str, over: DataFrame) -> DataFrame:
-    """``docs`` with the other surrogates of each row's entities as an array in a last column."""
+    """``docs`` with the other surrogates of each row's entities as an array in a last column, ``others``.
+
+    The columns of ``docs`` must not be named ``row`` or ``others``.
+    """
     import pyarrow as pa
 
-    rows = written(docs.withColumn(ROW, F.expr("uuid()")), "pii-rows")
-    names = [ROW, "kind", "form"]
+    rows = written(docs.withColumn("row", F.expr("uuid()")), "pii-rows")
+    names = ["row", "kind", "form"]
 
     def run(batches):
         for batch in bounded(batches, 1):
@@ -381,9 +464,9 @@ def _with_others(docs: DataFrame, text_col: str, over: DataFrame) -> DataFrame:
                 kinds, forms = zip(*seen, strict=True) if (seen := {(k, canonical(k, t[b:e])) for b, e, k in entities(t or "")}) else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(kinds), pa.string()), pa.array(kinds, pa.string()), pa.array(forms, pa.string())], names)
 
-    theirs = rows.select(ROW, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{ROW} string, kind string, form string")
-    lists = theirs.join(over, ["kind", "form"]).groupBy(ROW).agg(F.collect_list(F.struct("kind", "form", "surrogate")).alias(OTHERS))
-    return rows.join(lists, ROW, "left").select(*docs.columns, OTHERS)
+    theirs = rows.select("row", F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row string, kind string, form string")
+    lists = theirs.join(over, ["kind", "form"]).groupBy("row").agg(F.collect_list(F.struct("kind", "form", "surrogate")).alias("others"))
+    return rows.join(lists, "row", "left").select(*docs.columns, "others")
 
 
 def rewrite(text: str, key: bytes, others: dict[tuple[str, str], str], memo: dict | None = None) -> tuple[str, list[str]]:
@@ -407,24 +490,29 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", length_col:
     """``docs`` with surrogates in the text. Texts without entities, empty and null ones stay as they are.
 
     ``length_col``, where the table has it, is set to the new length of a changed text. ``kinds_col`` adds
-    an array with the kind of every entity replaced (null text: empty). Rows are rewritten one by one, so
-    repeated rows stay repeated, and one entity has one surrogate in all of them.
+    an array with the kind of every entity replaced (null text: empty), in place of a column of that name. All other
+    columns may have any names. Very long texts are searched whole, in time that grows with their length. Rows are
+    rewritten one by one, so repeated rows stay repeated, and one entity has one surrogate in all of them. An empty table stays
+    empty.
     """
     import pyarrow as pa
+    from pyspark.sql import types as T
 
     if not key:
         raise ValueError("replace_pii needs a key")
+    if kinds_col in docs.columns:
+        docs = docs.drop(kinds_col)
     over = other_surrogates(docs, text_col, key)
     few = over.limit(MAX_EXCEPTIONS + 1).collect()
     joined = len(few) > MAX_EXCEPTIONS
     others = {} if joined else {(r["kind"], r["form"]): r["surrogate"] for r in few}
     at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
-    schema, docs_columns = docs.schema, docs.columns
+    # Columns go by place, so that their names are free.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)]
     if kinds_col:
-        from pyspark.sql import types as T
-
-        schema = T.StructType([*docs.schema.fields, T.StructField(kinds_col, T.ArrayType(T.StringType()))])
+        fields.append(T.StructField("kinds", T.ArrayType(T.StringType())))
 
     def run(batches):
         memo: dict = {}
@@ -440,10 +528,10 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", length_col:
                 lengths = batch.column(length_at).to_pylist()
                 changed = [len(t) if k and n is not None else n for (t, k), n in zip(done, lengths, strict=True)]
                 columns[length_at] = pa.array(changed, batch.column(length_at).type)
-            names = list(docs_columns)
             if kinds_col:
                 columns.append(pa.array([k for _, k in done], pa.list_(pa.string())))
-                names.append(kinds_col)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return (_with_others(docs, text_col, over) if joined else docs).mapInArrow(run, schema)
+    placed = docs.toDF(*names)
+    found = (_with_others(placed, names[at], over) if joined else placed).mapInArrow(run, T.StructType(fields))
+    return found.toDF(*docs.columns, *([kinds_col] if kinds_col else []))
