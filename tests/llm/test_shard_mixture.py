@@ -66,3 +66,13 @@ def test_repeated_and_null_ids_clashing_names_and_any_number_of_buckets(spark):
     first, *rest = [sorted(map(tuple, f.collect()), key=str) for f in found]
     assert rest == [first, first] and len(first) == 403
     assert shard_mixture.shard_documents(docs).columns == [*docs.columns, "shard", "slot"]
+
+
+def test_ten_thousand_sources(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "cast(pow(id, 1.7) AS bigint) % 10000 AS source")
+    got = shard_mixture.shard_documents(docs, 8, bucket_bits=14)
+    rows = got.collect()
+    sizes = [sum(r.shard == k for r in rows) for k in range(8)]
+    assert len(rows) == 30_000 and max(sizes) - min(sizes) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sizes[k])) for k in range(8))
+    assert "sequence" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -110,3 +110,25 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}, 200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("hub", [0, 3, 1000])
+def test_hubs_are_joined_by_broadcast(spark, monkeypatch, hub):
+    from trajspark.llm import components
+
+    monkeypatch.setattr(components, "HUB_EDGES", hub)
+    rng = np.random.default_rng(9)
+    links = [(7, k) for k in range(100, 300)] + [(k, 7000) for k in range(250, 400)] + [tuple(map(int, rng.integers(0, 2000, 2) + 10_000)) for _ in range(900)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    top = {n: n for x in links for n in x}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        top[y] = x
+    lonely = {a for a, b in links if a == b} - {n for a, b in links if a != b for n in (a, b)}
+    assert got == {n: root(n) for n in top if n not in lonely}

@@ -54,21 +54,20 @@ def shard_documents(
         (F.sum("k").over(of_source.orderBy("b")) - F.col("k")).alias("before"),
     )
     in_bucket = Window.partitionBy("s", "b").orderBy("h", "h2")
-    ranked = rows.join(offsets, ["s", "b"]).withColumn("r", F.col("before") + F.row_number().over(in_bucket))
-    ranked = ranked.withColumn("c", F.expr(f"((2 * r - 1) * {buckets}) div (2 * n)")).drop("b", "before", "h", "h2")
 
-    # Of n rows, those with (2r - 1) * B < 2n * c lie before bucket c: ceil(2nc / B) div 2.
-    sizes = counts.groupBy("s").agg(F.sum("k").alias("n"))
-    starts = (
-        sizes.select("n", F.explode(F.expr(f"sequence(0L, {buckets - 1}L)")).alias("c"))
-        .groupBy("c")
-        .agg(
-            F.sum(F.expr(f"((2 * n * c + {buckets - 1}) div {buckets}) div 2")).alias("start"),
-            F.sum("n").alias("total"),
-        )
-    )
+    def ranked(of: DataFrame) -> DataFrame:
+        r = of.join(offsets, ["s", "b"]).withColumn("r", F.col("before") + F.row_number().over(in_bucket))
+        return r.withColumn("c", F.expr(f"((2 * r - 1) * {buckets}) div (2 * n)")).drop("b", "before", "h", "h2")
+
+    # Rows before each bucket of fractional ranks, added up in two levels, so that no task sees all buckets.
+    sizes = ranked(rows.drop("row")).groupBy("c").agg(F.count(F.lit(1)).alias("k")).withColumn("high", F.shiftright("c", bits // 2))
+    highs = sizes.groupBy("high").agg(F.sum("k").alias("of_high"))
+    everything = Window.partitionBy(F.lit(0))  # a row for each of at most 2**11 or so
+    highs = highs.select("high", (F.sum("of_high").over(everything.orderBy("high")) - F.col("of_high")).alias("below"), F.sum("of_high").over(everything).alias("total"))
+    within = F.sum("k").over(Window.partitionBy("high").orderBy("c")) - F.col("k")
+    starts = sizes.withColumn("within", within).join(F.broadcast(highs), "high").select("c", (F.col("below") + F.col("within")).alias("start"), "total")
     along = Window.partitionBy("c").orderBy((2 * F.col("r") - 1).cast("double") / F.col("n"), "s", "r")
-    placed = ranked.join(starts, "c").withColumn("g", F.col("start") + F.row_number().over(along) - 1)
+    placed = ranked(rows).join(starts, "c").withColumn("g", F.col("start") + F.row_number().over(along) - 1)
     placed = placed.withColumn("shard", F.expr(f"(g * {n_shards}) div total").cast("int"))
     first = F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
     return placed.select("row.*", "shard", (F.col("g") - first).alias("slot"))

@@ -24,7 +24,9 @@ from trajspark.llm.components import connected_components
 SEED = 42
 #: Parts of a fingerprint whose population counts make a tile. More parts skip more tile pairs, and put each
 #: fingerprint into more tiles: 65 with four parts, 417 with eight (radius 3).
-PARTS = 4
+PARTS, MORE_PARTS = 4, 8
+#: Distinct fingerprints above which more parts cost less: then pairs outweigh the rows that meet them.
+MANY = 40_000_000
 #: Most rows of a tile that one task holds; a tile with more is split. Rows of a compared block on each side.
 TILE_ROWS, BLOCK = 16_384, 1024
 #: Most tiles whose splits are broadcast (16 bytes each).
@@ -164,21 +166,23 @@ def fingerprint_links(distinct_fps: DataFrame, radius: int = 3, parts: int = PAR
     return tiles.mapInArrow(run, "a bigint, b bigint")
 
 
-def _grouped(fps: DataFrame, radius: int, parts: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(fps: DataFrame, radius: int, parts: int | None) -> tuple[DataFrame, DataFrame]:
     """``fp``, ``least`` (smallest id) of all distinct fingerprints; ``node``, ``root`` of the linked ones."""
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    parts = parts or (PARTS if nodes.count() <= MANY else MORE_PARTS)
     return nodes, connected_components(fingerprint_links(nodes.select("fp"), radius, parts))
 
 
 def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, parts: int = PARTS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, parts: int | None = None
 ) -> DataFrame:
     """Fingerprint and near-duplicate group of every row.
 
     Returns ``id_col``, ``fingerprint`` (16 lowercase hex digits) and ``component_id``: the smallest id
     reachable over links of at most ``radius`` differing bits, itself included. Null and empty texts have
     fingerprint zero and are linked like any other. A row without an id keeps its links, but is never a
-    group's name; a group with no id at all has a null name. Repeated rows give repeated results.
+    group's name; a group with no id at all has a null name. Repeated rows give repeated results. Very long texts are
+    hashed whole, in pieces of 1 MB. ``parts``, by default by the number of distinct fingerprints, has no effect on the result.
     """
     fps = written(with_fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes, roots = _grouped(fps, radius, parts)
@@ -193,7 +197,7 @@ def simhash_groups(
 
 
 def simhash_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, parts: int = PARTS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, parts: int | None = None
 ) -> DataFrame:
     """One row of every near-duplicate group, with the columns of ``docs``, which may have any names.
 

@@ -100,7 +100,8 @@ def write_token_ids(
 ) -> None:
     """Encode every whole text, add ``end_id`` to each and write them in ascending order of ids.
 
-    Texts are encoded where they lie, and only ids are shuffled. Null ids come first, repeated ids in the order
+    Texts are encoded where they lie, and only ids are shuffled; a table with fewer splits than there are cores is dealt out
+    first. Very long texts are encoded whole, as trees of halves. Null ids come first, repeated ids in the order
     of a hash of their token ids; a null or empty text gives the end id alone. An empty table gives a folder
     without segments.
     """
@@ -111,6 +112,9 @@ def write_token_ids(
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bounds = _bounds(rows, n_parts)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
     names = [field.split()[0] for field in SCHEMA.split(", ")]
 
     def encode(batches):
