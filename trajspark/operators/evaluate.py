@@ -178,10 +178,21 @@ def species_by_peak(long: DataFrame, time: str, low: float = 1e-3, high: float =
 
 
 def strided_sample(points: DataFrame, valid: Column, keys: Sequence[str], most: int, seed: int) -> DataFrame:
-    """At most ``most`` valid points: every so many of them in the order of a hash of their keys."""
-    u = unit_hash(seed, F.concat_ws(":", *keys))
-    numbered = with_row_numbers(points.where(valid), u, keys, "__n")
-    total = points.where(valid).agg(F.count(F.lit(1)).alias("__total"))
-    marked = numbered.crossJoin(F.broadcast(total))  # one row
+    """At most ``most`` valid points: every so many of them in the order of a hash of their keys. Valid points are computed and written once."""
+    rows = written(points.where(valid), "points")
+    numbered = with_row_numbers(rows, unit_hash(seed, F.concat_ws(":", *keys)), keys, "__n")
+    marked = numbered.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("__total"))))  # one row
     stride = F.greatest(F.lit(1), F.ceil(F.col("__total") / F.lit(most)))
     return marked.where((F.col("__n") % stride == 0) & (F.col("__n") / stride < most)).drop("__n", "__total")
+
+
+def bottom_sample(points: DataFrame, valid: Column, keys: Sequence[str], most: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """The ``most`` valid points with the smallest hashes of their keys, of all or of each group: a uniform sample in one pass.
+
+    A task hands on ``most`` rows (of a group) at most, whatever it reads, and samples merge by the same rule.
+    """
+    rows = points.where(valid).withColumn("__u", unit_hash(seed, F.concat_ws(":", *keys)))
+    if not by:
+        return rows.orderBy("__u", *keys).limit(most).drop("__u")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__u", *keys))
+    return rows.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__u", "__rank")

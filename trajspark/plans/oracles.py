@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 
 ORACLES: dict[str, str] = {}
 #: Fixed values, written out here once more so that a wrong entry of the library shows: names on each scale, and solar
@@ -334,6 +336,34 @@ ORACLES["stored_statistics"] = f"WITH {V} " + " UNION ALL ".join(
 )
 
 
+ORACLES["bottom_sample"] = f"""WITH {R}, n AS (SELECT file_id, group_id, i::VARCHAR AS i, j::VARCHAR AS j, species, row_number() OVER (PARTITION BY species ORDER BY {_POINT}, file_id, group_id, i::VARCHAR, j::VARCHAR, species) AS n FROM pts WHERE y > 0.2)
+SELECT file_id, group_id, i, j, species FROM n WHERE n <= 60"""
+ORACLES["alignment_bucketed"] = f"WITH {R} SELECT file_id, group_id, i, j, {r('j0', 8)} AS truth, {r('q0', 8)} AS prediction FROM r WHERE i < 6 AND j > 2"
+ORACLES["distinct_grids"] = f"""WITH {O}, p AS (SELECT k, list(l_extendedprice ORDER BY lines.n) AS prices FROM lines GROUP BY k),
+g AS (SELECT file_id, grid, prices FROM oc LEFT JOIN p ON oc.k = p.k)
+SELECT file_id, count(DISTINCT grid) AS n_grids, count(DISTINCT prices) AS n_prices, true AS grids_close, true AS prices_close FROM g GROUP BY ROLLUP (file_id)"""
+
+
+def place_of(x: str, n: str, tag: str, seed: int = 42, rounds: int = 48) -> str:
+    """The keyed place of number ``x`` of [0, ``n``)."""
+    keys = [int(hashlib.sha256(f"{seed}:{tag}:{k}".encode()).hexdigest()[:15], 16) for k in range(rounds)]
+    other = f"((k - a) % ({n}) + ({n})) % ({n})"
+    return f"list_reduce(list_prepend(({x})::BIGINT, {keys}::BIGINT[]), lambda a, k: CASE WHEN substr(md5(k::VARCHAR || ':' || greatest(a, {other})::VARCHAR), 1, 1) < '8' THEN {other} ELSE a END)"
+
+
+def _epoch(epoch: int) -> str:
+    return f"""{V}, en AS (SELECT file_id, group_id, split, row_number() OVER (PARTITION BY split ORDER BY {key_hash("order")}, file_id, group_id) - 1 AS i FROM vk),
+es AS (SELECT split, i // 40 AS shard, 8 * count(*) AS n FROM en GROUP BY ALL), ek AS (SELECT *, count(*) OVER (PARTITION BY split) AS k FROM es),
+et AS (SELECT *, {place_of("shard", "n_shards", f"shards:{epoch}")} AS turn FROM (SELECT *, k AS n_shards FROM ek)),
+eb AS (SELECT split, shard, n AS n_units, sum(n) OVER (PARTITION BY split ORDER BY turn) - n AS begin FROM et),
+ep AS (SELECT file_id, group_id, en.split, shard, unit::INTEGER AS unit, (begin + {place_of("(i % 40) * 8 + unit", "n_units", f"units:{epoch}")})::BIGINT AS place
+    FROM en JOIN eb ON en.split = eb.split AND en.i // 40 = eb.shard, (SELECT unnest(range(8)) AS unit))"""
+
+
+ORACLES["epoch_places"] = f"WITH {_epoch(3)} SELECT file_id, group_id, split, unit, place FROM ep"
+ORACLES["places_read"] = f"WITH {_epoch(4)} SELECT file_id, group_id, shard, unit, place FROM ep WHERE split = 'train' AND place >= 700 AND place < 1100"
+
+
 def _near(key: str, typical: str) -> str:
     """A value near a typical one: a normal draw from two even ones, each a hash of the row's number."""
     radius, angle = (u(f"id || ':{key}:{w}'", 1) for w in ("radius", "angle"))

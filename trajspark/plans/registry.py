@@ -5,17 +5,19 @@ Floating-point results are rounded, since engines differ in the last bits of log
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions import names, scalars, transforms
 from trajspark.functions.hashing import derived_seed_column, trajectory_hash
-from trajspark.operators import chemistry, evaluate, pairs, reports, runlog, schema_diff as diff, score, segments, stats, validate
+from trajspark.operators import chemistry, evaluate, pairs, reports, runlog, schema_diff as diff, score, segments, sketches, stats, validate
 from trajspark.operators.normalize import normalized, quantized
 from trajspark.plans import fixtures as fx, jobs
 from trajspark.plans.oracles import ORACLES
-from trajspark.sources import moments, outputs, runlogs, shards
+from trajspark.sources import bucketed, epochs, moments, outputs, runlogs, shards
 from trajspark.sources.scratch import scratch_path, written
 from trajspark.sources.trajectories import KEY, long_form, read_trajectories, unpack
 
@@ -450,6 +452,66 @@ def strided_sample(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.strided_sample(points, F.col("y_true") > 0.2, [*KEY, "i", "j", "species"], 500, V.seed).select(*KEY, "i", "j", "species")
 
 
+@query
+def bottom_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixty points of each species, by hash."""
+    points = evaluate.error_points(fx.r(spark, sf), V).withColumns({"i": F.col("i").cast("string"), "j": F.col("j").cast("string")})
+    found = evaluate.bottom_sample(points, F.col("y_true") > 0.2, [*KEY, "i", "j", "species"], 60, V.seed, ["species"])
+    return found.select(*KEY, "i", "j", "species")
+
+
+@query
+def alignment_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of some pairs joined with truth of some, both in bucketed tables; no exchange."""
+    rows = fx.r(spark, sf)
+    name = f"t{uuid.uuid4().hex}"
+    predictions = bucketed.write_bucketed(rows.where("i < 6").select(*evaluate.PAIR, "y_pred"), f"{name}_predictions", evaluate.PAIR, 8)
+    truth = bucketed.write_bucketed(rows.where("j > 2").select(*evaluate.PAIR, "y_j"), f"{name}_truth", evaluate.PAIR, 8)
+    both = evaluate.aligned(predictions.hint("merge"), truth)
+    return _r(both.select(*evaluate.PAIR, F.get("y_j", F.lit(0)).alias("truth"), F.get("y_pred", F.lit(0)).alias("prediction")), 8, "truth", "prediction")
+
+
+@query
+def distinct_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct time grids and part lists of orders by file and over all: exact numbers, and whether the sketches' are within three errors."""
+    rows = fx.o(spark, sf).select("file_id", "t", "l_extendedprice")
+    values = {"grids": F.col("t"), "prices": F.col("l_extendedprice")}
+    found = written(sketches.distinct_sketches(rows, values), "sketches")
+    every = sketches.merged(found, list(values)).withColumn("file_id", F.lit(None).cast("string"))
+    near = sketches.estimates(found.unionByName(every), list(values))
+    exact = rows.rollup("file_id").agg(*[F.count_distinct(v).alias(f"n_{n}") for n, v in values.items()])
+    both = exact.join(near, exact["file_id"].eqNullSafe(near["file_id"]))
+    close = [(F.abs(F.col(n) - F.col(f"n_{n}")) <= 3 * sketches.ERROR * F.col(f"n_{n}") + 1).alias(f"{n}_close") for n in values]
+    return both.select(exact["file_id"], *[f"n_{n}" for n in values], *close)
+
+
+# -- the order of an epoch --------------------------------------------------------------------------
+
+#: Few trajectories in a shard, so that small tables have several.
+_EPOCH = type(V)(**{**V.__dict__, "trajectories_per_shard": 40})
+
+
+def _epoch_shards(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    path = scratch_path(spark, "epoch")
+    shards.write_shards(fx.v_kept(spark, sf), path, _EPOCH)
+    return path, shards.file_index(spark, path)
+
+
+@query
+def epoch_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of every pair of every split in the order of epoch 3, eight pairs a trajectory."""
+    path, index = _epoch_shards(spark, sf)
+    order = epochs.shard_order(index, _EPOCH, 3, 8)
+    return epochs.with_places(shards.read_shards(spark, path), order, _EPOCH, 3, 8).select(*KEY, "split", "unit", "place")
+
+
+@query
+def places_read(spark: SparkSession, sf: str) -> DataFrame:
+    """A stretch of the training split's epoch 4, read from its shards."""
+    path, index = _epoch_shards(spark, sf)
+    return epochs.read_places(spark, path, index, _EPOCH, "train", 4, 700, 1100, 8).select(*KEY, "shard", "unit", "place")
+
+
 # -- trajectories of any length ---------------------------------------------------------------------
 
 
