@@ -180,10 +180,11 @@ def species_by_peak(long: DataFrame, time: str, low: float = 1e-3, high: float =
 def strided_sample(points: DataFrame, valid: Column, keys: Sequence[str], most: int, seed: int) -> DataFrame:
     """At most ``most`` valid points: every so many of them in the order of a hash of their keys. Valid points are computed and written once."""
     rows = written(points.where(valid), "points")
-    numbered = with_row_numbers(rows, unit_hash(seed, F.concat_ws(":", *keys)), keys, "__n")
-    marked = numbered.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("__total"))))  # one row
-    stride = F.greatest(F.lit(1), F.ceil(F.col("__total") / F.lit(most)))
-    return marked.where((F.col("__n") % stride == 0) & (F.col("__n") / stride < most)).drop("__n", "__total")
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("p"), *[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)])
+    ties = [f"k{n}" for n in range(len(keys))]
+    stride = max(1, -(-rows.count() // most))
+    numbered = with_row_numbers(packed, unit_hash(seed, F.concat_ws(":", *ties)), ties, "n")
+    return numbered.where((F.col("n") % stride == 0) & (F.col("n") < stride * most)).select("p.*")
 
 
 def bottom_sample(points: DataFrame, valid: Column, keys: Sequence[str], most: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
@@ -191,8 +192,9 @@ def bottom_sample(points: DataFrame, valid: Column, keys: Sequence[str], most: i
 
     A task hands on ``most`` rows (of a group) at most, whatever it reads, and samples merge by the same rule.
     """
-    rows = points.where(valid).withColumn("__u", unit_hash(seed, F.concat_ws(":", *keys)))
+    rows = points.where(valid).select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("p"), unit_hash(seed, F.concat_ws(":", *keys)).alias("u"))
+    order = ["u", *[F.col("p")[k] for k in keys]]
     if not by:
-        return rows.orderBy("__u", *keys).limit(most).drop("__u")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__u", *keys))
-    return rows.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__u", "__rank")
+        return rows.orderBy(*order).limit(most).select("p.*")
+    rank = F.row_number().over(Window.partitionBy(*[F.col("p")[c] for c in by]).orderBy(*order))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("p.*")

@@ -23,10 +23,10 @@ def flat_column(x: Column) -> Column:
 def pack(points: DataFrame, spec: TrajectorySpec, order_by: str) -> DataFrame:
     """One row a trajectory from one row a point: the one big shuffle, by trajectory."""
     variables = [spec.time, *spec.species]
-    held = F.sort_array(F.collect_list(F.struct(F.col(order_by).alias("__o"), *variables))).alias("__points")
-    firsts = [F.first(g).alias(g) for g in spec.globals]
-    packed = points.groupBy(*KEY).agg(held, *firsts)
-    return packed.select(*KEY, *[F.col("__points")[v].alias(v) for v in variables], *spec.globals)
+    held = F.sort_array(F.collect_list(F.struct(F.col(order_by).alias("o"), F.struct(*variables).alias("v")))).alias("points")
+    firsts = F.struct(*[F.first(g).alias(g) for g in spec.globals], F.lit(0)).alias("firsts")
+    packed = points.groupBy(*KEY).agg(held, firsts)
+    return packed.select(*KEY, *[F.col("points")["v"][v].alias(v) for v in variables], *[F.col("firsts")[g].alias(g) for g in spec.globals])
 
 
 def unpack(traj: DataFrame, spec: TrajectorySpec) -> DataFrame:
