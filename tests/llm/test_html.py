@@ -136,7 +136,12 @@ TEMPLATES = {
         f'<nav>{_NAV}</nav><div class="entry body"><h1>Sums</h1><p>{_A} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><p>{_B}</p></div><!-- <p>gone</p> --><style>p{{}}</style><div class="popup"><p>Join us</p></div>',
         ["Sums", _A + " x=1", _B],
     ),
-}
+    "wiki": (f'<div id="mw-head">{_NAV}</div><div id="bodyContent" class="content"><h1>A topic</h1><p>{_A}</p><div class="toc menu"><ul><li><a href="#1">One</a></li><li><a href="#2">Two</a></li></ul></div><h2>One</h2><p>{_B}</p><h2>Two</h2><p>{_A}</p></div><div id="footer" class="footer">Text is free to use</div>', ["A topic",_A,"One",_B,"Two",_A]),
+    "forum": (f'<div class="breadcrumb"><a href="/">Board</a> <a href="/q">Questions</a></div><div class="post body"><h1>How is it done</h1><p>{_A}</p><pre>run it --now</pre><p>{_B}</p></div><div class="comments"><div class="comment">Me too</div><div class="comment"><p>{_A}</p></div></div>', ["How is it done",_A,"run it --now",_B]),
+    "shop": (f'<header class="site-header"><form class="search"><input></form>{_NAV}</header><div class="text description content"><h1>A kettle</h1><p>{_A}</p><ul><li>holds two litres of water</li><li>comes in red, green and blue</li></ul><p>{_B}</p></div><aside class="related"><h3>Others bought</h3>{_NAV}</aside>', ["A kettle",_A,"holds two litres of water","comes in red, green and blue",_B]),
+    "broken": (f'<body><div class=nav>{_NAV}</div><div class=entry><h1>Unclosed</h1><p>{_A}<p>{_B}<script src=/x.js/>var q = "<p>never</p>";</script><p>{_A}</div><div class="social share"><a href=#>Share</a>', ["Unclosed",_A,_B,_A]),
+    "frames": (f'<div class="banner ad"><iframe src=x/><p>fallback</p></iframe>Ad</div><section class="story body"><h1>Framed</h1><p>{_A}</p><noembed>old</noembed><p>{_B}</p></section><nav class="pagination"><a href=1>1</a><a href=2>2</a></nav>', ["Framed",_A,_B]),
+}
 
 
 @pytest.mark.parametrize("name", sorted(TEMPLATES))

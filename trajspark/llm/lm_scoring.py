@@ -510,7 +510,9 @@ def _key(text_col: str):
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
-    """Scores of every row; see the module. A null or empty text is its end alone; repeated rows stay.
+    """Scores of every row; see the module. A null or empty text is its end alone; repeated rows stay, a row without an id is
+    one of the held-out or the training rows by the hash of no id, and an empty table gives no rows. Very long texts are
+    scored whole. No column but the id and the text is read.
 
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``
     (log10 of the text's probability under the model).

@@ -199,7 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_documents(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``id_col``, ``score`` (higher: label 1 likelier) and ``predicted`` of every row, repeats included."""
+    """``id_col``, ``score`` (higher: label 1 likelier) and ``predicted`` of every row, repeats included.
+
+    Null, empty and very long texts are scored like others, whole; ids have no effect, and no other column is read.
+    """
     import pyarrow as pa
 
 

@@ -231,7 +231,8 @@ def scored(stats: DataFrame, model: QualityModel, id_col: str = "doc_id") -> Dat
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, base rules, anomaly score and verdict of every row, repeated ones and those without an id included.
 
-    A null id belongs to no label and is judged like any other; a null or empty text fails the base rules.
+    A null id belongs to no label and is judged like any other; a null or empty text fails the base rules. Very long texts are
+    counted whole; an empty table gives no rows.
     """
     stats = written(rule_statistics(docs, id_col, text_col), "rule-statistics")
     return scored(stats, fit(stats, labels, id_col), id_col)
