@@ -1,7 +1,7 @@
 """Trajectories from the given tables, in the shapes that the operators work on.
 
 ``V``: 16 points on a shared grid, from ``embeddings``. ``O``: ragged and defective ones, from ``orders`` and
-``lineitem``. ``O4``: those of ``O`` with four points, on the grid 1 to 4. ``E``: irregular series, from
+``lineitem``. ``O4``: those of ``O`` that have points, at four places of each, on the grid 1 to 4. ``E``: irregular series, from
 ``events``. ``D``: those of ``V`` with defects of every kind. ``R``: predictions on the test split of ``V``. ``L``: a run log, from ``events``.
 """
 
@@ -112,7 +112,15 @@ def o(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o(spark, sf_dir).where(F.size("t") == 4).withColumn("t", F.array(*[F.lit(float(k)) for k in (1, 2, 3, 4)]))
+    """All orders that have lines, at four evenly spaced places of their lines."""
+    last = F.size("t") - 1
+    places = F.array(F.lit(0), F.floor(last / 3).cast("int"), F.floor(2 * last / 3).cast("int"), last)
+
+    def at_places(s: str):
+        return F.transform(places, lambda k: F.get(s, k))
+
+    rows = o(spark, sf_dir).where("t is not null")
+    return rows.withColumns({s: at_places(s) for s in O4_SPEC.species}).withColumn("t", F.array(*[F.lit(float(k)) for k in (1, 2, 3, 4)]))
 
 
 def e_points(spark: SparkSession, sf_dir: str) -> DataFrame:

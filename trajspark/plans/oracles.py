@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-
 ORACLES: dict[str, str] = {}
 #: Fixed values, written out here once more so that a wrong entry of the library shows: names on each scale, and solar
 #: abundances.
@@ -105,7 +104,9 @@ oc AS (SELECT o.*, agg.*, CASE WHEN k IS NULL THEN 'missing_time' WHEN n < 2 THE
     FROM o LEFT JOIN agg ON o_orderkey = k)
 """
 O4 = f"""{O},
-o4 AS (SELECT *, CASE WHEN {key_hash("use")} >= 0.8 THEN 'unused' WHEN low < 0.001 THEN 'below' ELSE 'kept' END AS fate FROM oc WHERE n = 4),
+o4p AS (SELECT k, min(least(l_quantity, l_extendedprice, l_discount, l_tax)) FILTER (n - 1 IN (0, (m - 1) // 3, 2 * (m - 1) // 3, m - 1)) AS low4
+    FROM (SELECT *, count(*) OVER (PARTITION BY k) AS m FROM lines) GROUP BY k),
+o4 AS (SELECT oc.*, CASE WHEN {key_hash("use")} >= 0.8 THEN 'unused' WHEN low4 < 0.001 THEN 'below' ELSE 'kept' END AS fate FROM oc JOIN o4p ON oc.k = o4p.k),
 o4k AS (SELECT file_id, group_id, {split_of()} AS split FROM o4 WHERE fate = 'kept'),
 o4n AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY {key_hash("order")}, file_id, group_id) - 1) // 100 AS shard FROM o4k)
 """
