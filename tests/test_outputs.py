@@ -117,3 +117,32 @@ def test_update_reads_changed_files_alone(spark, tmp_path):
     rows.where("P > 1000").write.parquet(str(tmp_path / "empty"))
     moments.update(spark, store, [*paths, str(tmp_path / "empty")], fx.V_SPEC)
     assert moments.fresh_files(spark, store, [*paths, str(tmp_path / "empty")])[1] == []
+
+
+def test_prepared_folder_is_opened_with_blank_names(spark, tmp_path):
+    out, v = str(tmp_path / "out"), fx.V_SPEC
+    with pytest.raises(outputs.DoesNotFit, match="not finished"):
+        jobs.open_prepared(spark, out, v.species)
+    jobs.prepare(fx.v(spark, SF), v, out)
+    spec, kept, manifest = jobs.open_prepared(spark, out, v.species)
+    assert spec == v and kept.count() == 326 and set(manifest.methods) == set(v.keys)
+    assert jobs.open_prepared(spark, out, v.species, v.globals, v.time)[0] == v
+    for wrong in ((v.species[::-1],), (v.species, ("T", "P")), (v.species, (), "t"), ((),)):
+        with pytest.raises(ValueError):
+            jobs.open_prepared(spark, out, *wrong)
+
+
+@pytest.mark.parametrize(
+    ("change", "what"),
+    [
+        ({"auto_resume": True}, "unknown settings: .*auto_resume"), ({"target_species": ["a"]}, "unknown settings"), ({"species": []}, "at least one species"), ({"species": ["P"]}, "names must differ"),
+        ({"val_fraction": 0.0}, "above 0"), ({"val_fraction": 0.6, "test_fraction": 0.4}, "training split"), ({"use_fraction": 0.0}, "use_fraction"), ({"use_fraction": 1.5}, "use_fraction"),
+        ({"min_steps": 0}, "min_steps"), ({"min_steps": 9}, "max_steps"), ({"min_std": 0.0}, "min_std"), ({"epsilon": -1.0}, "epsilon"), ({"trajectories_per_shard": 0}, "trajectories_per_shard"),
+        ({"dt_method": "standard"}, "log-min-max"), ({"value_dtype": "bf16"}, "dtypes"), ({"time_dtype": "int8"}, "dtypes"), ({"default_method": "none"}, "unknown methods"), ({"methods": {"x": "standard"}}, "unknown names"),
+    ],
+)
+def test_wrong_settings_fail_at_once(change, what):
+    good = outputs.settings_of(fx.V_SPEC)
+    assert type(fx.V_SPEC).from_settings(good) == fx.V_SPEC
+    with pytest.raises(ValueError, match=what):
+        type(fx.V_SPEC).from_settings(good | change | ({"methods": {}} if "species" in change else {}))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from trajspark.functions.hashing import split_name
 from trajspark.operators import evaluate, pairs, reports, score, stats, validate
 from trajspark.operators.normalize import Manifest
+from trajspark.operators.schema_diff import resolved_names
 from trajspark.sources import outputs, shards
+from trajspark.sources.scratch import written
 from trajspark.sources.trajectories import KEY
 from trajspark.spec import TrajectorySpec
 
@@ -69,6 +71,16 @@ def prepare(traj: DataFrame, spec: TrajectorySpec, out: str, reuse: bool = False
     return {**json.loads(outputs.read_text(spark, f"{out}/report")), "outcome": outcome}
 
 
+def open_prepared(spark: SparkSession, out: str, species: Sequence[str], globals_: Sequence[str] = (), time: str | None = None) -> tuple[TrajectorySpec, DataFrame, Manifest]:
+    """The settings, kept trajectories and manifest of a finished ``prepare``.
+
+    Names that are given must be those of the result, in its order; globals and time may be left blank.
+    """
+    spec = TrajectorySpec.from_settings(outputs.made_with(spark, out))
+    resolved_names(spark, species, globals_, time, {"species": spec.species, "globals": spec.globals, "time": spec.time})
+    return spec, spark.read.parquet(f"{out}/kept"), read_manifest(spark, f"{out}/manifest")
+
+
 def make_pairs(kept: DataFrame, spec: TrajectorySpec, manifest: Manifest, draws: int = 4, targets: int = 2, epoch: int = 0) -> DataFrame:
     """Normalized training pairs of one split: ``y_i``, ``y_j``, ``g`` and ``dt_norm`` in double precision."""
 
@@ -82,12 +94,12 @@ def make_pairs(kept: DataFrame, spec: TrajectorySpec, manifest: Manifest, draws:
 
 
 def evaluation(kept: DataFrame, spec: TrajectorySpec, predict: score.Predict, queries: int = 10, k: int = 4, accuracy: int | None = None) -> dict[str, DataFrame]:
-    """Score query points of the test split and report: ``summary``, ``relative``, ``peaks`` and the ``worst``.
+    """Score query points of the test split, once, and report: ``summary``, ``relative``, ``peaks`` and the ``worst``.
 
     Percentiles are exact; ``accuracy`` makes them approximate, within ``1 / accuracy`` of their ranks.
     """
     test = kept.where("split = 'test'")
-    points = evaluate.error_points(score.score(pairs.query_points(test, spec, queries), predict), spec)
+    points = written(evaluate.error_points(score.score(pairs.query_points(test, spec, queries), predict), spec), "scored-points")
     peaks = evaluate.peak_errors(points)
     return {
         "summary": evaluate.error_summary(points, accuracy=accuracy),

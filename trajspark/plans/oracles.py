@@ -330,6 +330,7 @@ ORACLES["reuse_outcomes"] = f"WITH {V}, {_LOW} " + " UNION ALL ".join(
         ("overwrite", "replaced", 0.001, 10), ("other setting overwritten", "replaced", 0.002, 10), ("half", "unfinished", 0.002, 10),
     )
 )
+ORACLES["prepared_globals"] = ORACLES["normalize_globals"]
 ORACLES["stored_statistics"] = f"WITH {V} " + " UNION ALL ".join(
     f"SELECT '{step}' AS step, '{SPECIES[n]}' AS key, count(*) AS n, {r(f'avg(s{n})', 9)} AS mean, {r(f'min(s{n})', 9)} AS min, {r(f'max(s{n})', 9)} AS max, {r(f'stddev_pop(s{n})', 9)} AS std FROM vt WHERE split = 'train' AND ({where})"
     for step, where in (("first", "p <= 7"), ("same", "p <= 7"), ("added", "true"), ("changed", "p <= 5 OR p > 7"), ("removed", "p = 5 OR p > 7"))

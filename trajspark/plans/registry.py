@@ -579,6 +579,15 @@ def reuse_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(*found)
 
 
+@query
+def prepared_globals(spark: SparkSession, sf: str) -> DataFrame:
+    """A prepared folder opened with the species' names alone, and its globals normalized by its manifest."""
+    out = scratch_path(spark, "prepared")
+    jobs.prepare(fx.v(spark, sf), V, out)
+    spec, kept, manifest = jobs.open_prepared(spark, out, V.species)
+    return normalized(kept, spec, manifest).select(*KEY, F.round("P", 8).alias("p_norm"), F.round("T", 8).alias("t_norm"))
+
+
 @query
 def stored_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Training statistics after files came, changed and went; each update reads what changed and nothing else."""

@@ -24,10 +24,7 @@ SCHEMA = f"{outputs.FILES}, key string, n long, mean double, m2 double, min doub
 
 def _versions(spark: SparkSession, store: str) -> list[int]:
     """Numbers of the complete versions."""
-    if outputs.is_empty(spark, store):
-        return []
-    fs, p = outputs._fs(spark, store)
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    names = outputs.names_in(spark, store)
     return sorted(int(n.removeprefix("v")) for n in names if n.startswith("v") and outputs.exists(spark, f"{store}/{n}/_SUCCESS"))
 
 

@@ -35,8 +35,7 @@ def _fs(spark: SparkSession, path: str) -> tuple:
 
 def is_empty(spark: SparkSession, path: str) -> bool:
     """Whether there is no such folder, or nothing in it."""
-    fs, p = _fs(spark, path)
-    return not fs.exists(p) or len(fs.listStatus(p)) == 0
+    return not names_in(spark, path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -44,6 +43,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none where there is no such folder."""
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def removed(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
@@ -83,6 +88,13 @@ def commit(spark: SparkSession, out: str, settings: dict, files: DataFrame) -> N
     write_text(spark, f"{out}/commit", json.dumps({"settings": settings, "inputs": _digest(stored)}, sort_keys=True))
 
 
+def made_with(spark: SparkSession, out: str) -> dict:
+    """The settings of a finished result."""
+    if not exists(spark, f"{out}/commit/_SUCCESS"):
+        raise DoesNotFit("unfinished", f"{out} was not finished")
+    return json.loads(read_text(spark, f"{out}/commit"))["settings"]
+
+
 def changed_files(before: DataFrame, now: DataFrame) -> DataFrame:
     """``path`` and ``change``: ``added``, ``removed`` or ``changed``."""
     a, b = (df.select("path", F.struct("length", "modified").alias(n)) for df, n in ((before, "a"), (now, "b")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import types as T
 
@@ -56,6 +56,14 @@ class TrajectorySpec:
         wrong = sorted({m for m in (self.default_method, *self.methods.values()) if m not in METHODS})
         check(not wrong, f"unknown methods: {wrong}")
 
+    @classmethod
+    def from_settings(cls, settings: dict) -> TrajectorySpec:
+        """From plain values, as JSON has them; settings that there are not, or not any more, are an error."""
+        unknown = sorted(set(settings) - {f.name for f in fields(cls)})
+        if unknown:
+            raise ValueError(f"unknown settings: {unknown}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})
+
     @property
     def keys(self) -> list[str]:
         """Species, globals, time, each once."""
