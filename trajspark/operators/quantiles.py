@@ -65,8 +65,10 @@ def exact_quantiles(rows: DataFrame, values: dict[str, Column], quantiles: Seque
     group = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
     long = rows.select(group.alias("g"), F.inline(points)).where("x is not null")
     keys = written(long.select("g", "name", ordered_bits("x").alias("key")), "quantile-keys")
-    sizes = written(keys.groupBy("g", "name").agg(F.count(F.lit(1)).alias("n")), "quantile-sizes")
-    small = sizes.count() <= MAX_BROADCAST
+    sizes = keys.groupBy("g", "name").agg(F.count(F.lit(1)).alias("n"))
+    few = sizes.limit(MAX_BROADCAST + 1).collect()
+    small = len(few) <= MAX_BROADCAST
+    sizes = rows.sparkSession.createDataFrame(few, sizes.schema) if small else written(sizes, "quantile-sizes")
     wanted = F.array(*[F.lit(float(q)) for q in quantiles])
     place = lambda q: q * (F.col("n") - 1).cast("double")
     ranks = F.array_distinct(F.flatten(F.transform(wanted, lambda q: F.array(F.floor(place(q)), F.ceil(place(q))))))
