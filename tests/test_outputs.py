@@ -103,20 +103,23 @@ def test_update_reads_changed_files_alone(spark, tmp_path):
         rows.where(F.col("P") % 3 == k - 1).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
     paths = [str(tmp_path / f"in{k}") for k in (1, 2, 3)]
     moments.update(spark, store, paths[:2], fx.V_SPEC)
-    assert moments.fresh_files(spark, store, paths[:2])[1] == []
-    fresh = moments.fresh_files(spark, store, paths)[1]
+    folder = moments.folder_of(store, fx.V_SPEC)
+    assert moments.fresh_files(spark, folder, paths[:2])[1] == []
+    other = moments.folder_of(store, type(fx.V_SPEC)(**{**fx.V_SPEC.__dict__, "seed": 1}))
+    assert len(moments.fresh_files(spark, other, paths[:2])[1]) == 2
+    fresh = moments.fresh_files(spark, folder, paths)[1]
     assert len(fresh) == 1 and "/in3/" in fresh[0]
     assert all("/in3/" in f for f in moments.partials_of(spark, fresh, fx.V_SPEC).inputFiles())
     merged = {r.key: r for r in moments.update(spark, store, paths, fx.V_SPEC).collect()}
     again = stats.merge_statistics(stats.partial_statistics(fx.kept(read_trajectories(spark, paths, fx.V_SPEC), fx.V_SPEC).where("split = 'train'"), fx.V_SPEC))
     for r in again.collect():
         assert merged[r.key].n == r.n and merged[r.key].mean == pytest.approx(r["mean"]) and merged[r.key].std == pytest.approx(r["std"])
-    versions = moments._versions(spark, store)
+    versions = moments._versions(spark, folder)
     moments.update(spark, store, paths, fx.V_SPEC)
-    assert moments._versions(spark, store) == versions == [1, 2]
+    assert moments._versions(spark, folder) == versions == [1, 2]
     rows.where("P > 1000").write.parquet(str(tmp_path / "empty"))
     moments.update(spark, store, [*paths, str(tmp_path / "empty")], fx.V_SPEC)
-    assert moments.fresh_files(spark, store, [*paths, str(tmp_path / "empty")])[1] == []
+    assert moments.fresh_files(spark, folder, [*paths, str(tmp_path / "empty")])[1] == []
 
 
 def test_prepared_folder_is_opened_with_blank_names(spark, tmp_path):
