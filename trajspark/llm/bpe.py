@@ -42,6 +42,8 @@ from trajspark.llm.common import bounded
 LONG, LEAF = 512, 256
 #: Characters above which a text is encoded as a tree, and of a leaf.
 LONG_TEXT, LEAF_TEXT = 8192, 4096
+#: Characters in which a cut looks for a word.
+NEAR = 64
 #: Tokens of the first window on each side of a join, and tokens that have to agree on each side.
 WINDOW, AGREE = 8, 2
 #: Stretches in the memo, and the longest that it holds.
@@ -65,12 +67,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def _halved(n: int) -> list[tuple[int, int]]:
-    """Places of the leaves of a text of ``n`` characters: one, or halves of halves."""
-    cuts = [(0, n)]
-    while n > LONG_TEXT and cuts[0][1] - cuts[0][0] > LEAF_TEXT:
-        cuts = [half for b, e in cuts for half in ((b, (b + e) // 2), ((b + e) // 2, e))]
-    return cuts
+def _halved(text: str) -> list[tuple[int, int]]:
+    """Places of a text's leaves: one, or halves of halves. Cuts fall inside words where there is one near, since leaves that
+    begin or end with white space take longer."""
+    if len(text) <= LONG_TEXT:
+        return [(0, len(text))]
+    parts = 1 << (-(-len(text) // LEAF_TEXT) - 1).bit_length()
+    cuts = [0]
+    for k in range(1, parts):
+        at = max(cuts[-1] + 1, len(text) * k // parts)
+        near = next((x for x in range(at, min(at + NEAR, len(text))) if not text[x - 1].isspace() and not text[x].isspace()), at)
+        if near < len(text):
+            cuts.append(near)
+    return list(zip(cuts, [*cuts[1:], len(text)], strict=True))
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> int:
@@ -285,32 +294,40 @@ class Codec:
         """Ids of each whole text; a null text has none."""
         if not self.by_stretch:
             return [self._encode_long(t or "") for t in texts]
-        cuts = [_halved(len(t or "")) for t in texts]
+        cuts = [_halved(t or "") for t in texts]
         leaves = [t[b:e] if t and len(own) > 1 else t for t, own in zip(texts, cuts, strict=True) for b, e in own]
         ids = iter(self._encode_texts(leaves))
-        return [self._concatenated(t, [next(ids) for _ in own]) if len(own) > 1 else next(ids) for t, own in zip(texts, cuts, strict=True)]
+        nodes = [[next(ids) for _ in own] for own in cuts]
+        self._concatenate(texts, nodes)
+        return [own[0] for own in nodes]
 
     # -- trees over whole texts ------------------------------------------------------------------
 
-    def _concatenated(self, text: str, nodes: list[np.ndarray]) -> np.ndarray:
-        """Ids of a text from those of its leaves, in order."""
-        raw = text.encode()
-        while len(nodes) > 1:
-            ends = np.cumsum([int(self.widths[x].sum()) for x in nodes]).tolist()
-            begins = [0, *ends[:-1]]
-            pairs = [(begins[k], ends[k], ends[k + 1], nodes[k], nodes[k + 1]) for k in range(0, len(nodes) - 1, 2)]
-            nodes = self._seams(raw, pairs) + ([nodes[-1]] if len(nodes) % 2 else [])
-        return nodes[0]
-
-    def _seams(self, raw: bytes, pairs: list) -> list[np.ndarray]:
-        """Join neighbours (begin, middle and end in bytes, left and right ids); all windows of a round go to the library together."""
+    def _concatenate(self, texts: Sequence[str | None], nodes: list[list[np.ndarray]]) -> None:
+        """Join the leaves of each text until one is left; all texts' joins of a level are made together."""
+        todo = {k: texts[k].encode() for k, own in enumerate(nodes) if len(own) > 1}
+        while todo:
+            pairs = []
+            for k, raw in todo.items():
+                ends = np.cumsum([int(self.widths[x].sum()) for x in nodes[k]]).tolist()
+                begins = [0, *ends[:-1]]
+                pairs += [(raw, begins[n], ends[n], ends[n + 1], nodes[k][n], nodes[k][n + 1]) for n in range(0, len(ends) - 1, 2)]
+            joined = iter(self._seams(pairs))
+            for k in list(todo):
+                own = nodes[k]
+                nodes[k] = [next(joined) for _ in range(len(own) // 2)] + own[len(own) // 2 * 2 :]
+                if len(nodes[k]) == 1:
+                    del todo[k]
+
+    def _seams(self, pairs: list) -> list[np.ndarray]:
+        """Join neighbours (text, begin, middle and end in bytes, left and right ids); all windows of a round go to the library together."""
         out: list = [None] * len(pairs)
         width = dict.fromkeys(range(len(pairs)), WINDOW)
         while width:
-            spans = {k: (*self._before(raw, pairs[k], w), *self._behind(raw, pairs[k], w)) for k, w in width.items()}
-            encoded = self.library.encode_batch_fast([raw[b:e].decode() for _, b, _, e in spans.values()], add_special_tokens=False)
+            spans = {k: (*self._before(pairs[k], w), *self._behind(pairs[k], w)) for k, w in width.items()}
+            encoded = self.library.encode_batch_fast([pairs[k][0][b:e].decode() for k, (_, b, _, e) in spans.items()], add_special_tokens=False)
             for (k, (n, b, m, e)), found in zip(spans.items(), encoded, strict=True):
-                begin, _, end, left, right = pairs[k]
+                raw, begin, _, end, left, right = pairs[k]
                 ids = np.array(found.ids, np.uint32)
                 starts = b + np.concatenate([[0], np.cumsum(self.widths[ids])[:-1]]) if len(ids) else np.zeros(0, np.int64)
                 same = min(len(ids), n)
@@ -327,9 +344,9 @@ class Codec:
                     width[k] *= 2
         return out
 
-    def _before(self, raw: bytes, pair: tuple, w: int) -> tuple[int, int]:
+    def _before(self, pair: tuple, w: int) -> tuple[int, int]:
         """How many of the left side's tokens a window takes, ``w`` or some more, and where it begins: at a whole character."""
-        begin, middle, _, left, _ = pair
+        raw, begin, middle, _, left, _ = pair
         n = min(w, len(left))
         at = middle - int(self.widths[left[len(left) - n :]].sum())
         while at > begin and raw[at] & 0xC0 == 0x80:
@@ -337,8 +354,8 @@ class Codec:
             at -= int(self.widths[left[len(left) - n]])
         return n, at
 
-    def _behind(self, raw: bytes, pair: tuple, w: int) -> tuple[int, int]:
-        _, middle, end, _, right = pair
+    def _behind(self, pair: tuple, w: int) -> tuple[int, int]:
+        raw, _, middle, end, _, right = pair
         m = min(w, len(right))
         at = middle + int(self.widths[right[:m]].sum())
         while at < end and raw[at] & 0xC0 == 0x80:
