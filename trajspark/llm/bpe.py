@@ -27,6 +27,7 @@ import functools
 import hashlib
 import itertools
 import json
+import os
 import re
 import string
 from array import array
@@ -100,12 +101,18 @@ def _parts(raw: bytes, at: int) -> bool:
     return not raw[b:at].decode().isspace() and not raw[at + 1 : e].decode().isspace()
 
 
+def _threads(on: bool) -> None:
+    """Whether the library encodes a batch on several threads; Spark gives a task one core, and short texts do not gain."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if on else "false"
+
+
 class Codec:
     """Encodes and decodes as the tokenizers library does, without adding special tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        _threads(False)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -158,7 +165,9 @@ class Codec:
         cuts = [(0, len(stretch))]
         while any(e - b > LEAF for b, e in cuts):
             cuts = [c for b, e in cuts for c in (((b, (b + e) // 2), ((b + e) // 2, e)) if e - b > LEAF else ((b, e),))]
+        _threads(True)
         nodes = list(zip(cuts, self._encode_unsplit([stretch[b:e] for b, e in cuts]), strict=True))
+        _threads(False)
         while len(nodes) > 1:
             pairs = [nodes[k : k + 2] for k in range(0, len(nodes), 2)]
             joined = self._join_all(stretch, [p for p in pairs if len(p) == 2])
