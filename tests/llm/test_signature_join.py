@@ -135,3 +135,71 @@ def test_empty_table_and_text_ids(spark):
     assert j.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([("b", "one two three four"), ("a", "ONE two three four"), ("c", None)], "k string, body string")
     assert rows_of(j.jaccard_components(df, "k", "body")) == [("a", 1, "a"), ("b", 1, "a"), ("c", 0, "c")]
+
+
+def near_misses(seed, members=120, size=200):
+    """Sets of one group around the threshold: most pairs may link by their bitmaps, few of them do."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    base = draw(size)
+    sets = [np.unique(np.where(rng.random(size) < p, draw(size), base)) for p in rng.uniform(0.035, 0.065, members)]
+    return sets, np.array(list(map(len, sets))), list(map(j.bitmap, sets))
+
+
+@pytest.mark.parametrize("held", [0, 40, 120])
+def test_a_second_round_makes_fewer_rows_than_members(held):
+    sets, n, bits = near_misses(3)
+    pairs = itertools.combinations(range(len(sets)), 2)
+    real = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    every = list(j.group_pairs(n, bits, np.arange(len(sets))))
+    assert len(every) > 10 * len(sets) and len(real) < len(every) // 2
+    found = list(j.group_links(n, bits, np.arange(len(sets)), [s if k < held else None for k, s in enumerate(sets)]))
+    linked = [(min(p), max(p)) for *p, yes in found if yes]
+    undecided = {(min(p), max(p)) for *p, yes in found if not yes}
+    assert set(linked) <= real and len(linked) < len(sets) and all(max(p) >= held for p in undecided)
+    top = list(range(len(sets)))
+    for a, b in linked:
+        top = [top[a] if x == top[b] else x for x in top]
+    assert all(top[a] == top[b] or (a, b) in undecided for a, b in real)
+    if held == len(sets):
+        assert not undecided and len(linked) > 20
+
+
+@pytest.mark.parametrize("most", [0, 30_000, j.HELD])
+def test_links_of_groups_with_sets_that_are_not_held(spark, most):
+    sets, n, bits = near_misses(4, members=40)
+    rows = [(g, k, int(n[k]), bytes(bits[k]), k, sets[k].view(np.int64).tolist()) for g in (1, 2) for k in range(len(sets) - 20 * (g - 1))]
+    df = spark.createDataFrame(rows, "gid bigint, `set` bigint, n bigint, bits binary, label bigint, hashes array<bigint>").repartition(3)
+    got = [tuple(r) for r in j.links_of(df, 85, most).collect()]
+    both = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+    assert got and all(a < b and (not yes or both(a, b)) for a, b, yes in got)
+    top = list(range(len(sets)))
+    for a, b, yes in got:
+        if yes or both(a, b):
+            top = [top[a] if x == top[b] else x for x in top]
+    assert all(top[a] == top[b] for a, b in itertools.combinations(range(len(sets)), 2) if both(a, b))
+    if most == j.HELD:
+        assert all(yes for *_, yes in got) and len(got) < len(rows)
+    else:
+        assert not all(yes for *_, yes in got)
+
+
+@pytest.mark.parametrize("held", [0, 2000, j.HELD])
+def test_as_brute_force_with_sets_that_are_not_held(spark, held):
+    docs = corpus(4)
+    assert rows_of(j.jaccard_components(spark.createDataFrame(docs, SCHEMA), part=4, held=held)) == brute(docs)
+
+
+def test_clusters_hold_every_pair_of_their_group():
+    sets, n, bits = near_misses(5, members=60)
+    labels = np.arange(len(sets)) // 3
+    clusters = j.group_clusters(n, bits, labels)
+    of = {int(k): c for c, own in enumerate(clusters) for k in own}
+    pairs = list(j.group_pairs(n, bits, labels))
+    assert pairs and all(of[a] == of[b] for a, b in pairs) and set(of) == {k for p in pairs for k in p}
+
+
+def test_as_brute_force_with_large_clusters(spark, monkeypatch):
+    monkeypatch.setattr(j, "SMALL", 1)
+    docs = corpus(6)
+    assert rows_of(j.jaccard_components(spark.createDataFrame(docs, SCHEMA), part=4)) == brute(docs)

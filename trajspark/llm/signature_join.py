@@ -12,7 +12,9 @@
    are joined already are left out, so a group of copies yields as many candidates as members, not as pairs.
 4. Candidates are decided on the whole sets, and components follow from the links.
 5. In a second round, groups that had a wrong candidate or are in several parts are traversed again, now
-   leaving out only pairs that real links have joined. So no link between different components is missed.
+   leaving out only pairs that real links have joined. So no link between different components is missed. Members with
+   a possible partner form clusters. A large cluster gets their whole sets: candidates are decided where they are found, and
+   it yields fewer rows than members. A small one yields its pairs, at most ``SMALL / 2`` for each member.
 """
 
 from __future__ import annotations
@@ -37,6 +39,11 @@ BITS_EACH, MOST_BITS = 4, 1 << 17
 #: Most hashes that are broadcast to find the signatures of members and the texts of candidates (8 bytes each); more are
 #: joined by a shuffle.
 MAX_BROADCAST = 1_000_000
+#: Most members of a cluster whose pairs leave undecided; larger ones get the whole sets.
+SMALL = 64
+#: Most bytes of whole sets that a group holds in the second round, smaller sets first. Pairs with a set beyond are not decided
+#: there but on the whole sets afterwards.
+HELD = 64 << 20
 #: Most sets that a task remembers, so that it sends copies once.
 SEEN = 500_000
 
@@ -240,11 +247,13 @@ def groups(tokens: DataFrame, percent: int = PERCENT, part: int = PART) -> DataF
 class Tree:
     """Signatures of a group in the order of size. Level 0 has the members, each level above a node for ``FANOUT`` below."""
 
-    def __init__(self, sizes: np.ndarray, bits: list[bytes], labels: np.ndarray):
+    def __init__(self, sizes: np.ndarray, bits: list[bytes], labels: np.ndarray, sets: list[np.ndarray | None] | None = None):
         words = min(map(len, bits)) // 8
         rows = np.array([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0) for b in bits])
         slack = sizes - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
         self.labels = labels
+        #: Whole sets by which pairs are decided; None for one that is not held.
+        self.sets = sets
         #: For each level the smallest and largest size, the bitmaps, and how many shingles at most share a bit with another.
         self.levels = [(sizes, sizes, rows, slack)]
         while len(self.levels[-1][0]) > 1:
@@ -283,6 +292,49 @@ class Tree:
 
     def pairs(self, percent: int, spanning: bool) -> Iterator[tuple[int, int]]:
         """Members that may link. ``spanning``: a pair that is found counts as joined from then on."""
+        for i, j in self._leaves(percent):
+            if not spanning:
+                yield from zip(i.tolist(), j.tolist(), strict=True)
+            else:
+                changed = len(i)
+                while len(i):
+                    yield int(i[0]), int(j[0])
+                    self.labels[self.labels == self.labels[j[0]]] = self.labels[i[0]]
+                    apart = self.labels[i] != self.labels[j]
+                    i, j = i[apart], j[apart]
+                if changed and len(self.levels) > 2:
+                    self.relabel()
+
+    def links(self, percent: int) -> Iterator[tuple[int, int, bool]]:
+        """Members that link by their whole sets, and those that may link where a set is not held; the last value tells which.
+
+        A link counts as joined from then on, an undecided pair does not.
+        """
+        for i, j in self._leaves(percent):
+            changed = False
+            for k in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
+                for found in self._decided(int(i[k[0]]), j[k], percent):
+                    changed |= found[2]
+                    yield found
+            if changed and len(self.levels) > 2:
+                self.relabel()
+
+    def _decided(self, i: int, others: np.ndarray, percent: int) -> Iterator[tuple[int, int, bool]]:
+        """Links of one member with others that have another label, and undecided pairs."""
+        others, own, sizes = others[self.labels[others] != self.labels[i]], self.sets[i], self.levels[0][0]
+        held = [j for j in others.tolist() if own is not None and self.sets[j] is not None]
+        yield from ((i, j, False) for j in others.tolist() if own is None or self.sets[j] is None)
+        if held:
+            flat = np.concatenate([self.sets[j] for j in held])
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(hit, np.cumsum([0, *(len(self.sets[j]) for j in held[:-1])]), dtype=np.int64)
+            for j in np.array(held)[(100 + percent) * common >= percent * (sizes[i] + sizes[held])].tolist():
+                if self.labels[j] != self.labels[i]:
+                    self.labels[self.labels == self.labels[j]] = self.labels[i]
+                    yield i, j, True
+
+    def _leaves(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Members that may link and have different labels when they are reached."""
         top = len(self.levels) - 1
         todo = [(top, np.array([0]), np.array([0]))] if top else []
         while todo:
@@ -292,30 +344,82 @@ class Tree:
             if level:
                 for k in range(0, len(i), OPENED):
                     todo.append((level - 1, *self.children(level, i[k : k + OPENED], j[k : k + OPENED])))
-            elif not spanning:
-                yield from zip(i.tolist(), j.tolist(), strict=True)
             else:
-                changed = len(i)
-                while len(i):
-                    yield int(i[0]), int(j[0])
-                    self.labels[self.labels == self.labels[j[0]]] = self.labels[i[0]]
-                    apart = self.labels[i] != self.labels[j]
-                    i, j = i[apart], j[apart]
-                if changed and top > 1:
-                    self.relabel()
+                yield i, j
 
 
-def group_pairs(sizes: np.ndarray, bits: list[bytes], labels: np.ndarray, percent: int = PERCENT, spanning: bool = False) -> Iterator[tuple[int, int]]:
-    """Pairs of places in a group whose sets may link. Sizes with a gap that no link crosses are in trees of their own."""
+def _runs(sizes: np.ndarray, labels: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Places of a group in the order of size; sizes with a gap that no link crosses are in runs, and trees, of their own."""
     order = np.lexsort((labels, sizes))
     s = sizes[order]
-    for run in np.split(order, np.flatnonzero(100 * s[:-1] < percent * s[1:]) + 1):
-        if len(run) > 1:
-            for i, j in Tree(sizes[run], [bits[k] for k in run], labels[run]).pairs(percent, spanning):
-                yield int(run[i]), int(run[j])
+    yield from (run for run in np.split(order, np.flatnonzero(100 * s[:-1] < percent * s[1:]) + 1) if len(run) > 1)
+
+
+def group_pairs(sizes: np.ndarray, bits: list[bytes], labels: np.ndarray, percent: int = PERCENT, spanning: bool = False) -> Iterator[tuple[int, int]]:
+    """Pairs of places in a group whose sets may link."""
+    for run in _runs(sizes, labels, percent):
+        for i, j in Tree(sizes[run], [bits[k] for k in run], labels[run]).pairs(percent, spanning):
+            yield int(run[i]), int(run[j])
+
+
+def group_links(
+    sizes: np.ndarray, bits: list[bytes], labels: np.ndarray, sets: list[np.ndarray | None], percent: int = PERCENT
+) -> Iterator[tuple[int, int, bool]]:
+    """Pairs of places in a group that link, fewer than members, and pairs that may link where a set is None (not held)."""
+    for run in _runs(sizes, labels, percent):
+        for i, j, linked in Tree(sizes[run], [bits[k] for k in run], labels[run], [sets[k] for k in run]).links(percent):
+            yield int(run[i]), int(run[j]), linked
+
+
+def group_clusters(sizes: np.ndarray, bits: list[bytes], labels: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
+    """Places in a group that are joined by pairs that may link with another label; others are left out."""
+    cluster = np.arange(len(sizes))
+    for run in _runs(sizes, labels, percent):
+        for i, j in Tree(sizes[run], [bits[k] for k in run], labels[run])._leaves(percent):
+            i, j = run[i], run[j]
+            while len(i := i[apart := cluster[i] != cluster[j]]):
+                j = j[apart]
+                cluster[cluster == cluster[j[0]]] = cluster[i[0]]
+    order = cluster.argsort(kind="stable")
+    return [x for x in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1) if len(x) > 1]
+
+
+def open_members(members: DataFrame, percent: int) -> DataFrame:
+    """``gid``, ``set``, ``label``, ``large`` of the members of each cluster in a group; ``members`` as for ``candidates``.
+
+    Clusters with equal members, of whatever groups, have equal ids and leave once.
+    """
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    def run(batches):
+        gid, held = None, []
 
+        def packed():
+            sets, n, bits, label = zip(*held, strict=True)
+            sets, label = np.array(sets), np.array(label)
+            for own in group_clusters(np.array(n), list(bits), label, percent) if len(held) > 1 else ():
+                own = own[sets[own].argsort()]
+                name = np.uint64(xxh64_intdigest(sets[own].tobytes())).view(np.int64)
+                columns = [np.full(len(own), name), sets[own], label[own], np.full(len(own), len(own) > SMALL)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["gid", "set", "label", "large"])
 
-def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
+        for batch in batches:
+            for g, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if g != gid:
+                    if held:
+                        yield from packed()
+                    gid, held = g, []
+                if not held or held[-1][0] != row[0]:
+                    held.append(row)
+        if held:
+            yield from packed()
+
+    dealt = members.select("gid", "set", "n", "bits", "label").repartition("gid").sortWithinPartitions("gid", "set")
+    return dealt.mapInArrow(run, "gid bigint, `set` bigint, label bigint, large boolean").dropDuplicates(["gid", "set"])
+
+
+def candidates(members: DataFrame, percent: int) -> DataFrame:
     """``gid``, ``a``, ``b`` (a < b) of the pairs that the trees leave; ``members`` has ``gid``, ``set``, ``n``, ``bits``, ``label``."""
     import pyarrow as pa
 
@@ -325,7 +429,7 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
         def pairs():
             sets, n, bits, label = zip(*held, strict=True)
             if len(held) > 1:
-                for i, j in group_pairs(np.array(n), list(bits), np.array(label), percent, spanning):
+                for i, j in group_pairs(np.array(n), list(bits), np.array(label), percent, spanning=True):
                     yield gid, min(sets[i], sets[j]), max(sets[i], sets[j])
 
         def packed(found):
@@ -350,6 +454,46 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return dealt.mapInArrow(run, "gid bigint, a bigint, b bigint")
 
 
+def links_of(members: DataFrame, percent: int, most: int = HELD) -> DataFrame:
+    """``a``, ``b`` (a < b), ``linked`` of links that join each group's labels, and of undecided pairs (not linked).
+
+    ``members`` has ``gid``, ``set``, ``n``, ``bits``, ``label``, ``hashes`` (the whole set, or null). A group holds at most ``most``
+    bytes of whole sets.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        gid, held, room = None, [], most
+
+        def pairs():
+            names, n, bits, label, sets = zip(*held, strict=True)
+            if len(held) > 1:
+                for i, j, linked in group_links(np.array(n), list(bits), np.array(label), list(sets), percent):
+                    yield min(names[i], names[j]), max(names[i], names[j]), linked
+
+        def packed():
+            for part in iter(lambda it=pairs(): list(itertools.islice(it, 65536)), []):
+                a, b, linked = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked)], ["a", "b", "linked"])
+
+        for batch in batches:
+            flat, ends, there = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy(), batch.column(5).is_valid().to_pylist()
+            for k, (g, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
+                if g != gid:
+                    if held:
+                        yield from packed()
+                    gid, held, room = g, [], most
+                if not held or held[-1][0] != row[0]:
+                    size = 8 * row[1] if there[k] else 0
+                    held.append((*row, flat[ends[k] : ends[k + 1]].view(np.uint64).copy() if there[k] and size <= room else None))
+                    room -= min(size, room)
+        if held:
+            yield from packed()
+
+    dealt = members.select("gid", "set", "n", "bits", "label", "hashes").repartition("gid").sortWithinPartitions("gid", "n", "set")
+    return dealt.mapInArrow(run, "a bigint, b bigint, linked boolean")
+
+
 # -- the join ----------------------------------------------------------------------------------------
 
 
@@ -380,11 +524,15 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, size: int) -> Da
     return found.groupBy("set").agg(F.first("hashes").alias("hashes"))
 
 
+def _whole_sets(docs: DataFrame, text_col: str, names: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """``set`` and ``hashes`` of the sets in ``names``."""
+    wanted = written(sets.join(names.distinct(), "set").groupBy("set").agg(F.min("text_key").alias("text_key")), "candidate-sets")
+    return written(_sets_of(docs, text_col, wanted, size), "candidate-hashes")
+
+
 def _decided(docs: DataFrame, text_col: str, pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """``a``, ``b``, ``linked`` of distinct pairs, by the whole sets."""
-    either = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    wanted = written(sets.join(either, "set").groupBy("set").agg(F.min("text_key").alias("text_key")), "candidate-sets")
-    hashes = written(_sets_of(docs, text_col, wanted, size), "candidate-hashes")
+    hashes = _whole_sets(docs, text_col, pairs.select(F.col("a").alias("set")).union(pairs.select("b")), sets, size)
     left, right = (hashes.select(F.col("set").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     overlap = F.size(F.array_intersect("ha", "hb")).cast("long")
@@ -393,7 +541,7 @@ def _decided(docs: DataFrame, text_col: str, pairs: DataFrame, sets: DataFrame,
 
 
 def _second_members(found: DataFrame, again: DataFrame, roots: DataFrame, part: int) -> DataFrame:
-    """``gid``, ``set``, ``label`` of the groups to traverse again.
+    """``gid``, ``set``, ``label`` of the groups to traverse again that are not one component.
 
     Groups in one part as they are. Of groups in several parts, members outside the component that most of them
     belong to meet the members of every part: two members of different components include one such member.
@@ -401,6 +549,8 @@ def _second_members(found: DataFrame, again: DataFrame, roots: DataFrame, part:
     rows = found.select("gid", "token", "many", F.explode("members").alias("set"))
     labelled = rows.join(roots, rows["set"] == roots["node"], "left").withColumn("label", F.coalesce("root", "set")).drop("node", "root")
     single = labelled.where("not many").join(again, "gid", "left_semi").select("gid", "set", "label")
+    open_ones = single.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    single = single.join(open_ones, "gid", "left_semi")
     many = labelled.where("many")
     counts = many.groupBy("token", "label").agg(F.count_distinct("set").alias("n"))
     heads = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("head"), (F.sum("n") - F.max("n")).alias("others"))
@@ -415,7 +565,14 @@ def _second_members(found: DataFrame, again: DataFrame, roots: DataFrame, part:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, part: int = PART, cells: int = CELLS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SIZE,
+    percent: int = PERCENT,
+    part: int = PART,
+    cells: int = CELLS,
+    held: int = HELD,
 ) -> DataFrame:
     """Set size and component of every row, over all links between sets of a similarity of ``percent`` or more.
 
@@ -436,17 +593,24 @@ def jaccard_components(
     signed = written(firsts.join(wanted, "set").select("set", "n", "bits").dropDuplicates(["set"]), "member-signatures")
     with small_batches(spark):
         members = found.select("gid", F.explode("members").alias("set")).join(signed, "set").withColumn("label", F.col("set"))
-        first = written(candidates(members, percent, spanning=True), "candidates")
+        first = written(candidates(members, percent), "candidates")
         decided = _decided(docs, text_col, first.select("a", "b").distinct(), firsts, size, percent)
         links = decided.where("linked").select("a", "b")
         roots = connected_components(links)
         again = first.join(decided.where("not linked"), ["a", "b"]).select("gid").union(found.where("many").select("gid")).distinct()
-        members = _second_members(found, again, roots, part).join(signed, "set")
-        second = candidates(members, percent, spanning=False).select("a", "b").distinct().join(decided.select("a", "b"), ["a", "b"], "left_anti")
-        second = written(second, "candidates")
+        second = _second_members(found, again, roots, part).join(signed, "set")
+        second = written(open_members(second, percent), "second-members")
         if not second.isEmpty():
-            more = _decided(docs, text_col, second, firsts, size, percent)
-            roots = connected_components(links.union(more.where("linked").select("a", "b")))
+            large = second.where("large")
+            hashes = _whole_sets(docs, text_col, large.select("set"), firsts, size)
+            parts = large.join(hashes, "set").union(second.where("not large").withColumn("hashes", F.lit(None).cast("array<bigint>")).select("set", "gid", "label", "large", "hashes"))
+            more = written(links_of(parts.join(signed, "set"), percent, held), "second-links")
+            links = links.union(more.where("linked").select("a", "b"))
+            rest = more.where("not linked").select("a", "b").distinct().join(decided.select("a", "b"), ["a", "b"], "left_anti")
+            rest = written(rest, "candidates")
+            if not rest.isEmpty():
+                links = links.union(_decided(docs, text_col, rest, firsts, size, percent).where("linked").select("a", "b"))
+            roots = connected_components(links)
     classes = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("least")).join(roots, F.col("set") == roots["node"], "left")
     classes = classes.select("set", "least", F.coalesce("root", "set").alias("root"))
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
