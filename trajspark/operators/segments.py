@@ -19,25 +19,34 @@ from trajspark.spec import DTYPES, TrajectorySpec
 LENGTH = 4096
 
 
-def _inner(df: DataFrame) -> DataFrame:
+def _inner(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """All columns but the key as one struct, so that their names are free."""
-    return df.select(*KEY, F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in KEY]).alias("p"))
+    return df.select(*key, F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in key]).alias("p"))
 
 
-def with_steps(points: DataFrame, time: str, width: float, ties: Sequence[str] = ()) -> DataFrame:
+def with_steps(points: DataFrame, time: str, width: float, ties: Sequence[str] = (), files: DataFrame | None = None) -> DataFrame:
     """Adds ``step`` from 0 in the order of ``time``, then ``ties``.
 
     A window sees the points of ``width`` in time; the counts of the ranges before it are added. Points without
-    a time have no place and are left out. ``points`` are read twice.
+    a time have no place and are left out. ``points`` are read twice; the counts need key and time alone.
+
+    ``files`` (the key alone, a row for each trajectory) gives points that have ``group_id`` alone their ``file_id``, with the
+    rows of a join. It is joined with the counts, so the points are shuffled once, for their steps.
     """
-    rows = _inner(points.where(F.col(time).isNotNull())).withColumn("range", F.floor(F.col("p")[time] / F.lit(float(width))))
-    counts = rows.groupBy(*KEY, "range").agg(F.count(F.lit(1)).alias("k"))
-    before = F.sum("k").over(Window.partitionBy(*KEY).orderBy("range")) - F.col("k")
-    counts = counts.select(*KEY, "range", before.alias("before"))
+    key = KEY if files is None else ["group_id"]
+    # Ranges end where there is still one before them; the order in a range is that of time, however wide it is.
+    place = F.greatest(F.floor(F.col("p")[time] / F.lit(float(width))), F.lit(-(2**62)))
+    rows = _inner(points.where(F.col(time).isNotNull()), key).withColumn("range", place)
+    counts = rows.groupBy(*key, "range").agg(F.count(F.lit(1)).alias("k"))
+    if files is not None:
+        counts = counts.join(files.where("file_id is not null").select(*KEY), key)
+    earlier = Window.partitionBy(*KEY).orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*KEY, "range", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("before"))
     order = [F.col("p")[c] for c in (time, *ties)]
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY, "range").orderBy(*order)) - 1)
-    joined = rows.join(counts, [*KEY, "range"])
-    return joined.select(*[F.col(c) if c in KEY else F.col("p")[c].alias(c) for c in points.columns], (F.col("before") + F.col("nth")).alias("step"))
+    nth = F.row_number().over(Window.partitionBy(*KEY, "range").orderBy(*order)) - 1
+    joined = rows.join(counts, [*key, "range"]).withColumn("nth", nth)
+    columns = points.columns if files is None else ["file_id", *points.columns]
+    return joined.select(*[F.col(c) if c in KEY else F.col("p")[c].alias(c) for c in columns], (F.col("before") + F.col("nth")).alias("step"))
 
 
 def with_halo(rows: DataFrame, own: Column, last: Column) -> DataFrame:
@@ -65,17 +74,38 @@ def _lengths(steps: DataFrame) -> DataFrame:
     return steps.groupBy(*KEY).agg((F.max("step") + 1).alias("n"))
 
 
+def _packed_pairs(rows: DataFrame, spec: TrajectorySpec, length: int) -> DataFrame:
+    """Pairs from arrays: each segment's points with the ``max_steps`` after them. No lengths are needed."""
+    at = F.col("p")["step"]
+    first, own = (F.floor((at - k) / length) for k in (spec.max_steps, 0))
+    seen = rows.withColumn("segment", F.explode(F.sequence(F.greatest(first, F.lit(0)), own)))
+    by_step = F.array_sort(F.collect_list("p"), lambda a, b: F.signum(a["step"] - b["step"]).cast("int"))
+    packed = seen.groupBy(*KEY, "segment").agg(by_step.alias("p"))
+    # The first segment alone holds the whole of a trajectory that ends before its longest step.
+    end = F.size("p") - 1
+    most = F.when(F.col("segment") == 0, F.least(F.lit(spec.max_steps), end)).otherwise(F.lit(spec.max_steps))
+    packed = packed.withColumn("most", most).where(F.col("most").between(spec.min_steps, end))
+    anchors = packed.withColumn("a", F.explode(F.sequence(F.lit(0), F.least(F.lit(length - 1), end - F.col("most")))))
+    pairs = anchors.withColumn("k", F.explode(F.sequence(F.lit(spec.min_steps), F.col("most"))))
+    return pairs.select(*KEY, F.get("p", F.col("a")).alias("i"), F.get("p", F.col("a") + F.col("k")).alias("j"))
+
+
 def step_pairs(steps: DataFrame, spec: TrajectorySpec, length: int = LENGTH) -> DataFrame:
     """Every anchor with every target ``min_steps`` to ``max_steps`` later, as ``all_pairs`` has them of packed rows.
 
     ``steps`` come from ``with_steps``. Returns key, ``i`` and ``j`` (structs with ``step``) and ``dt``. Anchors are those from
     which the longest step still ends inside the trajectory; without ``max_steps`` that is the first point alone.
+
+    With ``max_steps`` of at most ``length``, points are shuffled once and a row holds at most twice ``length`` of them. Beyond, anchors are
+    joined with their targets, and a row holds one pair.
     """
     rows = _inner(steps)
     at = F.col("p")["step"]
     if spec.max_steps is None:
         firsts = rows.where(at == 0).select(*KEY, F.col("p").alias("i"))
         pairs = firsts.join(rows.where(at >= spec.min_steps).withColumnRenamed("p", "j"), KEY)
+    elif spec.max_steps <= length:
+        pairs = _packed_pairs(rows, spec, length)
     else:
         lengths = _lengths(steps).where(F.col("n") > spec.min_steps)
         last = F.col("n") - 1 - F.least(F.lit(spec.max_steps), F.col("n") - 1)

@@ -25,6 +25,8 @@ V_SPEC = TrajectorySpec(
 )
 O_SPEC = TrajectorySpec(species=("l_quantity", "l_extendedprice", "l_discount", "l_tax"), globals=("o_totalprice", "c_acctbal"), time="t", default_method="standard", min_value_threshold=1e-3)
 O4_SPEC = TrajectorySpec(**{**O_SPEC.__dict__, "use_fraction": 0.8, "trajectories_per_shard": 100})
+#: The order of an order's lines with equal numbers.
+O_TIES = ("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
 E_SPEC = TrajectorySpec(species=("value",), time="t", default_method="standard")
 
 
@@ -104,6 +106,15 @@ def o_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(lines, F.col("o_orderkey") == F.col("o"), "left").drop("o_orderkey", "o")
 
 
+def o_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The points of ``O`` before their join, by the order's number: lines with ``O_TIES``, and the key of each order."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("double").alias("t"), F.col("l_quantity").cast("double").alias("l_quantity"), *O_TIES
+    )
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return lines, orders.select(F.col("o_orderpriority").alias("file_id"), F.col("o_orderkey").alias("group_id"))
+
+
 def o(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders without lines have no arrays at all."""
     packed = pack(o_points(spark, sf_dir), O_SPEC, "seq")

@@ -530,10 +530,11 @@ def _event_steps(spark: SparkSession, sf: str) -> DataFrame:
 def ragged_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of all orders' lines, one or two steps apart, whatever the number of lines."""
     spec = type(V)(**{**fx.O_SPEC.__dict__, "max_steps": 2})
-    points = fx.o_points(spark, sf).where("t is not null").select(*KEY, "t", "l_quantity", "seq")
-    found = segments.step_pairs(segments.with_steps(points, "t", 3.0, ["seq"]), spec, length=3)
+    lines, orders = fx.o_lines(spark, sf)
+    steps = segments.with_steps(lines, "t", 3.0, fx.O_TIES, orders).drop(*fx.O_TIES)
+    found = segments.step_pairs(steps, spec, length=3)
     columns = [F.col(f"{side}.{c}").alias(f"{n}_{side}") for side in "ij" for c, n in (("step", "step"), ("l_quantity", "quantity"))]
-    return found.select(*KEY, *columns, "dt")
+    return found.select("file_id", F.col("group_id").cast("string").alias("group_id"), *columns, "dt")
 
 
 @query
